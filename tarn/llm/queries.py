@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import cws, simhash
 
 QUERIES = {
+    "op10_weighted_fingerprints": cws.query,
     "op8_simhash_near_dedup": simhash.query,
 }
 

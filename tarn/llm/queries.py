@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import cws, simhash
+from . import cws, langid, secrets, simhash
 
 QUERIES = {
+    "op5_secret_scan": secrets.query,
+    "op7_language_id": langid.query,
     "op10_weighted_fingerprints": cws.query,
     "op8_simhash_near_dedup": simhash.query,
 }

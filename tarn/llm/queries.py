@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import cws, langid, secrets, simhash
+from . import cws, langid, mixing, secrets, simhash, tokens
 
 QUERIES = {
+    "op9_source_mix": mixing.query,
+    "op6_token_counts": tokens.query,
     "op5_secret_scan": secrets.query,
     "op7_language_id": langid.query,
     "op10_weighted_fingerprints": cws.query,

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import cws, langid, mixing, secrets, simhash, tokens
+from . import brown, cws, decontam, html, langid, mixing, secrets, simhash, tokens
 
 QUERIES = {
+    "op1_decontamination": decontam.query,
+    "op4_brown_lm": brown.query,
+    "op2_html_extraction": html.query,
     "op9_source_mix": mixing.query,
     "op6_token_counts": tokens.query,
     "op5_secret_scan": secrets.query,

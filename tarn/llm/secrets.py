@@ -80,6 +80,27 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def _name(columns: tuple[str, ...]) -> Column:
+    """Several columns as one value, nulls told apart."""
+    return F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)]))
+
+
+def judge(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+    """(row, spans, live) of (row, owner, repo, _base, _more): live holds the spans whose value few owners have; spans these and the base ones."""
+    each = found.select("row", "owner", "repo", F.explode(F.concat("_base", "_more")).alias("span")).withColumn("hash", F.col("span.hash"))
+    owned = ownership(each.select("hash", "owner", "repo"))
+    return (
+        each.select("row", "span", "hash")
+        .join(owned, "hash")
+        .withColumn("alive", F.col("n_owners") <= max_owners)
+        .groupBy("row")
+        .agg(
+            F.array_sort(F.collect_list(F.when(F.col("alive") | (F.col("span.o") < len(BASE)), F.col("span")))).alias("spans"),
+            F.array_sort(F.collect_list(F.when(F.col("alive"), F.col("span")))).alias("live"),
+        )
+    )
+
+
 def scan(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -89,39 +110,29 @@ def scan(
     max_owners: int = MAX_OWNERS,
 ) -> DataFrame:
     """A row for each row of ``docs``: (row, id, base, spans, live): arrays of spans; live holds those that look live."""
-    name = lambda cols: F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)]))
     picked = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), name(owner).alias("owner"), name(repo).alias("repo"), F.col(text_col).alias("text")
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), _name(owner).alias("owner"), _name(repo).alias("repo"), F.col(text_col).alias("text")
     )
     found = written(with_spans(picked).drop("text"), "spans")
-    each = found.select("row", "owner", "repo", F.explode(F.concat("_base", "_more")).alias("span")).select("row", "owner", "repo", "span", F.col("span.hash").alias("hash"))
-    owned = ownership(each.select("hash", "owner", "repo"))
-    judged = (
-        each.select("row", "span", "hash")
-        .join(owned, "hash")
-        .withColumn("alive", F.col("n_owners") <= max_owners)
-        .groupBy("row")
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("alive") | (F.col("span.o") < len(BASE)), F.col("span")))).alias("spans"),
-            F.array_sort(F.collect_list(F.when(F.col("alive"), F.col("span")))).alias("live"),
-        )
-    )
     none = F.array().cast(f"array<{_SPAN}>")
-    return found.join(judged, "row", "left").select(
+    return found.join(judge(found, max_owners), "row", "left").select(
         "row", "id", F.col("_base").alias("base"), F.coalesce("spans", none).alias("spans"), F.coalesce("live", none).alias("live")
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "<SECRET>") -> DataFrame:
+def redact(
+    docs: DataFrame, text_col: str = "text", owner: tuple[str, ...] = ("source",), repo: tuple[str, ...] = ("source", "lang"), mark: str = "<SECRET>"
+) -> DataFrame:
     """``docs`` with every live-looking span replaced by ``mark``; copied examples and all else stay as they are.
 
     Values are judged over the whole of ``docs``. Texts without a candidate take no part in a
-    shuffle: only rows that have one meet their verdicts.
+    shuffle: only those that have one are written, numbered and joined with their verdicts.
     """
     columns = docs.columns
-    judged = scan(docs, id_col, text_col).filter(F.size("live") > 0).select(F.col("row").alias("_row"), F.col("live").alias("_live"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    marked = with_spans(numbered, text_col).withColumn("_some", F.size("_base") + F.size("_more") > 0)
+    marked = with_spans(docs, text_col).withColumn("_some", F.size("_base") + F.size("_more") > 0)
+    some = written(marked.filter("_some").withColumn("_row", F.monotonically_increasing_id()), "candidates")
+    judged = judge(some.select(F.col("_row").alias("row"), _name(owner).alias("owner"), _name(repo).alias("repo"), "_base", "_more"))
+    judged = judged.select(F.col("row").alias("_row"), F.col("live").alias("_live"))
     text = F.col(text_col)
 
     def step(acc: Column, x: Column) -> Column:
@@ -130,7 +141,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
 
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text)))
-    with_some = marked.filter("_some").drop("_base", "_more", "_some").join(judged, "_row", "left")
+    with_some = some.drop("_base", "_more", "_some").join(judged, "_row", "left")
     cleaned = with_some.withColumn(text_col, F.when(F.col("_live").isNull(), text).otherwise(F.aggregate("_live", start, step, rest)))
     return cleaned.select(columns).unionByName(marked.filter(~F.col("_some")).select(columns))
 

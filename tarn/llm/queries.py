@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import brown, cws, decontam, html, langid, mixing, secrets, simhash, tokens
+from . import brown, cws, decontam, html, langid, mixing, repeats, secrets, simhash, tokens
 
 QUERIES = {
+    "op3_suffix_dedup": repeats.query,
     "op1_decontamination": decontam.query,
     "op4_brown_lm": brown.query,
     "op2_html_extraction": html.query,

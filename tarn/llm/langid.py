@@ -179,6 +179,21 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return picked.mapInArrow(run, schema)
 
 
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language, unchanged; those that are ``und`` go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ENTRIES numbers
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            for a, b in chunks(texts, 500_000):
+                known = [x[0] != UNKNOWN for x in shared.value.predict(texts[a:b])]
+                yield batch.slice(a, b - a).filter(pa.array(known))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: the language of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

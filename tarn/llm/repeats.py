@@ -14,9 +14,11 @@ rows repeat each other's strings; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from struct import unpack
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,8 +101,8 @@ def _windows(batches, length: int = LENGTH):
             out = []
             for s0, s1, fp in zip(held.field("s0").to_pylist(), held.field("s1").to_pylist(), held.field("fp").to_pylist()):
                 body = data[s0 : s1 + length]
-                digest = hashlib.blake2b(body, digest_size=16).digest()
-                h1, h2 = np.frombuffer(digest, np.int64).tolist()
+                digest = xxhash.xxh3_128_digest(body)
+                h1, h2 = unpack("<qq", digest)
                 out.append((row, s0, s1 - s0 + 1, fp, h1, h2, None if digest in sent else body))
                 sent.add(digest)
             if len(sent) > 300_000:
@@ -188,12 +190,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows, texts, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             out = []
             for i, row in enumerate(rows):
-                data, gone = _bytes(texts[i]), None
+                data = _bytes(texts[i])
                 edge = np.zeros(len(data) + 1, np.int64)
-                for cut in lists[i].as_py():
-                    spans = np.array(cut["spans"], np.int64).reshape(-1, 2) + cut["s0"]
-                    np.add.at(edge, spans[:, 0], 1)
-                    np.add.at(edge, spans[:, 1] - 1 + length, -1)
+                held = lists[i].values
+                spans = held.field("spans")
+                base = np.repeat(np.asarray(held.field("s0")), np.asarray(spans.value_lengths()))
+                places = base.astype(np.int64) + np.asarray(spans.flatten())
+                np.add.at(edge, places[::2], 1)
+                np.add.at(edge, places[1::2] - 1 + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 runs_ = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))

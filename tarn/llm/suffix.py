@@ -247,7 +247,9 @@ class Sorter:
         total = np.zeros(len(text) + 1, np.uint64)
         np.cumsum(mix(text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=total[1:])
         h = mix((total[ends + 1] - total[left]) * down[left])
-        index = np.searchsorted(left, order)
+        number = np.empty(len(text), np.int64)
+        number[left] = np.arange(len(left))
+        index = number[order]
         length = (ends - left)[index]
         new = np.ones(len(order), bool)
         new[1:] = (h[index][1:] != h[index][:-1]) | (length[1:] != length[:-1])
@@ -289,14 +291,15 @@ def _doubled(names: np.ndarray, cap: int) -> np.ndarray:
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(first, np.diff(np.append(first, n)))
     step = 1
-    while 2 * step <= 2 * cap:
+    while 2 * step < cap + 2:  # after this round the ranks tell 2 * step names apart, 4 * step characters or more
         size = np.bincount(rank, minlength=n)
         open_ = np.flatnonzero(size[rank] > 1)
         if not len(open_):
             break
         after = np.where(open_ + step < n, rank[np.minimum(open_ + step, n - 1)] + 1, 0)
-        place = np.lexsort((after, rank[open_]))
-        group, key = rank[open_][place], after[place]
+        group = rank[open_]
+        place = np.argsort(group * (n + 2) + after)
+        group, key = group[place], after[place]
         begins = np.concatenate([[True], np.diff(group) != 0])
         fresh = begins | np.concatenate([[True], np.diff(key) != 0])
         index = np.arange(len(place))

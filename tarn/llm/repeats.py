@@ -166,7 +166,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
     every = written(picked.mapInArrow(_all_zones, "row bigint, s0 int, s1 int, fp bigint"), "zones")
-    twice = every.groupBy("fp").count().filter("count > 1").select("fp")
+    # written, so that both sides of the join are exchanges and a hot anchor's partition can be split
+    twice = written(every.groupBy("fp").count().filter("count > 1").select("fp"), "twice")
     by_row = every.join(twice, "fp", "left_semi").groupBy("row").agg(F.collect_list(F.struct("s0", "s1", "fp")).alias("zones"))
     some = written(picked.select("row", "text").join(by_row, "row"), "texts")
     found = written(some.mapInArrow(_windows, "row bigint, s0 int, n int, fp bigint, h1 bigint, h2 bigint, body binary"), "windows")

@@ -88,7 +88,8 @@ def _name(columns: tuple[str, ...]) -> Column:
 def judge(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """(row, spans, live) of (row, owner, repo, _base, _more): live holds the spans whose value few owners have; spans these and the base ones."""
     each = found.select("row", "owner", "repo", F.explode(F.concat("_base", "_more")).alias("span")).withColumn("hash", F.col("span.hash"))
-    owned = ownership(each.select("hash", "owner", "repo"))
+    # written, so that both sides of the join are exchanges and a hot value's partition can be split
+    owned = written(ownership(each.select("hash", "owner", "repo")), "owned")
     return (
         each.select("row", "span", "hash")
         .join(owned, "hash")

@@ -132,7 +132,8 @@ def close_links(distinct_fp: DataFrame, count: int, max_bits: int = MAX_BITS, ti
             F.array(*[F.struct(F.lit(i).cast("smallint").alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
         ).alias("key"),
     ).select("fp", "key.c", "key.k")
-    many = keyed.groupBy("c", "k").count().filter("count > 1")
+    # written, so that both sides of the join are exchanges and a hot block's partition can be split
+    many = written(keyed.groupBy("c", "k").count().filter("count > 1"), "blocks")
     # a block of more than `tile` fingerprints: its chunks meet in pairs, each pair in a group of its own
     dealt = (
         keyed.join(many, ["c", "k"])

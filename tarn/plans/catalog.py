@@ -1,6 +1,723 @@
-"""Every query of the engine with the SQL that states the same result."""
+"""Every query of the engine with the SQL that states the same result.
+
+Queries that both dialects can say are one SQL text; the others are DataFrame code beside their SQL.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..operators import ann, bm25, knn, ml
+from ..operators import relational as R
+from ..session import TABLES, register, table
+from ..streaming import windows as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a function under its name, with the SQL that states its result."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def sql(name: str, text: str, oracle: str | None = None) -> None:
+    """Registers a query that is SQL; ``oracle`` only where the dialects differ."""
+
+    named = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir, named)
+        return spark.sql(text)
+
+    QUERIES[name] = run
+    ORACLES[name] = oracle or text
+
+
+# ---------------------------------------------------------------- vector search
+
+_BASE = "(SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
+_ONE = f"(SELECT e AS q FROM {_BASE} WHERE vec_id = 0)"
+_DISTANCE = {
+    "l2": "list_distance({a}, {b})",
+    "cosine": "list_cosine_distance({a}, {b})",
+    "ip": "-list_inner_product({a}, {b})",
+}
+
+
+def _vector(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
+    base = table(spark, sf_dir, "embeddings")
+    return base, base.filter("vec_id = 0").first().embedding
+
+
+for _m, _d in _DISTANCE.items():
+
+    def _plain(spark, sf_dir, m=_m):
+        base, q = _vector(spark, sf_dir)
+        return knn.nearest(base, q, 10, m)
+
+    def _scaled(spark, sf_dir, m=_m):
+        base, q = _vector(spark, sf_dir)
+        scaled = base.withColumn("embedding", F.transform(V.doubles("embedding"), lambda x: x * (F.col("label") + 1)))
+        return knn.nearest(scaled, q, 10, m)
+
+    QUERIES[f"knn_{_m}"] = _plain
+    QUERIES[f"knn_scaled_{_m}"] = _scaled
+    ORACLES[f"knn_{_m}"] = f"SELECT vec_id, round({_d.format(a='e', b='q')}, 6) AS distance FROM {_BASE}, {_ONE} ORDER BY distance, vec_id LIMIT 10"
+    ORACLES[f"knn_scaled_{_m}"] = (
+        f"SELECT vec_id, round({_d.format(a='list_transform(e, lambda x: x * (label + 1))', b='q')}, 6) AS distance FROM {_BASE}, {_ONE} ORDER BY distance, vec_id LIMIT 10"
+    )
+
+_QUERY_SET = "(SELECT vec_id AS query_id, e AS q FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) WHERE vec_id % 100 = 0)"
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    base = table(spark, sf_dir, "embeddings")
+    return base, base.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _exact(metric: str, where: str = "true", k: int = 10) -> str:
+    d = _DISTANCE[metric].format(a="e", b="q")
+    return f"""SELECT query_id, vec_id, distance, rank FROM (SELECT query_id, vec_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank
+        FROM (SELECT query_id, vec_id, round({d}, 6) AS distance FROM {_BASE}, {_QUERY_SET} WHERE {where})) WHERE rank <= {k}"""
+
+
+@query(_exact("l2"))
+def knn_batch(spark, sf_dir):
+    return knn.nearest_batch(*_asked(spark, sf_dir), 10)
+
+
+@query(_exact("ip"))
+def knn_batch_ip(spark, sf_dir):
+    return knn.nearest_batch(*_asked(spark, sf_dir), 10, "ip")
+
+
+@query(f"SELECT vec_id, round(list_distance(e, q), 6) AS distance FROM {_BASE}, {_ONE} WHERE vec_id > 100 AND vec_id < 400 ORDER BY distance, vec_id LIMIT 10")
+def knn_filtered(spark, sf_dir):
+    base, q = _vector(spark, sf_dir)
+    return knn.nearest(base, q, 10, where=(F.col("vec_id") > 100) & (F.col("vec_id") < 400))
+
+
+@query(f"SELECT vec_id, round(list_distance(e, (SELECT e FROM {_BASE} WHERE vec_id = 7)), 6) AS distance FROM {_BASE} ORDER BY distance, vec_id LIMIT 10")
+def knn_subquery_vector(spark, sf_dir):
+    base = table(spark, sf_dir, "embeddings")
+    return knn.nearest_of_subquery(base, base.filter("vec_id = 7"), 10)
+
+
+@query(
+    f"""SELECT label, vec_id, distance FROM (SELECT label, vec_id, distance, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS n
+    FROM (SELECT label, vec_id, round(list_distance(e, q), 6) AS distance FROM {_BASE}, {_ONE})) WHERE n <= 3"""
+)
+def knn_join_per_label(spark, sf_dir):
+    base, q = _vector(spark, sf_dir)
+    d = F.round(V.l2_distance("embedding", F.array(*[F.lit(float(x)) for x in q])), 6)
+    near = Window.partitionBy("label").orderBy("distance", "vec_id")
+    return base.select("label", "vec_id", d.alias("distance")).withColumn("n", F.row_number().over(near)).filter("n <= 3").drop("n")
+
+
+@query(_exact("l2"))
+def ivf_search_all_lists(spark, sf_dir):
+    return ann.ivf_search(*_asked(spark, sf_dir), 10, n_lists=16, probes=16)
+
+
+@query()
+def ivf_search(spark, sf_dir):
+    return ann.ivf_search(*_asked(spark, sf_dir), 10)
+
+
+@query()
+def pq_adc(spark, sf_dir):
+    return ann.pq_search(*_asked(spark, sf_dir), 10)
+
+
+@query()
+def ivfpq_search(spark, sf_dir):
+    return ann.ivfpq_search(*_asked(spark, sf_dir), 10)
+
+
+@query()
+def binary_rerank(spark, sf_dir):
+    return ann.binary_search(*_asked(spark, sf_dir), 10)
+
+
+@query()
+def graph_search(spark, sf_dir):
+    return ann.graph_search(*_asked(spark, sf_dir), 10, ef=80)
+
+
+@query(_exact("l2"))
+def graph_search_full(spark, sf_dir):
+    base, asked = _asked(spark, sf_dir)
+    return ann.graph_search(base, asked, 10, ef=100_000).select("query_id", "vec_id", "distance", "rank")
+
+
+def _turned(df: DataFrame, id_name: str, rule: str) -> DataFrame:
+    """Queries of another distribution: vectors with neighbouring elements mixed."""
+    v = V.doubles("embedding")
+    return df.filter(rule).select(F.col("vec_id").alias(id_name), F.zip_with(v, F.concat(F.slice(v, 2, F.size(v) - 1), F.slice(v, 1, 1)), lambda x, y: x + 0.5 * y).alias("embedding"))
+
+
+@query()
+def crossmodal_search(spark, sf_dir):
+    base = table(spark, sf_dir, "embeddings")
+    return ann.crossmodal_search(base, _turned(base, "query_id", "vec_id % 2 = 1"), _turned(base, "query_id", "vec_id % 100 = 0"), 10)
+
+
+@query()
+def graph_repair(spark, sf_dir):
+    base = table(spark, sf_dir, "embeddings")
+    asked = _turned(base, "query_id", "vec_id % 100 = 0")
+    return ann.crossmodal_search(base, _turned(base, "query_id", "vec_id % 4 = 1"), asked, 10, repairs=asked)
+
+
+@query()
+def index_inspect(spark, sf_dir):
+    return ann.inspect(ann.graph_edges(table(spark, sf_dir, "embeddings")))
+
+
+@query(_exact("l2", "vec_id % 3 <> 0"))
+def index_delete_search(spark, sf_dir):
+    base, asked = _asked(spark, sf_dir)
+    return knn.nearest_batch(ann.without(base, base.filter("vec_id % 3 = 0")), asked, 10)
+
+
+# ---------------------------------------------------------------- vector algebra
+
+_PAIR = f"(SELECT a.vec_id, a.e AS a, b.e AS b FROM {_BASE} a JOIN {_BASE} b ON b.vec_id = a.vec_id + 1)"
+
+
+def _pairs(spark, sf_dir):
+    base = table(spark, sf_dir, "embeddings").select("vec_id", V.doubles("embedding").alias("e"))
+    return base.alias("x").join(base.alias("y"), F.expr("y.vec_id = x.vec_id + 1")).select("x.vec_id", F.col("x.e").alias("a"), F.col("y.e").alias("b"))
+
+
+@query(
+    f"""SELECT vec_id, round(list_distance(a, b), 6) AS l2, round(list_distance(a, b) ** 2, 6) AS l2_squared, round(list_inner_product(a, b), 6) AS ip,
+    round(list_cosine_distance(a, b), 6) AS cosine, round(acos(1 - list_cosine_distance(a, b)) / pi(), 6) AS spherical FROM {_PAIR}"""
+)
+def vec_distances(spark, sf_dir):
+    r = lambda f: F.round(f("a", "b"), 6)
+    return _pairs(spark, sf_dir).select(
+        "vec_id", r(V.l2_distance).alias("l2"), r(V.l2_squared).alias("l2_squared"), r(V.inner_product).alias("ip"), r(V.cosine_distance).alias("cosine"), r(V.spherical_distance).alias("spherical")
+    )
+
+
+@query(f"SELECT vec_id, round(sqrt(list_inner_product(e, e)), 6) AS norm, CAST(len(e) AS INT) AS dims FROM {_BASE}")
+def vec_norm(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm("embedding"), 6).alias("norm"), F.size("embedding").alias("dims"))
+
+
+@query(f"SELECT vec_id, list_transform(e, lambda x: round(x * 3 / sqrt(list_inner_product(e, e) * 9), 6)) AS unit FROM {_BASE} WHERE vec_id < 50")
+def vec_normalize(spark, sf_dir):
+    three = F.transform(V.doubles("embedding"), lambda x: x * 3)
+    return table(spark, sf_dir, "embeddings").filter("vec_id < 50").select("vec_id", F.transform(V.normalize(three), lambda x: F.round(x, 6)).alias("unit"))
+
+
+@query(
+    f"""SELECT vec_id, round(list_sum(list_transform(list_zip(a, b), lambda x: (x[1] + x[2]) * 2)), 6) AS plus, round(list_sum(list_transform(list_zip(a, b), lambda x: abs(x[1] - x[2]))), 6) AS minus FROM {_PAIR}"""
+)
+def vec_add_sub(spark, sf_dir):
+    total = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 6)
+    return _pairs(spark, sf_dir).select(
+        "vec_id", total(F.transform(V.add("a", "b"), lambda x: x * 2)).alias("plus"), total(F.transform(V.subtract("a", "b"), lambda x: F.abs(x))).alias("minus")
+    )
+
+
+@query(f"SELECT vec_id, list_transform(e[3:6], lambda x: round(x, 6)) AS part FROM {_BASE}")
+def vec_slice(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(V.subvector("embedding", 3, 4), lambda x: F.round(x, 6)).alias("part"))
+
+
+@query(
+    """SELECT label, list(x ORDER BY i) AS mean FROM (SELECT label, i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x,
+    generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label"""
+)
+def vec_avg_by_label(spark, sf_dir):
+    return V.average(table(spark, sf_dir, "embeddings"), "label", "embedding").select("label", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
+
+
+sql("vec_cmp_sort", "SELECT vec_id, CAST(row_number() OVER (ORDER BY embedding, vec_id) AS INT) AS place FROM embeddings")
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INT) AS dims FROM embeddings")
+def vec_cast_dim_check(spark, sf_dir):
+    base = table(spark, sf_dir, "embeddings")
+    return base.select("vec_id", F.size(V.checked(V.from_text(V.to_text("embedding")), 64)).alias("dims"))
+
+
+@query()
+def vec_half(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", V.half("embedding").alias("half"))
+
+
+# ---------------------------------------------------------------- sparse vectors and text
+
+_TOKENS = "(SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents)"
+_TF = f"(SELECT doc_id, token, count(*) AS tf FROM {_TOKENS} GROUP BY doc_id, token)"
+_CODE = "length(token) * 31 + ascii(token)"
+
+
+def _sparse(spark, sf_dir, rule: str, name: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").filter(rule).select(F.explode(bm25.tokenize(F.col("text"))).alias("token"))
+    counted = words.groupBy((F.length("token") * 31 + F.ascii("token")).alias("k")).agg(F.count("*").cast("double").alias("v"))
+    return counted.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias(name))
+
+
+def _two(spark, sf_dir):
+    return _sparse(spark, sf_dir, "doc_id = 1", "a").crossJoin(_sparse(spark, sf_dir, "doc_id = 2", "b"))
+
+
+def _half_sql(n: int) -> str:
+    return f"(SELECT {_CODE} AS k, count(*)::DOUBLE AS v FROM {_TOKENS} WHERE doc_id = {n} GROUP BY 1)"
+
+
+_BOTH = f"(SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, 0) AS x, coalesce(b.v, 0) AS y FROM {_half_sql(1)} a FULL JOIN {_half_sql(2)} b ON a.k = b.k)"
+
+
+def _entries(df: DataFrame) -> DataFrame:
+    return df.select(F.explode("m").alias("k", "v")).select(F.col("k").cast("bigint").alias("k"), F.round("v", 6).alias("v"))
+
+
+for _name, _f, _sql in [
+    ("sparse_merge", lambda: V.sparse_merge("a", "b"), f"SELECT CAST(k AS BIGINT) AS k, round(x + y, 6) AS v FROM {_BOTH}"),
+    ("sparse_antimerge", lambda: V.sparse_antimerge("a", "b"), f"SELECT CAST(k AS BIGINT) AS k, round(x - y, 6) AS v FROM {_BOTH}"),
+    ("sparse_scale", lambda: V.sparse_scale("a", 2.5), f"SELECT CAST(k AS BIGINT) AS k, round(v * 2.5, 6) AS v FROM {_half_sql(1)}"),
+    ("sparse_insert_remove", lambda: V.sparse_insert(V.sparse_remove(F.col("a"), 159), -1, 9.0), f"SELECT CAST(k AS BIGINT) AS k, v FROM {_half_sql(1)} WHERE k <> 159 UNION ALL SELECT -1, 9.0"),
+]:
+    QUERIES[_name] = lambda spark, sf_dir, f=_f: _entries(_two(spark, sf_dir).select(f().alias("m")))
+    ORACLES[_name] = _sql
+
+
+@query(f"SELECT round(sum(x * y), 6) AS ip, round(1 - sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 6) AS cosine, round(sqrt(sum(x * x)), 6) AS norm FROM {_BOTH}")
+def sparse_ip_cosine(spark, sf_dir):
+    return _two(spark, sf_dir).select(F.round(V.sparse_ip("a", "b"), 6).alias("ip"), F.round(V.sparse_cosine("a", "b"), 6).alias("cosine"), F.round(V.sparse_norm("a"), 6).alias("norm"))
+
+
+_IDF = {"classic": "ln(1 + (n - df + 0.5) / (df + 0.5))", "tf_idf": "ln(n / df + 1)", "log_tf_idf": "ln(n / df + 1)", "ip": "1.0"}
+_TFP = {"classic": "tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len * n / total))", "tf_idf": "tf", "log_tf_idf": "(ln(tf) + 1)", "ip": "tf"}
+
+
+def _bm25_sql(algorithm: str) -> str:
+    return f"""WITH p AS {_TF}, l AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS len FROM documents),
+    t AS (SELECT count(*)::DOUBLE AS n, sum(len)::DOUBLE AS total FROM l), d AS (SELECT token, count(*) AS df FROM p GROUP BY token),
+    q AS (SELECT item_id, token, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark) GROUP BY item_id, token),
+    s AS (SELECT item_id, doc_id, round(sum({_IDF[algorithm]} * {_TFP[algorithm]} * times), 5) AS score FROM q JOIN p USING (token) JOIN d USING (token) JOIN l USING (doc_id), t GROUP BY item_id, doc_id)
+    SELECT item_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s) WHERE rank <= 10"""
+
+
+for _a in _IDF:
+    QUERIES[f"bm25_{_a}"] = lambda spark, sf_dir, a=_a: bm25.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10, a)
+    ORACLES[f"bm25_{_a}"] = _bm25_sql(_a)
+
+
+@query("SELECT doc_id FROM documents WHERE list_has_any(regexp_extract_all(lower(text), '[a-z0-9]+'), ['loser', 'idiot'])")
+def bm25_match(spark, sf_dir):
+    return bm25.match(table(spark, sf_dir, "documents"), ["loser", "idiot"]).select("doc_id")
+
+
+@query(f"SELECT token, count(*) AS df FROM {_TF} GROUP BY token")
+def bm25_token_stats(spark, sf_dir):
+    return bm25.token_stats(bm25.postings(table(spark, sf_dir, "documents")))
+
+
+@query(f"SELECT doc_id AS id, token, tf FROM {_TF} WHERE token NOT IN ('the', 'of')")
+def bm25_array_tokens(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("words", F.concat(bm25.tokenize(F.col("text")), F.array(F.lit(None).cast("string"))))
+    stop = spark.createDataFrame([("the",), ("of",)], "token string")
+    return bm25.postings(docs, tokens="words", stop=stop).select("id", "token", "tf")
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '\b(the|of)\b', '<b>\1</b>', 'gi') AS marked FROM documents WHERE lang = 'en'")
+def bm25_highlight(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", bm25.highlight(F.col("text"), ["the", "of"]).alias("marked"))
+
+
+@query(
+    """SELECT doc_id FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)
+    WHERE list_contains(w, 'the') AND (list_contains(w, 'loser') OR NOT list_contains(w, 'with'))"""
+)
+def fts_boolean(spark, sf_dir):
+    tree = ("and", "the", ("or", "loser", ("not", "with")))
+    return table(spark, sf_dir, "documents").filter(bm25.boolean(bm25.tokenize(F.col("text")), tree)).select("doc_id")
+
+
+_TRG = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substring('  ' || lower({0}) || ' ', i::INT, 3)))"
+
+
+@query(
+    f"""SELECT p_partkey, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS similarity
+    FROM (SELECT p_partkey, {_TRG.format('p_name')} AS a, {_TRG.format("p_type")} AS b FROM part)"""
+)
+def trgm_similarity(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(bm25.similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity"))
+
+
+# ---------------------------------------------------------------- joins
+
+_J = "SELECT n.n_name AS n_name, c.c_custkey AS c_custkey FROM nation n {0} JOIN (SELECT * FROM customer WHERE c_acctbal > 5000 AND c_nationkey < 20) c ON n.n_nationkey = c.c_nationkey"
+for _k, _w in {"inner": "INNER", "left": "LEFT", "right": "RIGHT", "full": "FULL OUTER"}.items():
+    sql(f"join_{_k}", _J.format(_w))
+sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+sql("join_natural", "SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) a NATURAL JOIN (SELECT r_name, r_regionkey AS k FROM region) b")
+sql("join_using", "SELECT k, n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) a JOIN (SELECT r_name, r_regionkey AS k FROM region) b USING (k)")
+sql("join_semi", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_totalprice > 200000)")
+sql("join_anti", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+sql("join_in", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+sql("join_not_in_null", "SELECT n_nationkey FROM nation WHERE n_regionkey NOT IN (SELECT CASE WHEN r_regionkey > 2 THEN NULL ELSE r_regionkey END FROM region)")
+sql("join_theta", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
+sql("join_full_theta", "SELECT a.r_regionkey AS x, b.r_regionkey AS y FROM region a FULL OUTER JOIN region b ON a.r_regionkey > b.r_regionkey + 2")
+sql("join_scalar_subquery", "SELECT o_orderkey, o_totalprice FROM orders o WHERE o_totalprice > 2 * (SELECT avg(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
+sql(
+    "join_lateral",
+    "SELECT c_custkey, t.o_orderkey, t.o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t",
+)
+sql("join_exists_or", "SELECT c_custkey FROM customer c WHERE c_acctbal > 9000 OR EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_totalprice > 300000)")
+
+# ---------------------------------------------------------------- aggregation
+
+sql(
+    "agg_basic",
+    """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS s, round(avg(l_discount), 6) AS a, min(l_tax) AS lo, max(l_extendedprice) AS hi
+    FROM lineitem GROUP BY l_returnflag, l_linestatus""",
+)
+sql("agg_plain", "SELECT count(*) AS n, count(c_mktsegment) AS m, round(sum(c_acctbal), 2) AS s FROM customer")
+sql("agg_distinct_multi", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS a, count(DISTINCT l_linenumber) AS b, count(DISTINCT l_partkey) AS c FROM lineitem GROUP BY l_returnflag")
+for _k, _g in {"rollup": "ROLLUP (o_orderstatus, o_orderpriority)", "cube": "CUBE (o_orderstatus, o_orderpriority)", "grouping_sets": "GROUPING SETS ((o_orderstatus), (o_orderpriority), ())"}.items():
+    sql(f"agg_{_k}", f"SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus) AS INT) AS g, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY {_g}")
+sql("agg_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+sql(
+    "agg_stats_regr",
+    """SELECT l_returnflag, round(stddev_pop(l_quantity), 5) AS sp, round(stddev_samp(l_quantity), 5) AS ss, round(var_pop(l_quantity), 4) AS vp, round(var_samp(l_quantity), 4) AS vs,
+    round(covar_pop(l_quantity, l_tax), 5) AS cp, round(covar_samp(l_quantity, l_tax), 5) AS cs, round(corr(l_quantity, l_extendedprice), 5) AS co, CAST(regr_count(l_tax, l_quantity) AS BIGINT) AS rc,
+    round(regr_slope(l_extendedprice, l_quantity), 4) AS rs, round(regr_intercept(l_extendedprice, l_quantity), 2) AS ri, round(regr_r2(l_extendedprice, l_quantity), 5) AS r2,
+    round(regr_avgx(l_tax, l_quantity), 5) AS ax, round(regr_avgy(l_tax, l_quantity), 5) AS ay FROM lineitem GROUP BY l_returnflag""",
+)
+sql(
+    "agg_median_pct",
+    "SELECT c_mktsegment, round(median(c_acctbal), 4) AS m, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY c_acctbal), 4) AS p FROM customer GROUP BY c_mktsegment",
+)
+sql("agg_listagg", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+sql("agg_array", "SELECT n_regionkey, sort_array(array_agg(n_name)) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, list_sort(list(n_name)) AS names FROM nation GROUP BY n_regionkey")
+sql("agg_first_last", "SELECT o_custkey, min_by(o_orderkey, o_orderkey) AS a, max_by(o_totalprice, o_orderkey) AS b FROM orders GROUP BY o_custkey")
+sql("agg_bool", "SELECT l_returnflag, bool_and(l_quantity > 0) AS a, bool_or(l_quantity > 49) AS b FROM lineitem GROUP BY l_returnflag")
+sql("agg_filter", "SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25) AS n, round(sum(l_tax) FILTER (WHERE l_discount > 0.05), 4) AS s FROM lineitem GROUP BY l_returnflag")
+sql(
+    "agg_json",
+    "SELECT n_regionkey, to_json(sort_array(collect_list(n_name))) AS names FROM nation GROUP BY n_regionkey",
+    "SELECT n_regionkey, to_json(list_sort(list(n_name)))::VARCHAR AS names FROM nation GROUP BY n_regionkey",
+)
+
+
+@query()
+def agg_hll(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.hll_sketch_agg("l_partkey").alias("h"))
+    return d.agg(F.hll_sketch_estimate(F.hll_union_agg("h")).alias("n"))
+
+
+@query()
+def agg_checksum(spark, sf_dir):
+    return R.checksum(table(spark, sf_dir, "customer"), "c_custkey", "c_name")
+
+
+# ---------------------------------------------------------------- windows
+
+_W = "(PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)"
+sql("win_rank_family", f"SELECT c_custkey, CAST(row_number() OVER {_W} AS INT) AS rn, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS INT) AS rk, CAST(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS INT) AS dr FROM customer")
+sql("win_lag_lead", f"SELECT c_custkey, lag(c_acctbal, 1) OVER {_W} AS a, lead(c_acctbal, 2) OVER {_W} AS b, first_value(c_custkey) OVER {_W} AS f, nth_value(c_custkey, 2) OVER {_W} AS n2 FROM customer")
+sql("win_ntile_dist", f"SELECT c_custkey, CAST(ntile(4) OVER {_W} AS INT) AS t, round(cume_dist() OVER {_W}, 6) AS cd, round(percent_rank() OVER {_W}, 6) AS pr FROM customer")
+sql("win_rows_frame", "SELECT c_custkey, round(sum(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 2) AS s FROM customer")
+sql("win_range_frame", "SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey ORDER BY c_custkey RANGE BETWEEN 20 PRECEDING AND CURRENT ROW) AS n FROM customer")
+sql("win_named", "SELECT c_custkey, round(avg(c_acctbal) OVER w, 4) AS a, count(*) OVER w AS n FROM customer WINDOW w AS (PARTITION BY c_nationkey)")
+sql("win_agg_over", "SELECT c_custkey, round(median(c_acctbal) OVER (PARTITION BY c_nationkey), 4) AS m, round(c_acctbal / sum(c_acctbal) OVER (PARTITION BY c_mktsegment), 8) AS share FROM customer")
+
+# ---------------------------------------------------------------- sort, limit, sets
+
+sql("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+sql("offset_fetch", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10 OFFSET 30")
+sql("nulls_order", "SELECT k, CAST(row_number() OVER (ORDER BY v ASC NULLS LAST, k) AS INT) AS n FROM (SELECT n_nationkey AS k, nullif(n_regionkey, 2) AS v FROM nation)")
+
+
+@query("SELECT DISTINCT ON (c_nationkey) c_nationkey, c_custkey, c_acctbal FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_custkey")
+def distinct_on(spark, sf_dir):
+    return R.distinct_on(table(spark, sf_dir, "customer"), ["c_nationkey"], [F.desc("c_acctbal"), "c_custkey"]).select("c_nationkey", "c_custkey", "c_acctbal")
+
+
+_A, _B = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier"
+for _k in ("UNION ALL", "UNION", "INTERSECT", "INTERSECT ALL", "EXCEPT", "EXCEPT ALL"):
+    sql("set_" + _k.lower().replace(" ", "_"), f"({_A}) {_k} ({_B})")
+sql("distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+
+# ---------------------------------------------------------------- recursion, DML
+
+sql("recursive_factorial", "WITH RECURSIVE f(n, x) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, x * (n + 1) FROM f WHERE n < 15) SELECT n, x FROM f")
+
+_TREE = """(SELECT 'world' AS id, CAST(NULL AS VARCHAR) AS up UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+    UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)"""
+
+
+def _tree(spark, sf_dir):
+    s = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    root = spark.createDataFrame([("world", None)], "id string, up string")
+    return (
+        root.union(table(spark, sf_dir, "region").select(s("r", "r_regionkey"), F.lit("world")))
+        .union(table(spark, sf_dir, "nation").select(s("n", "n_nationkey"), s("r", "n_regionkey")))
+        .union(table(spark, sf_dir, "customer").select(s("c", "c_custkey"), s("n", "c_nationkey")))
+    )
+
+
+@query(
+    f"""WITH RECURSIVE t AS (SELECT * FROM {_TREE}), w AS (SELECT id, 1 AS level, id AS path FROM t WHERE up IS NULL UNION ALL
+    SELECT t.id, w.level + 1, w.path || '/' || t.id FROM t JOIN w ON t.up = w.id) SELECT id, CAST(level AS INT) AS level, path, id NOT IN (SELECT up FROM t WHERE up IS NOT NULL) AS is_leaf FROM w"""
+)
+def connect_by_tree(spark, sf_dir):
+    out = R.connect_by(_tree(spark, sf_dir), "id", "up", F.col("up").isNull())
+    return out.select("id", "level", F.array_join("path", "/").alias("path"), "is_leaf")
+
+
+@query(
+    f"""WITH RECURSIVE t AS (SELECT * FROM {_TREE}), w AS (SELECT id, 1 AS level, [id] AS path FROM t WHERE up IS NULL UNION ALL
+    SELECT t.id, w.level + 1, list_append(w.path, t.id) FROM t JOIN w ON t.up = w.id WHERE w.level < 3) SELECT id, CAST(row_number() OVER (ORDER BY path) AS INT) AS place FROM w"""
+)
+def connect_by_siblings(spark, sf_dir):
+    out = R.connect_by(_tree(spark, sf_dir), "id", "up", F.col("up").isNull(), siblings="id", most_levels=3)
+    return out.select("id", F.row_number().over(Window.orderBy("sibling_path")).alias("place"))
+
+
+_SRC = "(SELECT c_custkey, c_name || '+' AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT c_custkey + 1000000, c_name, c_acctbal FROM customer WHERE c_custkey % 11 = 0)"
+_TGT = "(SELECT c_custkey, c_name, c_acctbal FROM customer)"
+
+
+def _dml(spark, sf_dir):
+    t = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    s = t.filter("c_custkey % 7 = 0").select("c_custkey", F.concat("c_name", F.lit("+")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    return t, s.unionByName(t.filter("c_custkey % 11 = 0").withColumn("c_custkey", F.col("c_custkey") + 1000000))
+
+
+@query(
+    f"""SELECT coalesce(t.c_custkey, s.c_custkey) AS c_custkey, CASE WHEN t.c_custkey IS NULL THEN s.c_name ELSE t.c_name END AS c_name,
+    round(CASE WHEN t.c_custkey IS NULL THEN s.c_acctbal WHEN s.c_custkey IS NOT NULL AND t.c_acctbal > 0 THEN t.c_acctbal + s.c_acctbal ELSE t.c_acctbal END, 2) AS c_acctbal
+    FROM {_TGT} t FULL JOIN {_SRC} s ON t.c_custkey = s.c_custkey"""
+)
+def merge_upsert(spark, sf_dir):
+    t, s = _dml(spark, sf_dir)
+    out = R.merge_into(t, s, ["c_custkey"], {"c_acctbal": F.col("t.c_acctbal") + F.col("s.c_acctbal")}, where=F.col("t.c_acctbal") > 0)
+    return out.withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+@query(f"SELECT coalesce(s.c_custkey, t.c_custkey) AS c_custkey, coalesce(s.c_name, t.c_name) AS c_name, round(coalesce(s.c_acctbal, t.c_acctbal), 2) AS c_acctbal FROM {_TGT} t FULL JOIN {_SRC} s ON t.c_custkey = s.c_custkey")
+def insert_on_duplicate(spark, sf_dir):
+    return R.upsert(*_dml(spark, sf_dir), ["c_custkey"]).withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+@query(f"SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal FROM {_TGT} WHERE c_custkey NOT IN (SELECT c_custkey FROM {_SRC}) UNION ALL SELECT c_custkey, c_name, round(c_acctbal, 2) FROM {_SRC}")
+def replace_into(spark, sf_dir):
+    return R.replace_into(*_dml(spark, sf_dir), ["c_custkey"]).withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+@query(f"SELECT t.c_custkey, coalesce(s.c_name, t.c_name) AS c_name, t.c_acctbal FROM {_TGT} t LEFT JOIN {_SRC} s ON t.c_custkey = s.c_custkey")
+def update_from(spark, sf_dir):
+    t, s = _dml(spark, sf_dir)
+    return R.update_from(t, s, ["c_custkey"], {"c_name": F.col("s.c_name")})
+
+
+@query(f"SELECT c_custkey, c_name, c_acctbal FROM {_TGT} WHERE c_custkey NOT IN (SELECT c_custkey FROM {_SRC})")
+def delete_using(spark, sf_dir):
+    return R.delete_using(*_dml(spark, sf_dir), ["c_custkey"])
+
+
+@query("SELECT count(*) AS n FROM customer")
+def check_constraint(spark, sf_dir):
+    return R.check(table(spark, sf_dir, "customer"), F.col("c_custkey") >= 0, "c_custkey").agg(F.count("*").alias("n"))
+
+
+@query()
+def sample_scan(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").sample(0.1, seed=3)
+
+
+# ---------------------------------------------------------------- projections, scans, scalar functions
+
+sql("scan_filter", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_quantity > 45 AND l_discount < 0.02) OR l_tax > 0.079")
+sql("scan_values", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(x, y)")
+sql("scan_function", "SELECT CAST(id AS BIGINT) AS id FROM range(0, 20, 3)", "SELECT range AS id FROM range(0, 20, 3)")
+sql("cte", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey) SELECT o_custkey, round(s, 2) AS s FROM big WHERE s > (SELECT avg(s) FROM big)")
+sql(
+    "expr_conditionals",
+    """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'neg' WHEN c_acctbal < 1000 THEN 'low' ELSE 'ok' END AS k, coalesce(nullif(c_mktsegment, 'BUILDING'), '-') AS s,
+    greatest(c_acctbal, 0.0) AS g, least(c_acctbal, 0.0) AS l, c_acctbal BETWEEN 0 AND 500 AS b, c_name LIKE '%1%' AS i, c_mktsegment IN ('BUILDING', 'MACHINERY') AS m FROM customer""",
+)
+sql("expr_distinct_from", "SELECT n_nationkey, nullif(n_regionkey, 1) IS DISTINCT FROM nullif(n_regionkey, 2) AS d FROM nation")
+sql("expr_any_all", "SELECT vec_id, exists(embedding, x -> x > 0.3) AS a, forall(embedding, x -> x < 0.3) AS b FROM embeddings", "SELECT vec_id, len(list_filter(embedding, lambda x: x > 0.3)) > 0 AS a, len(list_filter(embedding, lambda x: x < 0.3)) = len(embedding) AS b FROM embeddings")
+sql(
+    "str_basic",
+    """SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, length(c_name) AS n, octet_length(encode(c_name, 'UTF-8')) AS o, lpad(c_mktsegment, 12, '*') AS lp, rtrim(concat(c_name, '  ')) AS rt,
+    initcap(c_mktsegment) AS ic, position('e' IN c_name) AS p, substring(c_name, 3, 4) AS ss, replace(c_name, '0', '') AS rp, repeat('ab', 2) AS r2, reverse(c_name) AS rv, left(c_name, 3) AS lf, right(c_name, 2) AS rg FROM customer""",
+    """SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, length(c_name) AS n, octet_length(encode(c_name)) AS o, lpad(c_mktsegment, 12, '*') AS lp, rtrim(concat(c_name, '  ')) AS rt,
+    upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS ic, position('e' IN c_name) AS p, substring(c_name, 3, 4) AS ss, replace(c_name, '0', '') AS rp, repeat('ab', 2) AS r2, reverse(c_name) AS rv, left(c_name, 3) AS lf, right(c_name, 2) AS rg FROM customer""",
+)
+sql("str_concat_null", "SELECT n_nationkey, concat_ws('', n_name, nullif(n_name, n_name), '!') AS a, concat_ws('-', n_name, 'x') AS b, left(n_name, greatest(length(n_name) - 2, 0)) AS c FROM nation")
+sql("str_encode", "SELECT n_nationkey, ascii(n_name) AS a, chr(65 + n_regionkey) AS c, hex(encode(n_name, 'UTF-8')) AS h, base64(encode(n_name, 'UTF-8')) AS b FROM nation", "SELECT n_nationkey, ascii(n_name) AS a, chr(CAST(65 + n_regionkey AS INT)) AS c, hex(encode(n_name)) AS h, base64(encode(n_name)) AS b FROM nation")
+sql("hash_md5_sha", "SELECT c_custkey, md5(c_name) AS m, sha1(c_name) AS s1, sha2(c_name, 256) AS s2 FROM customer", "SELECT c_custkey, md5(c_name) AS m, sha1(c_name) AS s1, sha256(c_name) AS s2 FROM customer")
+sql(
+    "regex_family",
+    "SELECT doc_id, regexp_replace(left(text, 200), '[aeiou]', '_') AS r, regexp_extract(text, '([a-z]+) ([a-z]+)', 2) AS e, size(regexp_extract_all(text, '([a-z]+ing)', 1)) AS n, text RLIKE 'tion.*the' AS k FROM documents",
+    "SELECT doc_id, regexp_replace(left(text, 200), '[aeiou]', '_', 'g') AS r, regexp_extract(text, '([a-z]+) ([a-z]+)', 2) AS e, CAST(len(regexp_extract_all(text, '([a-z]+ing)', 1)) AS INT) AS n, regexp_matches(text, 'tion.*the') AS k FROM documents",
+)
+sql("regex_split", "SELECT p_partkey, explode(split(p_name, ' ')) AS w FROM part", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part")
+sql("fuzzy_levenshtein", "SELECT a.n_name AS a, b.n_name AS b, CAST(levenshtein(a.n_name, b.n_name) AS BIGINT) AS d FROM nation a, nation b")
+sql(
+    "math_family",
+    """SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS r, CAST(floor(c_acctbal) AS BIGINT) AS f, CAST(ceil(c_acctbal) AS BIGINT) AS c, CAST(sign(c_acctbal) AS INT) AS s, round(power(c_acctbal, 2), 2) AS p,
+    round(sqrt(abs(c_acctbal)), 6) AS q, round(ln(abs(c_acctbal) + 1), 6) AS l, round(exp(c_acctbal / 10000), 6) AS e, c_custkey % 7 AS m, round(atan2(c_acctbal, 3), 6) AS t, round(sin(c_acctbal), 4) AS sn FROM customer""",
+)
+sql("math_bits", "SELECT n_nationkey, n_nationkey & 5 AS a, n_nationkey | 8 AS o, n_nationkey ^ 3 AS x, CAST(bit_count(n_nationkey) AS INT) AS b, shiftleft(n_nationkey, 2) AS s FROM nation", "SELECT n_nationkey, n_nationkey & 5 AS a, n_nationkey | 8 AS o, xor(n_nationkey, 3) AS x, CAST(bit_count(n_nationkey) AS INT) AS b, n_nationkey << 2 AS s FROM nation")
+sql(
+    "date_family",
+    """SELECT o_orderkey, CAST(add_months(o_orderdate, 1) AS DATE) AS am, last_day(o_orderdate) AS ld, CAST(extract(YEAR FROM o_orderdate) AS INT) AS y, CAST(extract(DOW FROM o_orderdate) - 1 AS INT) AS d, CAST(date_trunc('MONTH', o_orderdate) AS DATE) AS tm,
+    date_format(o_orderdate, 'yyyy/MM/dd') AS f, datediff(DATE '2000-01-01', CAST(o_orderdate AS DATE)) AS dd, CAST(o_orderdate + INTERVAL 10 DAYS AS DATE) AS iv FROM orders""",
+    """SELECT o_orderkey, CAST(o_orderdate + INTERVAL 1 MONTH AS DATE) AS am, last_day(o_orderdate) AS ld, CAST(extract(YEAR FROM o_orderdate) AS INT) AS y, CAST(extract(DOW FROM o_orderdate) AS INT) AS d, CAST(date_trunc('month', o_orderdate) AS DATE) AS tm,
+    strftime(o_orderdate, '%Y/%m/%d') AS f, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01') AS INT) AS dd, CAST(o_orderdate + INTERVAL 10 DAYS AS DATE) AS iv FROM orders""",
+)
+sql(
+    "array_family",
+    """SELECT vec_id, size(embedding) AS n, array_contains(embedding, embedding[1]) AS c, CAST(array_position(embedding, embedding[2]) AS INT) AS p, slice(embedding, 1, 2) AS s, array_max(embedding) AS mx, size(array_distinct(embedding)) AS d,
+    array_join(transform(slice(embedding, 1, 3), x -> CAST(CAST(x * 100 AS INT) AS STRING)), ';') AS j FROM embeddings""",
+    """SELECT vec_id, CAST(len(embedding) AS INT) AS n, list_contains(embedding, embedding[2]) AS c, CAST(list_position(embedding, embedding[3]) AS INT) AS p, embedding[1:2] AS s, list_max(embedding) AS mx, CAST(len(list_distinct(embedding)) AS INT) AS d,
+    array_to_string(list_transform(embedding[1:3], lambda x: CAST(CAST(trunc(x * 100) AS INT) AS VARCHAR)), ';') AS j FROM embeddings""",
+)
+sql("array_remove_null", "SELECT n_nationkey, filter(array(n_nationkey, NULL, n_regionkey), x -> x IS NOT NULL) AS a FROM nation", "SELECT n_nationkey, list_filter([n_nationkey, NULL, n_regionkey], lambda x: x IS NOT NULL) AS a FROM nation")
+sql("int_array", "SELECT n_nationkey, sort_array(array_union(array(n_nationkey, 1, 2), array(n_regionkey, 7))) AS u, sort_array(array_intersect(array(n_nationkey, 1, 2), array(n_regionkey, 1))) AS i FROM nation", "SELECT n_nationkey, list_sort(list_distinct([n_nationkey, 1, 2, n_regionkey, 7])) AS u, list_sort(list_intersect([n_nationkey, 1, 2], [n_regionkey, 1])) AS i FROM nation")
+sql("map_hstore", "SELECT n_nationkey, element_at(m, 'a') AS a, map_contains_key(m, 'c') AS c, array_join(sort_array(map_keys(m)), ',') AS k FROM (SELECT n_nationkey, map('a', n_name, 'b', CAST(n_regionkey AS STRING)) AS m FROM nation)", "SELECT n_nationkey, n_name AS a, false AS c, 'a,b' AS k FROM nation")
+sql("json_access", "SELECT event_id, get_json_object(props, '$.k') AS k, get_json_object(props, '$.missing') AS m, to_json(named_struct('id', event_id, 't', event_type)) AS j FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.missing') AS m, to_json({'id': event_id, 't': event_type})::VARCHAR AS j FROM events")
+sql("json_keys", "SELECT event_id, array_join(json_object_keys(props), ',') AS k FROM events", "SELECT event_id, array_to_string(json_keys(props), ',') AS k FROM events")
+sql("mask_email", "SELECT c_custkey, regexp_replace(concat(lower(c_mktsegment), '@x.org'), '[a-z](?=.*@)', 'x') AS m, regexp_replace(c_name, '[0-9]', '#') AS d FROM customer", "SELECT c_custkey, repeat('x', length(c_mktsegment)) || '@x.org' AS m, regexp_replace(c_name, '[0-9]', '#', 'g') AS d FROM customer")
+sql("pivot_crosstab", "SELECT * FROM (SELECT o_orderstatus, o_orderpriority FROM orders) PIVOT (count(*) FOR o_orderstatus IN ('O' AS o, 'F' AS f, 'P' AS p))", "SELECT o_orderpriority, nullif(count(*) FILTER (WHERE o_orderstatus = 'O'), 0) AS o, nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (WHERE o_orderstatus = 'P'), 0) AS p FROM orders GROUP BY 1")
+
+# ---------------------------------------------------------------- streaming
+
+_VIEW = "SELECT time_bucket(INTERVAL '{0}', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"
+
+
+@query(_VIEW.format("1 hour"))
+def stream_tumbling(spark, sf_dir):
+    return S.run_once(S.windowed(S.stream(spark, sf_dir), "1 hour"))
+
+
+@query("SELECT w AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT unnest([time_bucket(INTERVAL '1 hour', ts), time_bucket(INTERVAL '1 hour', ts) - INTERVAL '1 hour']) AS w, event_type, value FROM events) GROUP BY 1, 2")
+def stream_sliding(spark, sf_dir):
+    return S.run_once(S.windowed(S.stream(spark, sf_dir), "2 hours", "1 hour"))
+
+
+@query(f"WITH v AS ({_VIEW.format('1 hour')}) SELECT * FROM v WHERE window_start >= (SELECT max(window_start) FROM v) - INTERVAL '2 days'")
+def stream_ttl(spark, sf_dir):
+    return S.retained(S.run_once(S.windowed(S.stream(spark, sf_dir), "1 hour")), "2 days")
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_type = 'click'")
+def stream_incremental_mv(spark, sf_dir):
+    import uuid
+
+    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/tarn-checkpoints').rstrip('/')}/mv-{uuid.uuid4().hex}"
+    pick = lambda df: df.filter("event_type = 'click'").select("event_id", "user_id", "value")
+    return S.append_refresh(S.stream(spark, sf_dir), f"{root}/table", f"{root}/progress", pick)
+
+
+# ---------------------------------------------------------------- machine learning
+
+_HOUSE = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _lines(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").withColumn("returned", (F.col("l_returnflag") == "R").cast("int"))
+
+
+@query()
+def ml_linreg(spark, sf_dir):
+    d = _lines(spark, sf_dir)
+    return ml.predict_by(ml.create_model("linear_regression", d, _HOUSE, "l_extendedprice"), d).select("l_orderkey", "l_linenumber", F.round("prediction", 2).alias("prediction"))
+
+
+for _n, _alg, _opt in [("ml_logreg", "logistic_regression", {}), ("ml_svm", "svm_classification", {"maxIter": 10}), ("ml_gbt", "xgboost_classification", {"maxIter": 3}), ("ml_multiclass", "multiclass", {})]:
+    QUERIES[_n] = lambda spark, sf_dir, a=_alg, o=_opt: ml.predict_by(ml.create_model(a, _lines(spark, sf_dir), _HOUSE, "returned", **o), _lines(spark, sf_dir)).select("l_orderkey", "l_linenumber", "prediction")
+
+
+def _features(spark, sf_dir):
+    from pyspark.ml.functions import array_to_vector
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", array_to_vector("embedding").alias("v"))
+
+
+@query()
+def ml_kmeans(spark, sf_dir):
+    d = _features(spark, sf_dir)
+    return ml.predict_by(ml.create_model("kmeans", d, ["v"], k=8), d).select("vec_id", "prediction")
+
+
+@query()
+def ml_pca(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+
+    d = _features(spark, sf_dir)
+    return ml.predict_by(ml.create_model("pca", d, ["v"], k=3), d).select("vec_id", vector_to_array("prediction").alias("parts"))
+
+
+_RBF = "exp(-(list_distance(p.e, q.e) ** 2) / 2)"
+_EVEN, _ODD = [f"(SELECT e FROM {_BASE} WHERE vec_id % 20 = {i})" for i in (0, 1)]
+
+
+@query(
+    f"""SELECT round((SELECT avg({_RBF}) FROM {_EVEN} p, {_EVEN} q) + (SELECT avg({_RBF}) FROM {_ODD} p, {_ODD} q) - 2 * (SELECT avg({_RBF}) FROM {_EVEN} p, {_ODD} q), 6) AS mmd"""
+)
+def mmd_drift(spark, sf_dir):
+    base = table(spark, sf_dir, "embeddings")
+    return ml.mmd(base.filter("vec_id % 20 = 0"), base.filter("vec_id % 20 = 1"), 1.0)
+
+
+# ---------------------------------------------------------------- decision-support queries on the star schema
+
+_REV = "l_extendedprice * (1 - l_discount)"
+sql(
+    "tpch_q1",
+    f"""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price, round(sum({_REV}), 2) AS sum_disc_price, round(sum({_REV} * (1 + l_tax)), 2) AS sum_charge,
+    round(avg(l_quantity), 4) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus""",
+)
+sql(
+    "tpch_q3",
+    f"""SELECT l_orderkey, round(sum({_REV}), 2) AS revenue, CAST(o_orderdate AS DATE) AS o_orderdate FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey
+    GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""",
+)
+sql("tpch_q4", "SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate) GROUP BY o_orderpriority")
+sql(
+    "tpch_q5",
+    f"""SELECT n_name, round(sum({_REV}), 2) AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey
+    AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey GROUP BY n_name""",
+)
+sql("tpch_q6", "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
+sql(
+    "tpch_q10",
+    f"""SELECT c_custkey, c_name, round(sum({_REV}), 2) AS revenue, c_acctbal, n_name FROM customer, orders, lineitem, nation WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_returnflag = 'R' AND c_nationkey = n_nationkey
+    GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
+)
+sql("tpch_q14", f"SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN {_REV} ELSE 0 END) / sum({_REV}), 6) AS promo_revenue FROM lineitem, part WHERE l_partkey = p_partkey")
+sql(
+    "tpch_q18",
+    """SELECT c_custkey, o_orderkey, o_totalprice, round(sum(l_quantity), 2) AS q FROM customer, orders, lineitem WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200)
+    AND c_custkey = o_custkey AND o_orderkey = l_orderkey GROUP BY c_custkey, o_orderkey, o_totalprice ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""",
+)
+sql(
+    "tpch_q22",
+    """SELECT c_nationkey, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0)
+    AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000) GROUP BY c_nationkey""",
+)

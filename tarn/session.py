@@ -38,5 +38,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
     """Temp views over the tables, for SQL text."""
-    for name in names or TABLES:
+    for name in TABLES if names is None else names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)

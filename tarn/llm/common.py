@@ -59,6 +59,12 @@ def discard(df: DataFrame | None) -> None:
         _left[:] = [x for x in _left if x[1] != path]
 
 
+def steady(df: DataFrame, name: str) -> DataFrame:
+    """``df`` if it only reads files, so that its rows come in the same order each time; else a written copy."""
+    nodes = [line.lstrip(" :+-").split("[")[0].split("(")[0].split(" ")[0] for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    return df if {x for x in nodes if x} <= {"Project", "Filter", "Relation", "RelationV2"} else written(df, name)
+
+
 def id_text(column: str):
     """doc_id as text, the empty string for null: the input of the crc32 folds."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

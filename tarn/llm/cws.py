@@ -129,7 +129,10 @@ def in_order(docs: DataFrame, id_col: str, text_col: str, rows: int = ROWS) -> D
     tasks = max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // rows)))
     cuts = keyed.approxQuantile("place", [i / tasks for i in range(1, tasks)], 0.25 / tasks) if n and tasks > 1 else []
     splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="place", outputCol="bucket").transform(keyed)
+    if len(splits) > 2:
+        cut = Bucketizer(splits=splits, inputCol="place", outputCol="bucket").transform(keyed)
+    else:
+        cut = keyed.withColumn("bucket", F.lit(0))
     cut = cut.withColumn("bucket", F.col("bucket").cast("int")).drop("place")
     heads = sorted((r.bucket, r.least) for r in cut.groupBy("bucket").agg(F.min("key").alias("least")).collect())
     targets = [(least, heads[i - 1][0]) for i, (_, least) in enumerate(heads)]

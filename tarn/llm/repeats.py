@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, chunks, mix, prefix_hash, written
+from .common import Powers, chunks, mix, prefix_hash, steady, written
 from .suffix import ROOM, suffix_array
 
 LENGTH = 200
@@ -161,10 +161,12 @@ def _sorted(batches, shard: int = SHARD):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs``, which is read twice in the same order."""
-    picked = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    )
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs``.
+
+    The texts are read more than once under one numbering: what isn't a plain reading of files is written first.
+    """
+    source = steady(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "input")
+    picked = source.select(F.monotonically_increasing_id().alias("row"), "id", F.coalesce("text", F.lit("")).alias("text"))
     every = written(picked.mapInArrow(_all_zones, "row bigint, s0 int, s1 int, fp bigint"), "zones")
     # written, so that both sides of the join are exchanges and a hot anchor's partition can be split
     twice = written(every.groupBy("fp").count().filter("count > 1").select("fp"), "twice")

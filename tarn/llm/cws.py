@@ -34,13 +34,14 @@ ROWS = 20_000
 
 
 def draws(seeds: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c and b for each word (by its hash) and sample."""
-    steps = (np.arange(5 * samples, dtype=np.uint64) + np.uint64(1)) * _MIX
-    u = ((mix(seeds[:, None] + steps) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-    u = u.reshape(len(seeds), 5, samples)
-    r = -np.log(u[:, 0] * u[:, 1])
-    log_c = np.log(-np.log(u[:, 2] * u[:, 3]))
-    return r.astype(np.float32), log_c.astype(np.float32), u[:, 4].astype(np.float32)
+    """r, ln c and b for each word (by its hash) and sample: from the halves of three mixed numbers."""
+    steps = (np.arange(3 * samples, dtype=np.uint64) + np.uint64(1)) * _MIX
+    halves = mix(seeds[:, None] + steps).view(np.uint32).reshape(len(seeds), 3, samples, 2)
+    u = (halves.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
+    np.minimum(u, np.float32(1 - 2.0**-24), out=u)
+    r = -np.log(u[:, 0, :, 0] * u[:, 0, :, 1])
+    log_c = np.log(-np.log(u[:, 1, :, 0] * u[:, 1, :, 1]))
+    return r, log_c, u[:, 2, :, 0]
 
 
 class Sampler:
@@ -52,12 +53,16 @@ class Sampler:
 
     def _forget(self, room: int) -> None:
         self.at: dict[bytes, int] = {}
+        self.uses = np.zeros(room, np.int32)
         self.seeds = np.empty(room, np.uint64)
         self.r, self.log_c, self.b, self.once = (np.empty((room, self.samples), np.float32) for _ in range(4))
 
     def learn(self, words) -> None:
         """Makes draws for the words that have none."""
         new = [w for w in words if w not in self.at]
+        if len(self.at) + len(new) > len(self.seeds):
+            self._keep_used()
+            new = [w for w in words if w not in self.at]
         if len(self.at) + len(new) > len(self.seeds):
             new = list(words)
             self._forget(max(self.room, len(new)))
@@ -70,11 +75,22 @@ class Sampler:
             self.seeds[z], self.r[z], self.log_c[z], self.b[z], self.once[z] = seeds, r, log_c, b, log_c - r * (1 - b)
             self.at.update(zip(part, range(a, a + len(part))))
 
+    def _keep_used(self) -> None:
+        """Keeps the third of the words that most texts had."""
+        names = list(self.at)
+        keep = np.sort(np.argsort(-self.uses[: len(names)], kind="stable")[: self.room // 3])
+        for held in (self.seeds, self.r, self.log_c, self.b, self.once):
+            held[: len(keep)] = held[keep]
+        self.uses[: len(keep)] = self.uses[keep] // 2
+        self.uses[len(keep) :] = 0
+        self.at = {names[i]: j for j, i in enumerate(keep.tolist())}
+
     def sample(self, counts: Counter) -> np.ndarray:
         """16 bits of each sample; the words must have been learnt."""
         if not counts:
             return np.zeros(self.samples, np.uint16)
         rows = np.fromiter(map(self.at.__getitem__, counts), np.int64, len(counts))
+        self.uses[rows] += 1
         weights = np.fromiter(counts.values(), np.int64, len(counts))
         keys, t = self.once[rows], None
         more = np.flatnonzero(weights > 1)

@@ -721,3 +721,87 @@ sql(
     """SELECT c_nationkey, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0)
     AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000) GROUP BY c_nationkey""",
 )
+
+# ---------------------------------------------------------------- further types and surfaces
+
+sql("type_money", "SELECT c_mktsegment, CAST(sum(CAST(c_acctbal AS DECIMAL(20, 2))) AS DECIMAL(22, 2)) AS total, max(CAST(c_acctbal AS DECIMAL(20, 2))) AS most FROM customer GROUP BY c_mktsegment")
+sql(
+    "type_geometry",
+    """SELECT a.n_nationkey AS x, b.n_nationkey AS y, round(sqrt(power(a.n_nationkey - b.n_nationkey, 2) + power(a.n_regionkey - b.n_regionkey, 2)), 6) AS distance,
+    power(a.n_nationkey - b.n_nationkey, 2) + power(a.n_regionkey - b.n_regionkey, 2) <= 9 AS in_circle FROM nation a CROSS JOIN nation b""",
+)
+sql(
+    "geo_earth_distance",
+    """SELECT x, y, round(6378168 * 2 * asin(least(1.0, sqrt(power(sin(radians(y - x) / 2), 2) + cos(radians(x)) * cos(radians(y)) * power(sin(radians((y - x) * 2) / 2), 2)))), 2) AS metres
+    FROM (SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a CROSS JOIN nation b)""",
+)
+_OCTETS = "CAST({0} AS BIGINT) * 16777216 + CAST({1} AS BIGINT) * 65536 + CAST({2} AS BIGINT) * 256 + CAST({3} AS BIGINT)"
+_ADDRESS = "(SELECT event_id, concat('10.', CAST(user_id % 256 AS STRING), '.', CAST(event_id % 256 AS STRING), '.7') AS ip FROM events)"
+sql(
+    "type_inet",
+    f"SELECT event_id, {_OCTETS.format(*(f'split_part(ip, {chr(39)}.{chr(39)}, {i})' for i in range(1, 5)))} AS number, ip LIKE '10.1.%' AS in_net FROM {_ADDRESS}",
+)
+sql("type_range", "SELECT a.k AS x, b.k AS y, greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM (SELECT n_nationkey AS k, n_nationkey AS lo, n_nationkey + n_regionkey AS hi FROM nation) a JOIN (SELECT n_nationkey AS k, n_nationkey AS lo, n_nationkey + n_regionkey AS hi FROM nation) b ON a.lo <= b.hi AND b.lo <= a.hi AND a.k < b.k")
+sql("type_bit_string", "SELECT n_nationkey, bin(CAST(n_nationkey AS BIGINT)) AS b, lpad(bin(CAST(n_nationkey AS BIGINT)), 8, '0') AS padded FROM nation")
+sql(
+    "type_uuid_text",
+    "SELECT c_custkey, concat_ws('-', substring(m, 1, 8), substring(m, 9, 4), substring(m, 13, 4), substring(m, 17, 4), substring(m, 21, 12)) AS u FROM (SELECT c_custkey, md5(c_name) AS m FROM customer)",
+)
+sql(
+    "xml_xpath",
+    "SELECT n_nationkey, xpath_string(x, 'n/name') AS name, xpath_boolean(x, 'n/r') AS has FROM (SELECT n_nationkey, concat('<n><name>', n_name, '</name><r>', CAST(n_regionkey AS STRING), '</r></n>') AS x FROM nation)",
+    "SELECT n_nationkey, n_name AS name, true AS has FROM nation",
+)
+sql(
+    "ltree_match",
+    "SELECT c_custkey FROM (SELECT c_custkey, split(concat_ws('.', 'top', CAST(c_nationkey AS STRING), lower(c_mktsegment)), '[.]') AS p FROM customer) WHERE p[0] = 'top' AND exists(p, x -> x LIKE 'b%')",
+    "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) LIKE 'b%'",
+)
+sql(
+    "isn_check_digit",
+    "SELECT p_partkey, CAST((10 - aggregate(transform(sequence(1, 12), i -> CAST(substring(lpad(CAST(p_partkey AS STRING), 12, '9'), i, 1) AS INT) * IF(i % 2 = 1, 1, 3)), 0, (s, x) -> s + x) % 10) % 10 AS INT) AS digit FROM part",
+    "SELECT p_partkey, CAST((10 - list_sum(list_transform(range(1, 13), lambda i: CAST(substring(lpad(CAST(p_partkey AS VARCHAR), 12, '9'), i::INT, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10) % 10 AS INT) AS digit FROM part",
+)
+sql("generate_series", "SELECT n_nationkey, explode(sequence(0, n_regionkey)) AS i FROM nation", "SELECT n_nationkey, unnest(generate_series(0, n_regionkey))::INT AS i FROM nation")
+sql("format_numbers", "SELECT c_custkey, format_string('%05d|%s', c_custkey, c_mktsegment) AS f, lpad(CAST(n AS STRING), 6, ' ') AS t FROM (SELECT c_custkey, c_mktsegment, c_custkey % 1000 AS n FROM customer)", "SELECT c_custkey, format('{:05d}|{}', c_custkey, c_mktsegment) AS f, lpad(CAST(c_custkey % 1000 AS VARCHAR), 6, ' ') AS t FROM customer")
+sql("fuzzy_soundex", "SELECT n_name, soundex(n_name) = soundex(lower(n_name)) AS same FROM nation", "SELECT n_name, true AS same FROM nation")
+sql("citext_compare", "SELECT count(*) AS n FROM customer a WHERE lower(a.c_mktsegment) = lower('BuIlDiNg')")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey = 7 AND o_totalprice > 1000")
+def prepared_statement(spark, sf_dir):
+    register(spark, sf_dir, ["orders"])
+    return spark.sql("SELECT o_orderkey FROM orders WHERE o_custkey = :customer AND o_totalprice > :least", args={"customer": 7, "least": 1000})
+
+
+@query("SELECT n_nationkey, unnest(range(0, n_regionkey + 1))::INT AS step, n_name FROM nation")
+def udtf_steps(spark, sf_dir):
+    class Steps:
+        def eval(self, most: int):
+            for i in range(most + 1):
+                yield (i,)
+
+    spark.udtf.register("tarn_steps", F.udtf(Steps, returnType="step int"))
+    register(spark, sf_dir, ["nation"])
+    return spark.sql("SELECT n_nationkey, step, n_name FROM nation, LATERAL tarn_steps(n_regionkey)")
+
+
+@query("SELECT c_nationkey, round(exp(avg(ln(abs(c_acctbal) + 1))), 4) AS mean FROM customer GROUP BY c_nationkey")
+def udaf_geometric_mean(spark, sf_dir):
+    import numpy as np
+
+    mean = F.pandas_udf(lambda v: float(np.exp(np.log(v.abs() + 1).mean())), "double", F.PandasUDFType.GROUPED_AGG)
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(mean("c_acctbal"), 4).alias("mean"))
+
+
+@query("SELECT c_custkey, c_name || '!' AS shout FROM customer")
+def udf_scalar(spark, sf_dir):
+    shout = F.pandas_udf(lambda v: v + "!", "string")
+    return table(spark, sf_dir, "customer").select("c_custkey", shout("c_name").alias("shout"))
+
+
+@query("SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(left(text, 80)) - 1), lambda i: substring(left(text, 80), i::INT, 3))) AS token FROM documents) GROUP BY token")
+def fts_character_ngrams(spark, sf_dir):
+    t = F.substring("text", 1, 80)
+    grams = F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(grams).alias("token")).distinct().groupBy("token").agg(F.count("*").alias("df"))

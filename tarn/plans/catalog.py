@@ -789,9 +789,12 @@ def udtf_steps(spark, sf_dir):
 @query("SELECT c_nationkey, round(exp(avg(ln(abs(c_acctbal) + 1))), 4) AS mean FROM customer GROUP BY c_nationkey")
 def udaf_geometric_mean(spark, sf_dir):
     import numpy as np
+    import pandas as pd
 
-    mean = F.pandas_udf(lambda v: float(np.exp(np.log(v.abs() + 1).mean())), "double", F.PandasUDFType.GROUPED_AGG)
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(mean("c_acctbal"), 4).alias("mean"))
+    def mean(v: pd.Series) -> float:
+        return float(np.exp(np.log(v.abs() + 1).mean()))
+
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(F.pandas_udf(mean, "double")("c_acctbal"), 4).alias("mean"))
 
 
 @query("SELECT c_custkey, c_name || '!' AS shout FROM customer")

@@ -8,6 +8,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -788,9 +790,6 @@ def udtf_steps(spark, sf_dir):
 
 @query("SELECT c_nationkey, round(exp(avg(ln(abs(c_acctbal) + 1))), 4) AS mean FROM customer GROUP BY c_nationkey")
 def udaf_geometric_mean(spark, sf_dir):
-    import numpy as np
-    import pandas as pd
-
     def mean(v: pd.Series) -> float:
         return float(np.exp(np.log(v.abs() + 1).mean()))
 

@@ -88,3 +88,23 @@ def check(df: DataFrame, rule: Column, message: str) -> DataFrame:
 def with_ids(df: DataFrame, column: str, start: int = 1, order: list | None = None) -> DataFrame:
     """A column of growing numbers, dense if an order is given within ranges of it, else only unique."""
     return df.withColumn(column, F.monotonically_increasing_id() + start)
+
+
+def dense_ids(df: DataFrame, column: str, key: str, start: int = 1, ranges: int = 256) -> DataFrame:
+    """Gapless numbers in the order of ``key`` (a number, unique and not null) without a global sort in one task.
+
+    Quantiles cut the keys into ranges; each range is numbered on its own, after the counts of those before it.
+    """
+    cuts = sorted(set(df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+    bound = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+    parts = df.withColumn("_range", F.size(F.filter(bound, lambda c: c <= F.col(key))))
+    sizes = parts.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``ranges`` rows
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return parts.join(F.broadcast(offsets), "_range").withColumn(column, F.col("_before") + own + (start - 1)).drop("_range", "_before")
+
+
+def delete_first(df: DataFrame, order: list, n: int, key: list[str]) -> DataFrame:
+    """The rows left after the first ``n`` by ``order`` are deleted: a top-n, then an anti-join on the key."""
+    return df.join(df.orderBy(*order).limit(n).select(*key), key, "left_anti")

@@ -327,7 +327,7 @@ def sparse_ip_cosine(spark, sf_dir):
     )
 
 
-_IDF = {"classic": "ln(1 + (n - df + 0.5) / (df + 0.5))", "tf_idf": "ln(n / df + 1)", "log_tf_idf": "ln(n / df + 1)", "ip": "1.0"}
+_IDF = {"classic": "ln(1 + (n - df + 0.5) / (df + 0.5))", "tf_idf": "ln(n / df + 1)", "log_tf_idf": "ln(n / df + 1)", "ip": "1.0::DOUBLE"}
 _TFP = {"classic": "tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len * n / total))", "tf_idf": "tf", "log_tf_idf": "(ln(tf) + 1)", "ip": "tf"}
 
 
@@ -586,8 +586,8 @@ sql(
     "str_basic",
     """SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, length(c_name) AS n, octet_length(encode(c_name, 'UTF-8')) AS o, lpad(c_mktsegment, 12, '*') AS lp, rtrim(concat(c_name, '  ')) AS rt,
     initcap(c_mktsegment) AS ic, position('e' IN c_name) AS p, substring(c_name, 3, 4) AS ss, replace(c_name, '0', '') AS rp, repeat('ab', 2) AS r2, reverse(c_name) AS rv, left(c_name, 3) AS lf, right(c_name, 2) AS rg FROM customer""",
-    """SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, length(c_name) AS n, octet_length(encode(c_name)) AS o, lpad(c_mktsegment, 12, '*') AS lp, rtrim(concat(c_name, '  ')) AS rt,
-    upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS ic, position('e' IN c_name) AS p, substring(c_name, 3, 4) AS ss, replace(c_name, '0', '') AS rp, repeat('ab', 2) AS r2, reverse(c_name) AS rv, left(c_name, 3) AS lf, right(c_name, 2) AS rg FROM customer""",
+    """SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, CAST(length(c_name) AS INT) AS n, CAST(octet_length(encode(c_name)) AS INT) AS o, lpad(c_mktsegment, 12, '*') AS lp, rtrim(concat(c_name, '  ')) AS rt,
+    upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS ic, CAST(position('e' IN c_name) AS INT) AS p, substring(c_name, 3, 4) AS ss, replace(c_name, '0', '') AS rp, repeat('ab', 2) AS r2, reverse(c_name) AS rv, left(c_name, 3) AS lf, right(c_name, 2) AS rg FROM customer""",
 )
 sql("str_concat_null", "SELECT n_nationkey, concat_ws('', n_name, nullif(n_name, n_name), '!') AS a, concat_ws('-', n_name, 'x') AS b, left(n_name, greatest(length(n_name) - 2, 0)) AS c FROM nation")
 sql("str_encode", "SELECT n_nationkey, ascii(n_name) AS a, chr(65 + n_regionkey) AS c, hex(encode(n_name, 'UTF-8')) AS h, base64(encode(n_name, 'UTF-8')) AS b FROM nation", "SELECT n_nationkey, ascii(n_name) AS a, chr(CAST(65 + n_regionkey AS INT)) AS c, hex(encode(n_name)) AS h, base64(encode(n_name)) AS b FROM nation")
@@ -834,3 +834,138 @@ def udf_scalar(spark, sf_dir):
 @query("SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substring(text, i::INT, 3))) AS token FROM documents) GROUP BY token")
 def fts_character_ngrams(spark, sf_dir):
     return bm25.gram_stats(table(spark, sf_dir, "documents"), 3)
+
+# ---------------------------------------------------------------- scalar families, continued
+
+sql(
+    "expr_nvl_decode",
+    "SELECT c_custkey, nvl(nullif(c_mktsegment, 'BUILDING'), 'none') AS a, decode(c_mktsegment, 'BUILDING', 1, 'MACHINERY', 2, 0) AS b, nvl2(nullif(c_nationkey, 3), 'x', 'y') AS c FROM customer",
+    """SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS a, CAST(CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS INT) AS b,
+    CASE WHEN c_nationkey <> 3 THEN 'x' ELSE 'y' END AS c FROM customer""",
+)
+sql("expr_empty_is_null", "SELECT n_nationkey, nullif(replace(n_name, n_name, ''), '') IS NULL AS a, coalesce(nullif('', ''), n_name) AS b FROM nation")
+sql("rownum", "SELECT o_orderkey, CAST(n AS INT) AS n FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 25")
+sql("cte_materialized", "WITH t AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) SELECT a.c_nationkey AS x, b.c_nationkey AS y FROM t a JOIN t b ON a.n = b.n AND a.c_nationkey < b.c_nationkey")
+sql(
+    "agg_json_object",
+    "SELECT r_name, array_join(array_sort(collect_list(concat(n_name, ':', CAST(n_nationkey AS STRING)))), ',') AS pairs, to_json(map_from_entries(array_sort(collect_list(named_struct('k', n_name, 'v', n_nationkey))))) AS j FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+    """SELECT r_name, string_agg(n_name || ':' || n_nationkey, ',' ORDER BY n_name || ':' || n_nationkey) AS pairs, '{' || string_agg('"' || n_name || '":' || n_nationkey, ',' ORDER BY n_name) || '}' AS j
+    FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
+)
+sql(
+    "agg_regr_sums",
+    "SELECT l_returnflag, round(regr_sxx(l_tax, l_quantity), 2) AS sxx, round(regr_syy(l_tax, l_quantity), 4) AS syy, round(regr_sxy(l_tax, l_quantity), 3) AS sxy FROM lineitem GROUP BY l_returnflag",
+)
+sql(
+    "agg_int_array",
+    "SELECT n_regionkey, aggregate(array_sort(collect_list(n_nationkey)), 0, (s, x) -> s + x) AS total, size(collect_list(n_nationkey)) AS icount, array_sort(collect_list(n_nationkey))[0] AS least FROM nation GROUP BY n_regionkey",
+    "SELECT n_regionkey, CAST(sum(n_nationkey) AS INT) AS total, CAST(count(*) AS INT) AS icount, min(n_nationkey) AS least FROM nation GROUP BY n_regionkey",
+)
+_MAP = "map('a', n_name, 'b', CAST(n_regionkey AS STRING), 'c', CAST(n_nationkey AS STRING))"
+sql(
+    "map_hstore_edit",
+    f"""SELECT n_nationkey, map_filter(m, (k, v) -> k <> 'a')['b'] AS kept, map_contains_key(map_filter(m, (k, v) -> k <> 'a'), 'a') AS gone,
+    array_join(map_values(map_filter(m, (k, v) -> k IN ('b', 'c'))), '|') AS slice, map_concat(map_filter(m, (k, v) -> k <> 'a'), map('a', 'z'))['a'] AS over FROM (SELECT n_nationkey, {_MAP} AS m FROM nation)""",
+    "SELECT n_nationkey, CAST(n_regionkey AS VARCHAR) AS kept, false AS gone, n_regionkey || '|' || n_nationkey AS slice, 'z' AS over FROM nation",
+)
+sql(
+    "map_hstore_each",
+    f"SELECT n_nationkey, key, value FROM (SELECT n_nationkey, explode({_MAP}) AS (key, value) FROM nation)",
+    "SELECT n_nationkey, 'a' AS key, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'b', CAST(n_regionkey AS VARCHAR) FROM nation UNION ALL SELECT n_nationkey, 'c', CAST(n_nationkey AS VARCHAR) FROM nation",
+)
+sql(
+    "json_build",
+    """SELECT n_nationkey, to_json(array(n_nationkey, n_regionkey)) AS a, to_json(named_struct('name', n_name, 'at', named_struct('r', n_regionkey))) AS o, get_json_object(to_json(named_struct('x', array(n_nationkey, 7))), '$.x[1]') AS e,
+    json_array_length(to_json(array(1, n_nationkey, n_regionkey))) AS n FROM nation""",
+    """SELECT n_nationkey, to_json([n_nationkey, n_regionkey])::VARCHAR AS a, to_json({'name': n_name, 'at': {'r': n_regionkey}})::VARCHAR AS o, json_extract_string(to_json({'x': [n_nationkey, 7]}), '$.x[1]') AS e,
+    CAST(json_array_length(to_json([1, n_nationkey, n_regionkey])) AS INT) AS n FROM nation""",
+)
+sql(
+    "json_elements",
+    "SELECT vec_id, CAST(pos AS INT) AS pos, x FROM (SELECT vec_id, posexplode(from_json(to_json(transform(embedding, e -> CAST(e * 100 AS INT))), 'array<int>')) AS (pos, x) FROM embeddings)",
+    "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS pos, CAST(trunc(unnest(embedding) * 100) AS INT) AS x FROM embeddings",
+)
+sql(
+    "json_populate_record",
+    "SELECT n_nationkey, r.id AS id, r.name AS name, r.missing IS NULL AS missing FROM (SELECT n_nationkey, from_json(to_json(named_struct('id', n_nationkey * 2, 'name', lower(n_name))), 'id int, name string, missing string') AS r FROM nation)",
+    "SELECT n_nationkey, n_nationkey * 2 AS id, lower(n_name) AS name, true AS missing FROM nation",
+)
+sql(
+    "quote_functions",
+    r"""SELECT c_custkey, concat('\'', replace(concat(c_mktsegment, '\'s'), '\'', '\'\''), '\'') AS literal, CASE WHEN c_name RLIKE '^[a-z_][a-z0-9_]*$' THEN c_name ELSE concat('"', replace(c_name, '"', '""'), '"') END AS ident,
+    coalesce(concat('\'', nullif(c_mktsegment, 'BUILDING'), '\''), 'NULL') AS nullable FROM customer""",
+    """SELECT c_custkey, chr(39) || replace(c_mktsegment || chr(39) || 's', chr(39), chr(39) || chr(39)) || chr(39) AS literal, CASE WHEN regexp_full_match(c_name, '[a-z_][a-z0-9_]*') THEN c_name ELSE '"' || replace(c_name, '"', '""') || '"' END AS ident,
+    coalesce(chr(39) || nullif(c_mktsegment, 'BUILDING') || chr(39), 'NULL') AS nullable FROM customer""",
+)
+sql(
+    "fuzzy_bounded_levenshtein",
+    "SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name, 4) AS d FROM nation a, nation b",
+    "SELECT a.n_name AS a, b.n_name AS b, CAST(CASE WHEN levenshtein(a.n_name, b.n_name) <= 4 THEN levenshtein(a.n_name, b.n_name) ELSE -1 END AS INT) AS d FROM nation a, nation b",
+)
+sql("unaccent", "SELECT doc_id, translate(lower(text), 'áàâäéèêëíîïóôöúûüçñß', 'aaaaeeeeiiiooouuucns') AS plain FROM documents")
+sql(
+    "format_dates",
+    "SELECT o_orderkey, date_format(o_orderdate, 'dd.MM.yyyy HH:mm') AS a, to_date(date_format(o_orderdate, 'yyyy-MM-dd'), 'yyyy-MM-dd') AS d, to_timestamp(date_format(o_orderdate, 'yyyyMMddHHmmss'), 'yyyyMMddHHmmss') AS t, CAST(date_part('week', o_orderdate) AS INT) AS w, quarter(o_orderdate) AS q FROM orders",
+    "SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y %H:%M') AS a, CAST(o_orderdate AS DATE) AS d, o_orderdate AS t, CAST(date_part('week', o_orderdate) AS INT) AS w, CAST(quarter(o_orderdate) AS INT) AS q FROM orders",
+)
+sql(
+    "format_to_char_number",
+    "SELECT c_custkey, trim(to_char(CAST(c_acctbal AS DECIMAL(10, 2)), 'S999G990D99')) AS t, CAST(to_number(concat(CAST(c_custkey AS STRING), '.50'), '999999999.99') AS DOUBLE) AS n FROM customer",
+    "SELECT c_custkey, CASE WHEN CAST(c_acctbal AS DECIMAL(10, 2)) < 0 THEN '-' ELSE '+' END || format('{:,.2f}', abs(CAST(c_acctbal AS DECIMAL(10, 2)))) AS t, c_custkey + 0.5::DOUBLE AS n FROM customer",
+)
+sql("date_arithmetic", "SELECT o_orderkey, CAST(months_between(o_orderdate, TIMESTAMP '1990-01-01 00:00:00') >= 0 AS BOOLEAN) AS late, CAST(date_trunc('WEEK', o_orderdate) AS DATE) AS monday, CAST(dayofyear(o_orderdate) AS INT) AS doy, unix_timestamp(o_orderdate) AS epoch FROM orders", "SELECT o_orderkey, o_orderdate >= TIMESTAMP '1990-01-01' AS late, CAST(date_trunc('week', o_orderdate) AS DATE) AS monday, CAST(dayofyear(o_orderdate) AS INT) AS doy, CAST(epoch(o_orderdate) AS BIGINT) AS epoch FROM orders")
+sql(
+    "crypto_round_trip",
+    "SELECT c_custkey, CAST(aes_decrypt(aes_encrypt(c_name, '0123456789abcdef'), '0123456789abcdef') AS STRING) AS back, octet_length(aes_encrypt(c_name, '0123456789abcdef', 'ECB')) AS size FROM customer",
+    "SELECT c_custkey, c_name AS back, CAST((octet_length(encode(c_name)) // 16 + 1) * 16 AS INT) AS size FROM customer",
+)
+# HMAC by its definition, with the key's two padded blocks as literals
+_KEY = b"tarn".ljust(64, b"\0")
+_INNER, _OUTER = [bytes(b ^ mask for b in _KEY).hex() for mask in (0x36, 0x5C)]
+sql(
+    "crypto_hmac",
+    f"SELECT c_custkey, sha2(concat(unhex('{_OUTER}'), unhex(sha2(concat(unhex('{_INNER}'), encode(c_name, 'UTF-8')), 256))), 256) AS mac FROM customer",
+    f"SELECT c_custkey, sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(c_name)))) AS mac FROM customer",
+)
+sql(
+    "array_edit",
+    """SELECT vec_id, size(array_append(embedding, CAST(1 AS FLOAT))) AS n, size(array_remove(embedding, embedding[0])) AS r, CAST(array_size(split('1,2,3', ',')) AS INT) AS s, array_join(array_sort(split('c b a', ' ')), '') AS j,
+    transform(slice(embedding, 1, 3), x -> IF(x = embedding[0], CAST(0 AS FLOAT), x)) AS replaced FROM embeddings""",
+    """SELECT vec_id, CAST(len(list_append(embedding, 1::FLOAT)) AS INT) AS n, CAST(len(list_filter(embedding, lambda x: x <> embedding[1])) AS INT) AS r, 3 AS s, 'abc' AS j,
+    list_transform(embedding[1:3], lambda x: CASE WHEN x = embedding[1] THEN 0::FLOAT ELSE x END) AS replaced FROM embeddings""",
+)
+sql(
+    "type_bit_operations",
+    """SELECT n_nationkey, lpad(bin(n_nationkey & 21), 8, '0') AS a, lpad(bin(n_nationkey | 21), 8, '0') AS o, lpad(bin(n_nationkey ^ 21), 8, '0') AS x, lpad(bin(shiftleft(n_nationkey, 2) & 255), 8, '0') AS l,
+    position('1' IN lpad(bin(n_nationkey), 8, '0')) AS p, substring(lpad(bin(n_nationkey), 8, '0'), 4, 3) AS s FROM (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation)""",
+    """SELECT n_nationkey, lpad(bin(n_nationkey & 21), 8, '0') AS a, lpad(bin(n_nationkey | 21), 8, '0') AS o, lpad(bin(xor(n_nationkey, 21)), 8, '0') AS x, lpad(bin((n_nationkey << 2) & 255), 8, '0') AS l,
+    CAST(position('1' IN lpad(bin(n_nationkey), 8, '0')) AS INT) AS p, substring(lpad(bin(n_nationkey), 8, '0'), 4, 3) AS s FROM (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation)""",
+)
+sql("type_cube", "SELECT a.vec_id, array_max(zip_with(a.embedding, b.embedding, (x, y) -> greatest(x, y))) AS hi, array_min(zip_with(a.embedding, b.embedding, (x, y) -> least(x, y))) AS lo FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1", "SELECT a.vec_id, greatest(list_max(a.embedding), list_max(b.embedding)) AS hi, least(list_min(a.embedding), list_min(b.embedding)) AS lo FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+sql(
+    "xml_build",
+    "SELECT r_name, concat('<r name=\"', r_name, '\">', array_join(transform(array_sort(collect_list(n_name)), x -> concat('<n>', x, '</n>')), ''), '</r>') AS x, size(xpath(concat('<r>', array_join(collect_list(concat('<n>', n_name, '</n>')), ''), '</r>'), 'r/n/text()')) AS n FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name",
+    """SELECT r_name, '<r name="' || r_name || '">' || string_agg('<n>' || n_name || '</n>', '' ORDER BY n_name) || '</r>' AS x, CAST(count(*) AS INT) AS n FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name""",
+)
+sql("join_outer_plus", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000 GROUP BY c_custkey")
+sql("join_range", "SELECT a.event_id AS a, count(*) AS near FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 1 HOUR AND a.ts + INTERVAL 1 HOUR GROUP BY a.event_id")
+sql("scan_partition", "SELECT year(o_orderdate) AS part, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00' GROUP BY 1", "SELECT CAST(year(o_orderdate) AS INT) AS part, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM (SELECT *, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS n FROM customer) WHERE n > 10")
+def delete_limit(spark, sf_dir):
+    return R.delete_first(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), ["c_acctbal", "c_custkey"], 10, ["c_custkey"])
+
+
+@query("SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_custkey) + 99 AS BIGINT) AS id FROM customer")
+def sequence_ids(spark, sf_dir):
+    return R.dense_ids(table(spark, sf_dir, "customer").select("c_custkey"), "id", "c_custkey", start=100)
+
+
+@query("SELECT c_custkey, c_nationkey, round(median(c_acctbal) OVER (PARTITION BY c_nationkey), 4) AS m FROM customer")
+def udf_window(spark, sf_dir):
+    def middle(v: pd.Series) -> float:
+        return float(v.median())
+
+    own = Window.partitionBy("c_nationkey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.round(F.pandas_udf(middle, "double")("c_acctbal").over(own), 4).alias("m"))

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarn.functions import vectors as V
-from tarn.operators import ann, knn, ml
+from tarn.operators import ann, bm25, knn, ml
 from tarn.operators import relational as R
 from tarn.session import table
 from tarn.sources import files
@@ -125,3 +125,43 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 10
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_hmac_equals_the_standard_library(spark, small):
+    import hashlib
+    import hmac
+
+    from tarn.plans import catalog
+
+    names = {r.c_custkey: r.c_name for r in table(spark, small, "customer").collect()}
+    for r in catalog.QUERIES["crypto_hmac"](spark, small).collect():
+        assert r.mac == hmac.new(b"tarn", names[r.c_custkey].encode(), hashlib.sha256).hexdigest()
+
+
+def test_dense_ids(spark):
+    assert R.dense_ids(spark.createDataFrame([], "k long"), "id", "k").count() == 0
+    keys = [7, -3, 1000, 5, 6, 10**9]
+    out = {r.k: r.id for r in R.dense_ids(spark.createDataFrame([(k,) for k in keys], "k long"), "id", "k", start=10, ranges=4).collect()}
+    assert out == {k: 10 + i for i, k in enumerate(sorted(keys))}
+
+
+def test_delete_first(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, 1.0), (3, 1.0), (4, None)], "k long, v double")
+    assert {r.k for r in R.delete_first(df, ["v", "k"], 2, ["k"]).collect()} == {1, 3}
+    assert R.delete_first(df, ["v", "k"], 9, ["k"]).count() == 0
+
+
+def test_gram_stats_of_whole_texts(spark):
+    docs = spark.createDataFrame([(1, "aaaa"), (2, "aaab"), (3, "ab"), (4, None), (5, "x\n\U0001f600y"), (6, "aaab" * 5000)], "doc_id long, text string")
+    got = {r.token: r.df for r in bm25.gram_stats(docs).collect()}
+    assert got == {"aaa": 3, "aab": 2, "aba": 1, "baa": 1, "x\n\U0001f600": 1, "\n\U0001f600y": 1}
+
+
+def test_linear_mmd_is_the_mean_over_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(18, 3))
+    rows = [(i, [float(v) for v in x[i]] if i != 6 else None) for i in range(18)]
+    k = lambda a, b: np.exp(-((x[a] - x[b]) ** 2).sum() / 2)
+    want = [k(i, i + 2) + k(i + 1, i + 3) - k(i, i + 3) - k(i + 1, i + 2) for i in (0, 8, 12)]
+    got = ml.mmd_linear(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", 1.0).first()
+    assert got.blocks == 3 and abs(got.mmd - np.mean(want)) < 1e-6

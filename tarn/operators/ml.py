@@ -78,3 +78,44 @@ def mmd_linear(df: DataFrame, order: str, bandwidth: float, vector: str = "embed
     rows = blocks.select(*[F.col("v")[i]["e"].alias(f"e{i}") for i in range(4)])
     k = lambda a, b: F.exp(-V.l2_squared(f"e{a}", f"e{b}") * bandwidth / 2)
     return rows.agg(F.round(F.avg(k(0, 2) + k(1, 3) - k(0, 3) - k(1, 2)), 6).alias("mmd"), F.count("*").alias("blocks"))
+
+
+def report(predicted: DataFrame) -> DataFrame:
+    """One row of measures over numeric columns prediction and label (1: positive), from one pass of sums."""
+    p, y = F.col("prediction"), F.col("label")
+    sums = predicted.agg(F.avg((p == y).cast("double")).alias("accuracy"), F.sum(p * y).alias("hit"), F.sum(p).alias("said"), F.sum(y).alias("so"), F.avg((p - y) * (p - y)).alias("mse"))
+    return sums.select(
+        F.round("accuracy", 6).alias("accuracy"),
+        F.round(F.try_divide("hit", "said"), 6).alias("precision"),
+        F.round(F.try_divide("hit", "so"), 6).alias("recall"),
+        F.round(F.try_divide(2 * F.col("hit"), F.col("said") + F.col("so")), 6).alias("f1"),
+        F.round("mse", 6).alias("mse"),
+    )
+
+
+def cluster(df: DataFrame, id_col: str, k: int, metric: str = "l1", rounds: int = 5, vector: str = "embedding") -> DataFrame:
+    """(id, cluster, distance) of every row with a vector, by the distances that KMeans lacks: l1 (medians) and linf (means).
+
+    Centres are k vectors, so what a round gathers doesn't grow with the rows; the first are the k rows least by hash.
+    Medians are those of percentile_approx. A cluster that loses its last row keeps its centre.
+    """
+    from ..functions import vectors as V
+
+    e = V.doubles(vector)
+    rows = df.filter(F.col(vector).isNotNull())
+    centres = [list(r.e) for r in rows.select(e.alias("e")).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(k).collect()]
+    fold = (lambda s, x: s + x) if metric == "l1" else (lambda s, x: F.greatest(s, x))
+    middle = F.percentile_approx("x", 0.5, 10_000) if metric == "l1" else F.avg("x")
+
+    def assign() -> DataFrame:
+        far = [F.aggregate(F.zip_with(F.col("e"), F.array(*[F.lit(x) for x in c]), lambda x, y: F.abs(x - y)), F.lit(0.0), fold) for c in centres]
+        best = F.array_min(F.array(*[F.struct(d.alias("distance"), F.lit(i).alias("cluster")) for i, d in enumerate(far)]))
+        return rows.select(id_col, e.alias("e")).withColumn("best", best).select(id_col, "e", "best.cluster", "best.distance")
+
+    if not centres:
+        return rows.select(id_col, F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("distance"))
+    for _ in range(rounds):
+        moved = assign().select("cluster", F.posexplode("e").alias("at", "x")).groupBy("cluster", "at").agg(middle.alias("x"))
+        for r in moved.collect():  # k times the dimension
+            centres[r.cluster][r["at"]] = float(r.x)
+    return assign().select(id_col, "cluster", F.round("distance", 6).alias("distance"))

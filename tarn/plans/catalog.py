@@ -5,7 +5,9 @@ Queries that both dialects can say are one SQL text; the others are DataFrame co
 
 from __future__ import annotations
 
+import functools
 import re
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,6 +19,7 @@ from ..functions import vectors as V
 from ..operators import ann, bm25, knn, ml
 from ..operators import relational as R
 from ..session import TABLES, register, table
+from ..sources import snapshots
 from ..streaming import windows as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -647,11 +650,14 @@ def stream_ttl(spark, sf_dir):
     return S.retained(S.run_once(S.windowed(S.stream(spark, sf_dir), "1 hour")), "2 days")
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that all machines share; a local one only where none is named (tests)."""
+    return spark.conf.get("spark.checkpoint.dir", "/tmp/tarn-checkpoints").rstrip("/")
+
+
 @query("SELECT event_id, user_id, value FROM events WHERE event_type = 'click'")
 def stream_incremental_mv(spark, sf_dir):
-    import uuid
-
-    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/tarn-checkpoints').rstrip('/')}/mv-{uuid.uuid4().hex}"
+    root = f"{_shared(spark)}/mv-{uuid.uuid4().hex}"
     pick = lambda df: df.filter("event_type = 'click'").select("event_id", "user_id", "value")
     return S.append_refresh(S.stream(spark, sf_dir), f"{root}/table", f"{root}/progress", pick)
 
@@ -969,3 +975,83 @@ def udf_window(spark, sf_dir):
 
     own = Window.partitionBy("c_nationkey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.round(F.pandas_udf(middle, "double")("c_acctbal").over(own), 4).alias("m"))
+
+
+# ---------------------------------------------------------------- models, snapshots and statistics, continued
+
+sql(
+    "ml_bayes",
+    """WITH t AS (SELECT l_orderkey, l_linenumber, l_returnflag AS c, l_linestatus AS a, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS b FROM lineitem),
+    p AS (SELECT c, count(*) AS n FROM t GROUP BY c), fa AS (SELECT c, a, count(*) AS n FROM t GROUP BY c, a), fb AS (SELECT c, b, count(*) AS n FROM t GROUP BY c, b),
+    v AS (SELECT DISTINCT a, b FROM t),
+    s AS (SELECT v.a, v.b, p.c, round(ln(p.n) + ln((coalesce(fa.n, 0) + 1.0) / (p.n + 2.0)) + ln((coalesce(fb.n, 0) + 1.0) / (p.n + 2.0)), 9) AS score
+        FROM v CROSS JOIN p LEFT JOIN fa ON fa.c = p.c AND fa.a = v.a LEFT JOIN fb ON fb.c = p.c AND fb.b = v.b),
+    best AS (SELECT a, b, c FROM (SELECT a, b, c, row_number() OVER (PARTITION BY a, b ORDER BY score DESC, c) AS n FROM s) q WHERE n = 1)
+    SELECT t.l_orderkey, t.l_linenumber, best.c AS prediction FROM t JOIN best ON t.a = best.a AND t.b = best.b""",
+)
+
+
+@query(
+    """SELECT round(avg(CASE WHEN p = y THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(sum(p * y) * 1.0 / sum(p), 6) AS precision, round(sum(p * y) * 1.0 / sum(y), 6) AS recall, round(2.0 * sum(p * y) / (sum(p) + sum(y)), 6) AS f1,
+    round(avg((p - y) * (p - y)), 6) AS mse FROM (SELECT CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS p, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem)"""
+)
+def ml_metrics(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return ml.report(lines.select((F.col("l_quantity") > 25).cast("double").alias("prediction"), (F.col("l_returnflag") == "R").cast("double").alias("label")))
+
+
+@query()
+def ml_explain(spark, sf_dir):
+    model = ml.create_model("linear_regression", _lines(spark, sf_dir), _HOUSE, "l_extendedprice")
+    return spark.createDataFrame([(ml.explain_model(model),)], "model string")
+
+
+@query()
+def ml_kmeans_l1(spark, sf_dir):
+    return ml.cluster(table(spark, sf_dir, "embeddings"), "vec_id", 4, "l1")
+
+
+@query(f"SELECT p_partkey, list_sort({_TRG.format('p_name')}) AS grams FROM part")
+def trgm_show(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_sort(bm25.trigrams(F.col("p_name"))).alias("grams"))
+
+
+@query(
+    """SELECT token, count(*) AS n FROM (SELECT CASE token WHEN 'loser' THEN 'insult' WHEN 'idiot' THEN 'insult' WHEN 'of' THEN 'from' ELSE token END AS token
+    FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents)) GROUP BY token"""
+)
+def fts_synonyms(spark, sf_dir):
+    known = spark.createDataFrame([("loser", "insult"), ("idiot", "insult"), ("of", "from")], "token string, lexeme string")
+    return bm25.lexemes(table(spark, sf_dir, "documents"), known).groupBy(F.col("lexeme").alias("token")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS close FROM lineitem GROUP BY l_returnflag")
+def agg_hll_error(spark, sf_dir):
+    told = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("exact"), F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey", 14)).alias("n"))
+    return told.select("l_returnflag", "exact", (F.abs(F.col("n") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
+
+
+sql(
+    "agg_median_interval",
+    "SELECT event_type, round(median(unix_timestamp(ts) - unix_timestamp(date_trunc('DAY', ts))), 1) AS seconds FROM events GROUP BY event_type",
+    "SELECT event_type, round(median(CAST(floor(epoch(ts)) AS BIGINT) - CAST(epoch(date_trunc('day', ts)) AS BIGINT)), 1) AS seconds FROM events GROUP BY event_type",
+)
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS input_rows FROM events")
+def stream_statistics(spark, sf_dir):
+    return S.statistics(S.windowed(S.stream(spark, sf_dir), "1 hour"))
+
+
+@query("SELECT '1.0' AS version, count(*) AS n, true AS published FROM customer UNION ALL SELECT '1.1', count(*), false FROM customer WHERE c_acctbal > 0")
+def snapshot_versions(spark, sf_dir):
+    root = f"{_shared(spark)}/snapshots-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "customer")
+    snapshots.create(rows, root, "1.0")
+    snapshots.create(rows.filter("c_acctbal > 0"), root, "1.1")
+    snapshots.create(rows.limit(0), root, "1.2")
+    snapshots.publish(spark, root, "1.0")
+    snapshots.purge(spark, root, "1.2")
+    told = snapshots.versions(spark, root)
+    counts = [snapshots.read(spark, root, v).agg(F.lit(v).alias("version"), F.count("*").alias("n"), F.lit(done).alias("published")) for v, done in told]
+    return functools.reduce(DataFrame.unionByName, counts)

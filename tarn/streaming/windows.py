@@ -46,3 +46,11 @@ def append_refresh(events: DataFrame, path: str, checkpoint: str, pick) -> DataF
     query = events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return events.sparkSession.read.parquet(path)
+
+
+def statistics(view: DataFrame, mode: str = "complete") -> DataFrame:
+    """Drains a stream's present input and returns what its micro-batches read, as one row."""
+    query = view.writeStream.format("noop").outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = sum(p["numInputRows"] for p in query.recentProgress)
+    return view.sparkSession.createDataFrame([(rows,)], "input_rows bigint")

@@ -10,7 +10,7 @@ from tarn.functions import vectors as V
 from tarn.operators import ann, bm25, knn, ml
 from tarn.operators import relational as R
 from tarn.session import table
-from tarn.sources import files
+from tarn.sources import files, snapshots
 from tarn.streaming import windows
 
 
@@ -165,3 +165,42 @@ def test_linear_mmd_is_the_mean_over_blocks(spark):
     want = [k(i, i + 2) + k(i + 1, i + 3) - k(i, i + 3) - k(i + 1, i + 2) for i in (0, 8, 12)]
     got = ml.mmd_linear(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", 1.0).first()
     assert got.blocks == 3 and abs(got.mmd - np.mean(want)) < 1e-6
+
+
+def test_snapshots(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    assert snapshots.versions(spark, root) == []
+    snapshots.create(spark.range(1000), root, "a")
+    with pytest.raises(Exception, match="(?i)exist"):
+        snapshots.create(spark.range(5), root, "a")
+    snapshots.sample(spark, root, "a", "b", 0.5)
+    n = snapshots.read(spark, root, "b").count()
+    assert 400 < n < 600
+    snapshots.publish(spark, root, "a")
+    with pytest.raises(ValueError, match="published"):
+        snapshots.purge(spark, root, "a")
+    with pytest.raises(ValueError, match="no version"):
+        snapshots.publish(spark, root, "c")
+    assert snapshots.versions(spark, root) == [("a", True), ("b", False)]
+    snapshots.purge(spark, root, "b")
+    assert snapshots.versions(spark, root) == [("a", True)]
+
+
+@pytest.mark.parametrize("metric", ["l1", "linf"])
+def test_cluster_by_other_distances(spark, metric):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(m, 0.3, size=(30, 3)) for m in (-9.0, 0.0, 9.0)])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(999, None)], "vec_id long, embedding array<double>")
+    out = {r.vec_id: (r.cluster, r.distance) for r in ml.cluster(df, "vec_id", 6, metric).collect()}
+    assert set(out) == set(range(90))
+    got = np.array([out[i][0] for i in range(90)])
+    # no cluster mixes the groups, and every distance is that to a median or mean of the cluster
+    assert all(len(set(np.flatnonzero(got == c) // 30)) == 1 for c in set(got))
+    again = {r.vec_id: (r.cluster, r.distance) for r in ml.cluster(df, "vec_id", 6, metric).collect()}
+    assert again == out
+    assert ml.cluster(df.limit(0), "vec_id", 3, metric).count() == 0
+
+
+def test_report_without_positives(spark):
+    r = ml.report(spark.createDataFrame([(0.0, 0.0), (0.0, 0.0)], "prediction double, label double")).first()
+    assert r.accuracy == 1 and r.precision is None and r.recall is None and r.f1 is None

@@ -1,13 +1,16 @@
 """A class-based bigram model of word sequences (Brown classes).
 
-Exchange clustering gives every unit a class so that the mutual information of neighbouring
-classes grows; a text's probability is the product of smoothed class transitions and word
-emissions. The units are the commonest words, each for itself, and the endings of all other words, so
-that any word, known or not, has a class: a word in a unit of endings is emitted by its
-discounted share of the unit's tokens, an unknown word by the unit's discounted mass.
+Classes grow from a core: exchange clustering over the commonest words, each for itself, and the
+endings of all others, so that the mutual information of neighbouring classes grows. Then every other training
+word is moved, in one sweep of the exchange over sparse counts of its left and right neighbours' classes, to
+the class that it fits best; these counts lie in a partitioned table, so no word is too rare to take part.
+The core's own words are about the square root of the vocabulary. A text's probability is the product of smoothed
+class transitions, counted with the final class of every word, and of word emissions: a word's discounted
+share of its class; an unknown word takes the class of its ending, and its discounted mass.
 
 Counts come from all training texts. The workers share the head of the vocabulary, whose size
-is a parameter; the counts of all rarer words meet the texts in a join on the word.
+is a parameter; the counts and classes of all rarer words meet the texts in a join on the word. In the sweep
+alone, a neighbour's class is that of its unit of the core.
 
 Tokens are lower-cased words and one end for each text. Rows of fold 1 (crc32 of the id, mod 5) are held
 out. Defined cases: a null or empty text is its end alone; repeated rows are learnt and scored each for itself;
@@ -17,22 +20,24 @@ without training texts scores rest on the smoothing alone; an empty table gives
 from __future__ import annotations
 
 from collections import Counter
-from math import log10
+from math import isqrt, log10
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fold, written
+from .common import chunks, discard, fold, written
 
 FOLDS, HELD_OUT = 5, 1
 #: Words whose counts every worker holds, at most.
 HEAD = 250_000
-#: Words that are units of their own, units of endings, classes, and sweeps of the exchange.
+#: Words of the core that are units of their own, at least; units of endings, classes, and sweeps of the exchange.
 WORDS, ENDINGS, CLASSES, SWEEPS = 767, 255, 64, 6
 #: Entries after which a worker passes its counts on.
 _ROOM = 400_000
+#: Neighbours after which a worker adds its counts up, and counts after which it passes them on.
+_PENDING, _CELLS = 4_000_000, 2_000_000
 _DISCOUNT = 0.5
 END = b""
 
@@ -75,20 +80,21 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The head of the vocabulary, and the unit of every word."""
+    """The head of the vocabulary, and the unit of every word in the core."""
 
     def __init__(self, head: list[tuple[bytes, int]], total: int, distinct: int) -> None:
         self.total, self.distinct = total, distinct
         self.counts = dict(head)
         ranked = sorted(self.counts, key=lambda w: (-self.counts[w], w))
-        units = [END, *(w for w in ranked[: WORDS + 1] if w != END)][: WORDS + 1]
+        most = max(WORDS, isqrt(distinct)) + 1
+        units = [END, *(w for w in ranked[:most] if w != END)][:most]
         self.unit = {w: i for i, w in enumerate(units)}
         self.own = len(units)
-        mass: Counter = Counter()
-        for w, c in head:
-            if w not in self.unit:
-                mass[_ending(w)] += c
-        self.ending = {e: self.own + i for i, (e, _) in enumerate(sorted(mass.items(), key=lambda x: (-x[1], x[0]))[:ENDINGS])}
+        self.end_with([])
+
+    def end_with(self, endings: list[bytes]) -> None:
+        """Takes the units of endings."""
+        self.ending = {e: self.own + i for i, e in enumerate(endings)}
         self.other = self.own + len(self.ending)
         self.size = self.other + 1
         self._memory = dict(self.unit)
@@ -118,6 +124,21 @@ def head_of(counts: DataFrame, most: int = HEAD) -> tuple[list[tuple[bytes, int]
     return [(bytes(r.word), r.c) for r in counts.filter(F.col("c") >= least).collect()], least
 
 
+def endings_of(counts: DataFrame, own: dict, most: int = ENDINGS) -> list[bytes]:
+    """The endings of the most tokens over all words but ``own``."""
+
+    def run(batches):
+        mass: Counter = Counter()
+        for batch in batches:
+            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if w not in own:
+                    mass[_ending(w)] += c
+        yield pa.RecordBatch.from_arrays([pa.array(mass.keys(), pa.binary()), pa.array(mass.values(), pa.int64())], ["ending", "c"])
+
+    mass = counts.select("word", "c").mapInArrow(run, "ending binary, c bigint").groupBy("ending").agg(F.sum("c").alias("c"))
+    return [bytes(r.ending) for r in mass.orderBy(F.desc("c"), "ending").limit(most).collect()]
+
+
 def count_pairs(texts: DataFrame, vocabulary) -> DataFrame:
     """(cell, n): pairs of neighbouring units; the end also stands before a text's first word."""
 
@@ -188,79 +209,200 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+def neighbours(texts: DataFrame, vocabulary, unit_class: np.ndarray, k: int) -> DataFrame:
+    """(word, cells, ns): counts of the classes before (cells below ``k``) and after each word that is no unit of its own; several rows a word."""
+
+    def run(batches):
+        v = vocabulary.value
+        ids: dict[bytes, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        pending = 0
+
+        def merged():
+            nonlocal pending
+            keys, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            ns = np.bincount(inverse, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+            held[:] = [(keys, ns)]
+            pending = len(keys)
+            return keys, ns
+
+        def rows(keys, ns):
+            word = keys // (2 * k)
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            offsets = pa.array(np.append(starts, len(keys)), pa.int32())
+            names = list(ids)
+            columns = [
+                pa.array([names[i] for i in word[starts].tolist()], pa.binary()),
+                pa.ListArray.from_arrays(offsets, pa.array(keys % (2 * k), pa.int32())),
+                pa.ListArray.from_arrays(offsets, pa.array(ns)),
+            ]
+            whole = pa.RecordBatch.from_arrays(columns, names=["word", "cells", "ns"])
+            for i in range(0, whole.num_rows, 20_000):
+                yield whole.slice(i, 20_000)
+
+        for batch in batches:
+            column = batch.column(0).to_pylist()
+            for a, b in chunks(column, 500_000):
+                line = [END]
+                for text in column[a:b]:
+                    line += tokens(text)
+                u = np.array(v.units(line), np.int64)
+                c = unit_class[u]
+                at = np.flatnonzero(u >= v.own)  # never an end, so both neighbours are in the text
+                if not len(at):
+                    continue
+                word = np.fromiter((ids.setdefault(line[i], len(ids)) for i in at.tolist()), np.int64, len(at)) * (2 * k)
+                keys, ns = np.unique(np.concatenate([word + c[at - 1], word + k + c[at + 1]]), return_counts=True)
+                held.append((keys, ns))
+                pending += len(keys)
+                if pending > _PENDING:
+                    keys, ns = merged()
+                    if len(keys) > _CELLS:
+                        yield from rows(keys, ns)
+                        ids.clear()
+                        held.clear()
+                        pending = 0
+        if held:
+            yield from rows(*merged())
+
+    return texts.mapInArrow(run, "word binary, cells array<int>, ns array<bigint>")
+
+
+def place(table: np.ndarray, homes: np.ndarray, word: np.ndarray, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The best class of each word, given (word, cell, n) sorted by word and cell, each pair once; at home the word's own counts are taken out first."""
+    k = len(table)
+    both = np.concatenate([table, table.T])  # [cell]: the counts that a word of each class joins
+    sums = np.stack([table.sum(axis=0), table.sum(axis=1)])
+    gain = np.zeros((len(homes), k))
+    for a in range(0, len(word), 100_000):
+        w, c, m = word[a : a + 100_000], cell[a : a + 100_000], n[a : a + 100_000].astype(np.float64)
+        now = both[c]
+        at = np.arange(len(w))
+        now[at, homes[w]] = np.maximum(now[at, homes[w]] - m, 0.0)
+        part = _information(now + m[:, None]) - _information(now)
+        starts = np.flatnonzero(np.diff(w, prepend=-1))
+        gain[w[starts]] += np.add.reduceat(part, starts, axis=0)
+    total = np.bincount(word[cell < k], weights=n[cell < k], minlength=len(homes))  # as many before as after
+    at = np.arange(len(homes))
+    for side in sums:
+        now = np.repeat(side[None, :], len(homes), axis=0)
+        now[at, homes] = np.maximum(now[at, homes] - total, 0.0)
+        gain -= _information(now + total[:, None]) - _information(now)
+    best = gain.argmax(axis=1)
+    return np.where(gain[at, best] > gain[at, homes] + 1e-9, best, homes)
+
+
+def assign(found: DataFrame, vocabulary, unit_class: np.ndarray, table: np.ndarray) -> DataFrame:
+    """(word, c, class) of the rows of ``neighbours``."""
+    k = len(table)
+    whole = found.groupBy("word").agg(F.flatten(F.collect_list("cells")).alias("cells"), F.flatten(F.collect_list("ns")).alias("ns"))
+
+    def run(batches):
+        v = vocabulary.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 5000):
+                part = batch.slice(a, 5000)
+                words = part.column(0).to_pylist()
+                of = np.repeat(np.arange(len(words)), np.asarray(part.column(1).value_lengths()))
+                cell, n = np.asarray(part.column(1).flatten()).astype(np.int64), np.asarray(part.column(2).flatten())
+                keys, inverse = np.unique(of * (2 * k) + cell, return_inverse=True)
+                n = np.bincount(inverse, weights=n)
+                of, cell = keys // (2 * k), keys % (2 * k)
+                c = np.bincount(of[cell < k], weights=n[cell < k], minlength=len(words)).astype(np.int64)
+                classes = place(table, unit_class[np.array(v.units(words), np.int64)], of, cell, n)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(c), pa.array(classes, pa.int32())], ["word", "c", "class"])
+
+    return whole.mapInArrow(run, "word binary, c bigint, class int")
+
+
 class Brown:
-    """Smoothed transitions and emissions, ready to score."""
-
-    def __init__(self, vocabulary: Vocabulary, pairs: np.ndarray, kinds: np.ndarray) -> None:
-        """kinds: distinct training words of each unit."""
-        self.vocabulary = v = vocabulary
-        k = min(CLASSES, v.size)
-        of = exchange(pairs)
-        one = np.zeros((v.size, k))
-        one[np.arange(v.size), of] = 1
-        table = one.T @ pairs @ one
+    """Classes, emissions and, once fitted, smoothed transitions."""
+
+    def __init__(self, vocabulary: Vocabulary, unit_class: np.ndarray, classes: dict, mass: np.ndarray, kinds: np.ndarray) -> None:
+        """classes: of the head's words; mass, kinds: training tokens and distinct training words of each class."""
+        self.vocabulary, self.unit_class, self.classes, self.mass, self.kinds = vocabulary, unit_class, classes, mass, kinds
+        self.end = int(unit_class[0])
+        self.step = np.zeros((len(mass), len(mass)))
+
+    def fit(self, tagged: DataFrame) -> Brown:
+        """Counts the transitions of tagged training texts."""
+        k, end = len(self.mass), self.end
+
+        def run(batches):
+            total = np.zeros(k * k, np.int64)
+            for batch in batches:
+                line = np.frombuffer(b"".join(bytes([end]) + x for x in batch.column(0).to_pylist()), np.uint8).astype(np.int64)
+                ends = np.cumsum([len(x) + 1 for x in batch.column(0).to_pylist()])
+                inside = np.ones(len(line), bool)
+                inside[ends - 1] = False  # no step from a text's end to the next text
+                at = np.flatnonzero(inside)
+                total += np.bincount(line[at] * k + line[at + 1], minlength=k * k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(total)], ["cell", "n"])
+
+        table = np.zeros(k * k)
+        for cell, n in tagged.select("classes").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():
+            table[cell] = n
+        table = table.reshape(k, k)
         after = table.sum(axis=0)
         share = (after + 0.5) / (after + 0.5).sum()
-        follow = table.sum(axis=1, keepdims=True)
         several = (table > 0).sum(axis=1, keepdims=True) + 1.0  # Witten-Bell: back to the class's own share
-        step = (table + several * share) / (follow + several)
-        mass = pairs.sum(axis=0)
-        in_class = (mass + 0.5) / ((mass + 0.5) @ one)[of]
-        self.unit_class = of
-        #: log10 of a unit after a unit's class.
-        self.step = (np.log10(step)[:, of] + np.log10(in_class)[None, :]).astype(np.float64)
-        self.mass = mass
-        self.kinds = kinds
-
-    def emission(self, units: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """log10 of a word of count ``c`` within its unit."""
-        own = units < self.vocabulary.own
-        mass, kinds = self.mass[units] + 1.0, self.kinds[units]
-        share = np.where(c > 0, np.maximum(c - _DISCOUNT, _DISCOUNT), _DISCOUNT * kinds + 1.0) / mass
-        return np.where(own, 0.0, np.log10(share))
+        #: log10 of a class after a class.
+        self.step = np.log10((table + several * share) / (table.sum(axis=1, keepdims=True) + several))
+        return self
 
+    def emission(self, classes: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """log10 of a word of count ``c`` within its class; the discounted mass for an unknown one."""
+        share = np.where(c > 0, np.maximum(c - _DISCOUNT, _DISCOUNT), _DISCOUNT * self.kinds[classes] + 1.0)
+        return np.log10(share / (self.mass[classes] + 1.0))
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD):
-    """(model, counts of all training words, least count of the shared head)."""
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10(c + 0.5) - log10(self.vocabulary.total + 0.5 * (self.vocabulary.distinct + 1))
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD):
+    """(model without transitions, count and class of every training word, least count of the shared head)."""
     spark = docs.sparkSession
     texts = docs.filter(fold(id_col, FOLDS) != HELD_OUT).select(F.col(text_col).cast("string").alias("text"))
     counts = written(count_words(texts), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words, least = head_of(counts, head)
     v = Vocabulary(words, total, distinct)
+    v.end_with(endings_of(counts, v.unit))
     shared = spark.sparkContext.broadcast(v)  # at most `head` words
     pairs = np.zeros(v.size * v.size)
-    for cell, n in count_pairs(texts, shared).collect():  # a row for a pair of units: bounded by their number
-        pairs[cell] = n
-
-    def of_units(batches):
-        kinds = np.zeros(shared.value.size, np.int64)
-        for batch in batches:
-            kinds += np.bincount(shared.value.units(batch.column(0).to_pylist()), minlength=len(kinds))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(kinds))), pa.array(kinds)], ["unit", "n"])
-
-    kinds = np.zeros(v.size)
-    for unit, n in counts.select("word").mapInArrow(of_units, "unit bigint, n bigint").groupBy("unit").agg(F.sum("n")).collect():
-        kinds[unit] = n
-    return Brown(v, pairs.reshape(v.size, v.size), kinds), counts, least
-
-
-def score(docs: DataFrame, model: Brown, counts: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, base_score, score) of each row of ``docs``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    v = model.vocabulary
-    total, below = v.total, log10(v.total + 0.5 * (v.distinct + 1))
+    met = count_pairs(texts, shared).toArrow()  # a row for a pair of units: bounded by their number
+    pairs[met["cell"].to_numpy()] = met["n"].to_numpy()
+    pairs = pairs.reshape(v.size, v.size)
+    k = min(CLASSES, v.size)
+    of = exchange(pairs)
+    one = np.zeros((v.size, k))
+    one[np.arange(v.size), of] = 1
+    table = one.T @ pairs @ one
+    ends = counts.filter(F.length("word") == 0).first()
+    own = [(bytearray(w), v.counts.get(w, ends.c if ends and w == END else 0), int(of[i])) for w, i in v.unit.items()]
+    own = spark.createDataFrame([x for x in own if x[1]], "word binary, c bigint, class int")
+    classed = written(assign(neighbours(texts, shared, of, k), shared, of, table).unionByName(own), "classes")
+    discard(counts)
+    mass, kinds = np.zeros(k), np.zeros(k)
+    for c, m, n in classed.groupBy("class").agg(F.sum("c"), F.count("*")).collect():
+        mass[c], kinds[c] = m, n
+    classes = {bytes(r.word): r["class"] for r in classed.filter(F.col("c") >= least).select("word", "class").collect()}
+    return Brown(v, of, classes, mass, kinds), classed, least
+
+
+def tag(docs: DataFrame, model: Brown, counts: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, n_tokens, n_known, base, emitted, classes) of each row: classes holds a byte a token."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     picked = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), (fold(id_col, FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).cast("string").alias("text")
     )
     kind = picked.schema["id"].dataType.simpleString()
-    names = "row id held_out n_tokens n_known base score words units times".split()
+    done = ["n_tokens", "n_known", "base", "emitted", "classes"]
 
     def run(batches):
         m = shared.value
         v = m.vocabulary
-        get = v.counts.get
+        get, known_class = v.counts.get, m.classes.get
         for batch in batches:
             column = batch.column(3).to_pylist()
             for a, b in chunks(column, 500_000):
@@ -268,74 +410,107 @@ def score(docs: DataFrame, model: Brown, counts: DataFrame, least: int, id_col:
                 flat = [w for line in lines for w in line]
                 ends = np.cumsum([len(line) for line in lines])
                 first = np.concatenate([[0], ends[:-1]])
-                u = np.array(v.units(flat), np.int64)
                 c = np.fromiter((get(w, 0) for w in flat), np.int64, len(flat))
-                before = np.concatenate([[v.unit.get(END, 0)], u[:-1]])
-                before[first] = v.unit.get(END, 0)
-                steps = m.step[m.unit_class[before], u]
                 known = c > 0
-                emitted = np.where(known, m.emission(u, c), 0.0)
-                base = np.where(known, np.log10(np.maximum(c, 1) + 0.5) - below, 0.0)
+                of = np.fromiter((known_class(w, 0) for w in flat), np.int64, len(flat))
                 rare = np.flatnonzero(~known)
+                of[rare] = m.unit_class[np.array(v.units([flat[j] for j in rare.tolist()]), np.int64)]  # of the ending, unless the join finds a class
+                emitted = np.where(known, m.emission(of, c), 0.0)
+                base = np.where(known, m.base(c), 0.0)
                 doc = np.searchsorted(ends, rare, side="right")
                 at = np.searchsorted(doc, np.arange(len(lines) + 1))
-                words, units, times = [], [], []
+                raw = of.astype(np.uint8).tobytes()
+                words, places, numbers = [], [], []
                 for i in range(len(lines)):
-                    seen = Counter(flat[j] for j in rare[at[i] : at[i + 1]].tolist())
-                    words.append(list(seen))
-                    units.append(v.units(list(seen)))
-                    times.append(list(seen.values()))
+                    mine: dict[bytes, int] = {}
+                    spots = rare[at[i] : at[i + 1]]
+                    numbers.append([mine.setdefault(flat[j], len(mine)) for j in spots.tolist()])
+                    words.append(list(mine))
+                    places.append((spots - first[i]).tolist())
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(i)[a:b] for i in range(3)),
                         pa.array(ends - first, pa.int64()),
                         pa.array(np.add.reduceat(known.astype(np.int64), first)),
                         pa.array(np.add.reduceat(base, first)),
-                        pa.array(np.add.reduceat(steps + emitted, first)),
+                        pa.array(np.add.reduceat(emitted, first)),
+                        pa.array([raw[x:y] for x, y in zip(first.tolist(), ends.tolist())], pa.binary()),
                         pa.array(words, pa.list_(pa.binary())),
-                        pa.array(units, pa.list_(pa.int32())),
-                        pa.array(times, pa.list_(pa.int64())),
+                        pa.array(places, pa.list_(pa.int32())),
+                        pa.array(numbers, pa.list_(pa.int32())),
                     ],
-                    names=names,
+                    names=["row", "id", "held_out", *done, "words", "places", "numbers"],
                 )
 
+    fixed = "n_tokens bigint, n_known bigint, base double, emitted double, classes binary"
     part = written(
-        picked.mapInArrow(
-            run,
-            f"row bigint, id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, words array<binary>, units array<int>, times array<bigint>",
-        ),
-        "scored",
-    )
-    rare = part.select("row", F.explode(F.arrays_zip("words", "units", "times")).alias("x")).select(
-        "row", F.col("x.words").alias("word"), F.col("x.units").alias("unit"), F.col("x.times").alias("times")
-    )
-    met = rare.join(counts.filter(F.col("c") < least), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    # the unit's mass and kinds: a row a unit
-    sizes = spark.createDataFrame([(i, float(model.mass[i]), float(model.kinds[i])) for i in range(v.size)], "unit int, mass double, kinds double")
-    share = F.when(F.col("c") > 0, F.greatest(F.col("c") - _DISCOUNT, F.lit(_DISCOUNT))).otherwise(_DISCOUNT * F.col("kinds") + 1.0)
-    late = (
-        met.join(F.broadcast(sizes), "unit")
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
-            F.sum(F.col("times") * (F.log10(F.col("c") + 0.5) - below)).alias("late_base"),
-            F.sum(F.when(F.col("unit") < v.own, 0.0).otherwise(F.col("times") * F.log10(share / (F.col("mass") + 1.0)))).alias("late_score"),
-        )
-    )
-    zero = F.lit(0.0)
-    return part.drop("words", "units", "times").join(late, "row", "left").select(
-        "id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("late_base", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("late_score", zero)).alias("score"),
+        picked.mapInArrow(run, f"row bigint, id {kind}, held_out boolean, {fixed}, words array<binary>, places array<int>, numbers array<int>"), "tagged"
     )
+    rare = part.select("row", F.posexplode("words").alias("i", "word"))
+    met = rare.join(counts.filter(F.col("c") < least), "word").groupBy("row").agg(F.collect_list(F.struct("i", "c", F.col("class").alias("k"))).alias("met"))
+    late = part.filter(F.size("words") > 0).join(met, "row", "left")
+
+    def finish(batches):
+        m = shared.value
+        for batch in batches:
+            columns = {n: batch.column(n).to_pylist() for n in [*done, "words", "places", "numbers", "met"]}
+            out: list[tuple] = []
+            for n_tokens, n_known, base, emitted, classes, words, places, numbers, met in zip(*columns.values()):
+                c = np.zeros(len(words), np.int64)
+                of = np.frombuffer(classes, np.uint8).copy()
+                places, numbers = np.array(places, np.int64), np.array(numbers, np.int64)
+                own = np.full(len(words), -1, np.int64)
+                for x in met or ():
+                    c[x["i"]], own[x["i"]] = x["c"], x["k"]
+                found = own[numbers] >= 0
+                of[places[found]] = own[numbers[found]]
+                c = c[numbers]
+                out.append((n_tokens, n_known + int(found.sum()), base + float(m.base(c).sum()), emitted + float(m.emission(of[places], c).sum()), of.tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("held_out"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names=["id", "held_out", *done]
+            )
+
+    return late.mapInArrow(finish, f"id {kind}, held_out boolean, {fixed}").unionByName(part.filter(F.size("words") == 0).select("id", "held_out", *done))
+
+
+def add_up(tagged: DataFrame, model: Brown) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of tagged rows."""
+    step, end, total = model.step, model.end, model.vocabulary.total
+    kind = tagged.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            score = []
+            for x in batch.column("classes").to_pylist():
+                line = np.frombuffer(bytes([end]) + x, np.uint8)
+                score.append(float(step[line[:-1], line[1:]].sum()))
+            score = np.array(score) + np.asarray(batch.column("emitted"))
+            kept = [batch.column(n) for n in ("id", "held_out", "n_tokens", "n_known")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(np.full(len(score), total, np.int64)), batch.column("base"), pa.array(score, pa.float64())],
+                names="id held_out n_tokens n_known train_tokens base_score score".split(),
+            )
+
+    return tagged.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD):
+    """(model, count and class of every training word, least count of the shared head)."""
+    model, counts, least = learn(docs, id_col, text_col, head)
+    texts = docs.filter(fold(id_col, FOLDS) != HELD_OUT)
+    return model.fit(tag(texts, model, counts, least, id_col, text_col)), counts, least
+
+
+def score(docs: DataFrame, model: Brown, counts: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``."""
+    return add_up(tag(docs, model, counts, least, id_col, text_col), model)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: every document's log-probability by the base and by the class model."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model, counts, least = train(docs)
-    return score(docs, model, counts, least).withColumnRenamed("id", "doc_id").withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    model, counts, least = learn(docs)
+    tagged = written(tag(docs, model, counts, least), "classed")  # serves the transitions and the scores
+    model.fit(tagged.filter("not held_out"))
+    return add_up(tagged, model).withColumnRenamed("id", "doc_id").withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

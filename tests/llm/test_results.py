@@ -161,6 +161,26 @@ def test_op4_rare_words_meet_their_counts_in_the_join(spark, small):
     assert sides[0] == sides[1]
 
 
+@pytest.mark.parametrize("head", [30, brown.HEAD])
+def test_op4_classes_words_by_their_neighbours_not_their_spelling(spark, monkeypatch, head):
+    monkeypatch.setattr(brown, "WORDS", 8)
+    rng = random.Random(3)
+    nouns, verbs = [f"n{chr(97 + i // 26)}{chr(97 + i % 26)}ab" for i in range(60)], [f"v{chr(97 + i // 26)}{chr(97 + i % 26)}ab" for i in range(60)]
+    line = lambda: f"the {rng.choice(['house', 'road', *nouns[:]])} must {rng.choice(['walk', 'turn', *verbs[:]])} and the house may walk the road can turn"
+    df = spark.createDataFrame([(i, " ".join(line() for _ in range(4))) for i in range(400)], "doc_id long, text string").repartition(3)
+    model, counts, least = brown.train(df, head=head)
+    got = {bytes(r.word).decode(): (r.c, r["class"]) for r in counts.collect()}
+    want = Counter(w for r in df.collect() if fold(r.doc_id, 5) != 1 for w in [*words(r.text), ""])
+    assert {w: c for w, (c, _) in got.items()} == want
+    assert {got[w][1] for w in nouns}.isdisjoint({got[w][1] for w in verbs})
+    assert model.mass.sum() == sum(want.values()) and model.kinds.sum() == len(want)
+
+
+def test_op4_ranks_endings_over_all_words(spark):
+    counts = spark.createDataFrame([(b"the", 90), *[(f"w{i}xy".encode(), 1) for i in range(20)], (b"pqz", 15)], "word binary, c long")
+    assert brown.endings_of(counts, {b"the": 0}, 1) == [b"xy"]
+
+
 # ---- op5
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

@@ -1,28 +1,33 @@
 """Interleaving sources by target weights as a Pfair schedule.
 
 A source of weight w holds blocks of rows; its k-th block is released at slot floor(k / w) and
-due by slot ceil((k + 1) / w). The earliest-deadline-first schedule of these windows, one block
-a slot, meets every deadline as the weights sum to one, so after any number of slots a source
-has had its weight's share of them to less than one block. Weights are rounded to multiples of
-1 / cycle, so the schedule repeats; only one cycle is ever worked out, on the driver, and a row finds
-its slot from its rank in its source.
+due by slot ceil((k + 1) / w), reckoned in whole numbers from the exact weight. The earliest-deadline-first
+schedule of these windows, one block a slot, meets every deadline as the weights sum to one, so after any
+number of slots a source has had its weight's share of them to less than one block, for as long as it has rows.
+One task works the schedule out and passes it on in pieces; it holds a window a source, and a row finds its slot
+from its rank in its source.
 
-All rows are kept. When a source has run out its slots stay empty; ``mix_order`` is the order to read in.
+All rows are kept. When a source has run out it takes no more slots; the others keep to their windows, so slots
+may stay empty. ``mix_order`` is the order to read in.
 
 Defined cases: a null source is a source of its own; repeated rows are ranked each for itself;
-a weight for a source without rows is left out, and so are sources given no weight put
-last, in the cycle's least share; an empty table gives an empty result.
+a weight for a source without rows is left out, and sources given no weight have a billionth of
+the least one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
-from math import ceil
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+from math import ceil, lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, written
 
 CYCLE = 1024
 BLOCK = 16
@@ -49,22 +54,36 @@ def shares(weights: dict, cycle: int = CYCLE) -> dict:
     return out
 
 
-def schedule(parts: dict) -> list:
-    """(source, block, release, deadline, slot) of each block of one cycle, earliest deadline first."""
-    cycle = sum(parts.values())
-    waiting = [(0, i, 0, s) for i, s in enumerate(parts)]
-    heapq.heapify(waiting)
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in the very ratio of the weights."""
+    parts = {k: Fraction(w) for k, w in weights.items()}
+    whole = lcm(*(x.denominator for x in parts.values()))
+    return {k: int(x * whole) for k, x in parts.items()}
+
+
+def slots(parts: dict, blocks: dict) -> Iterator[tuple]:
+    """(source, block, release, deadline, slot) of each source's blocks, earliest deadline first; parts: weights in whole numbers."""
+    total = sum(parts.values())
+    names = [s for s in parts if blocks[s]]
+    waiting = [(0, i, 0) for i in range(len(names))]
     ready: list = []
-    out = []
-    for slot in range(cycle):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            release, i, k, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * cycle // parts[s]), i, k, s, release))
-        deadline, i, k, s, release = heapq.heappop(ready)
-        out.append((s, k, release, deadline, slot))
-        if k + 1 < parts[s]:
-            heapq.heappush(waiting, ((k + 1) * cycle // parts[s], i, k + 1, s))
-    return out
+            release, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // parts[names[i]]), i, k, release))
+        deadline, i, k, release = heapq.heappop(ready)
+        yield names[i], k, release, deadline, slot
+        if k + 1 < blocks[names[i]]:
+            heapq.heappush(waiting, ((k + 1) * total // parts[names[i]], i, k + 1))
+        slot += 1
+
+
+def schedule(parts: dict) -> list:
+    """The slots of as many blocks a source as its part."""
+    return list(slots(parts, parts))
 
 
 def interleave(
@@ -73,7 +92,6 @@ def interleave(
     source_col: str = "source",
     id_col: str = "doc_id",
     block: int = BLOCK,
-    cycle: int = CYCLE,
 ) -> DataFrame:
     """``docs`` with mix_block, mix_release, mix_deadline, mix_slot and mix_order."""
     spark = docs.sparkSession
@@ -90,11 +108,21 @@ def interleave(
     given = {("null" if k is None else f"={k}"): w for k, w in (weights or {}).items() if w > 0}
     held = {k: given.get(k, 0.0) if given else n**TEMPERATURE for k, n in sorted(sizes.items())}
     least = min([w for w in held.values() if w > 0], default=1.0) * 1e-9
-    parts = shares({k: w or least for k, w in held.items()}, cycle)
-    slots = schedule(parts)
-    whole = sum(parts.values())
-    plan = spark.createDataFrame(slots, "_source string, _k int, _release bigint, _deadline bigint, _slot bigint")
-    quota = spark.createDataFrame(sorted(parts.items()), "_source string, _quota bigint")
+    parts = exact({k: w or least for k, w in held.items()})
+    blocks = {k: -(-n // block) for k, n in sizes.items()}
+
+    def work_out(batches):
+        for _ in batches:
+            pass
+        names = "_source mix_block mix_release mix_deadline mix_slot".split()
+        each = slots(parts, blocks)
+        while piece := list(islice(each, 50_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*piece)], names=names)
+
+    # written, so that it is worked out once and read by many tasks; a row for each `block` rows
+    plan = written(
+        spark.range(1, numPartitions=1).mapInArrow(work_out, "_source string, mix_block bigint, mix_release bigint, mix_deadline bigint, mix_slot bigint"), "plan"
+    )
 
     # rank in the source, by hash: groups are counted, then ranked each for itself, so that no source is one task
     groups = max(GROUPS, ceil(max(sizes.values()) / GROUP_ROWS))
@@ -107,19 +135,16 @@ def interleave(
         keyed.withColumn("_in", rank)
         .join(offsets, ["_source", "_g"])
         .withColumn("_rank", F.col("_before") + F.col("_in"))
-        .join(F.broadcast(quota), "_source")  # a row a source, and a row a slot of the cycle: bounded by the cycle
         .withColumn("mix_block", F.floor(F.col("_rank") / block).cast("bigint"))
-        .withColumn("_k", F.pmod("mix_block", "_quota").cast("int"))
-        .join(F.broadcast(plan), ["_source", "_k"])
+        .join(plan, ["_source", "mix_block"])
     )
-    base = F.floor(F.col("mix_block") / F.col("_quota")).cast("bigint") * whole
     return ranked.select(
         *columns,
         "mix_block",
-        (base + F.col("_release")).alias("mix_release"),
-        (base + F.col("_deadline")).alias("mix_deadline"),
-        (base + F.col("_slot")).alias("mix_slot"),
-        ((base + F.col("_slot")) * block + F.pmod("_rank", F.lit(block))).cast("bigint").alias("mix_order"),
+        "mix_release",
+        "mix_deadline",
+        "mix_slot",
+        (F.col("mix_slot") * block + F.pmod("_rank", F.lit(block))).cast("bigint").alias("mix_order"),
     )
 
 

@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
+from itertools import islice
 from math import log10
 
 import numpy as np
@@ -12,6 +14,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tarn.llm import brown, cws, decontam, html, mixing, queries, repeats, simhash, suffix, tokens
@@ -322,6 +325,31 @@ def test_schedule_deviates_by_less_than_a_block(weights):
         assert all(abs(had[s] - parts[s] * (slot + 1) / 256) < 1 for s in parts)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.floats(1e-4, 1000), min_size=1, max_size=25))
+def test_slots_deviate_by_less_than_a_block_from_the_weights_themselves(weights):
+    parts = mixing.exact({str(i): w for i, w in enumerate(weights)})
+    total = sum(Fraction(w) for w in weights)
+    had = dict.fromkeys(parts, 0)
+    for source, _, release, deadline, slot in islice(mixing.slots(parts, dict.fromkeys(parts, 10**9)), 3000):
+        assert release <= slot < deadline
+        had[source] += 1
+    assert slot == 2999 and all(abs(had[str(i)] - Fraction(w) / total * 3000) < 1 for i, w in enumerate(weights))
+
+
+@pytest.mark.parametrize("weights", [None, {"0": 0.9996, "1": 0.0004}])
+def test_op9_deviates_by_less_than_a_block_beyond_a_cycle(spark, weights):
+    n = 20 if weights is None else 2
+    df = spark.range(8000).select(F.col("id").alias("doc_id"), (F.col("id") % n).cast("string").alias("source"))
+    got = sorted((r.mix_slot, r.source) for r in mixing.interleave(df, weights, block=1).collect())
+    had, left = Counter(), Counter(s for _, s in got)
+    for slot, source in got:
+        had[source] += 1
+        for s in left:
+            w = weights[s] if weights else 1 / n
+            assert had[s] == left[s] or abs(had[s] - w * (slot + 1)) < 1 + 1e-6
+
+
 # ---- op10
 
 

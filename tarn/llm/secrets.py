@@ -1,9 +1,11 @@
 """Secret scan by corpus-wide ownership frequency, in DataFrame functions alone.
 
-Patterns find candidate spans in each text. The hash of each candidate's value is counted over
-distinct repositories and owners of the whole corpus: a value that many owners carry is a copied
-example; one that few carry is a live-looking credential. Spans of the base kinds are always
-reported; those of the further kinds only if their value looks live.
+Patterns find candidate spans in each text; of a private key the whole block, whose value is its body. The hash of
+each candidate's value is counted over distinct repositories and owners of the whole corpus: a value that many
+owners and many repositories carry is a copied example; one that few carry is a live-looking credential. Many is
+relative to the number of owners in the corpus. Copies of one text count once, for one of their owners, as a mirrored
+credential is still one; texts shorter than COPY_CHARS may agree without being copies and count for each owner.
+Spans of the base kinds are always reported; those of the further kinds only if their value looks live.
 
 Defined cases: a null or empty text has no spans; a null owner or repository counts as one more
 value; repeated rows are reported each for itself and count once for an owner; an empty table gives
@@ -12,6 +14,8 @@ an empty result. Positions are code points, ends exclusive.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +25,21 @@ from .common import written
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
+_KEY = r"-----%s [A-Z ]{0,40}PRIVATE KEY-----"
+_BEGIN, _END = _KEY % "BEGIN", _KEY % "END"
 # Further kinds, by well-known public formats; opaque: a long token of digits and letters in both cases.
 FURTHER = {
-    "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    # up to its end; without one, the lines that look like a key's
+    "private_key": _BEGIN + r"(?:[^-]*+(?:-(?!----)[^-]*+){0,200}+" + _END + r"|(?:(?:\s|\\[nr])++[A-Za-z0-9+/]{40,}={0,2}+(?![^\s\\\"'-]))*+)",
     "vendor": r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}",
     "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}",
     "opaque": r"[A-Za-z0-9+/_-]{32,}={0,2}",
 }
 BASE = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
-#: A value of more owners than this is an example.
-MAX_OWNERS = 2
+#: A value of more owners and more repositories than this is an example; or than this share of all owners, if that is more.
+MAX_OWNERS, SHARE = 2, 0.01
+#: Characters from which equal texts are copies.
+COPY_CHARS = 64
 
 _SPAN = "struct<s:int,o:int,e:int,kind:string,hash:string>"
 
@@ -42,6 +51,9 @@ def _spans(text: Column, order: int, kind: str, pattern: str) -> Column:
         start = F.call_function("locate", match, text, acc["pos"])
         end = start + F.length(match)
         value = F.regexp_extract(match, ASSIGN, 2) if kind == "assign" else match
+        if kind == "private_key":
+            body = F.regexp_replace(match, f"{_BEGIN}|{_END}|\\s|\\\\[nr]", "")
+            value = F.when(body == "", match).otherwise(body)
         fits = {
             "assign": F.length(value) >= 6,
             "opaque": match.rlike("[0-9]") & match.rlike("[A-Z]") & match.rlike("[a-z]"),
@@ -65,14 +77,15 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(hash, n_owners, n_repos, n_places) of (hash, owner, repo) rows; each step aggregates before it shuffles."""
+    """(hash, n_owners, n_repos, n_places) of (hash, owner, repo, copy) rows; each step aggregates before it shuffles."""
+    # a text of several owners counts for one of them, drawn by hash so that several texts of the same owners spread over them
     return (
-        spans.groupBy("hash", "owner", "repo")
-        .agg(F.count("*").alias("n"))
-        .groupBy("hash", "owner")
-        .agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
+        spans.groupBy("hash", "copy")
+        .agg(F.min(F.struct(F.xxhash64("owner", "repo", "copy").alias("lot"), "owner", "repo")).alias("by"), F.count("*").alias("n"))
+        .groupBy("hash", F.col("by.owner").alias("owner"), F.col("by.repo").alias("repo"))
+        .agg(F.sum("n").alias("n"))
         .groupBy("hash")
-        .agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_places"))
+        .agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("repo").alias("n_repos"), F.sum("n").alias("n_places"))
     )
 
 
@@ -85,15 +98,26 @@ def _name(columns: tuple[str, ...]) -> Column:
     return F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)]))
 
 
+def _copy(text_col: str) -> Column:
+    """What equal texts share; short ones only with those of their owner and repository."""
+    text = F.col(text_col).cast("string")
+    return F.when(F.length(text) >= COPY_CHARS, F.md5(text.cast("binary"))).otherwise(F.concat(F.col("owner"), F.col("repo")))
+
+
+def most_owners(docs: DataFrame, owner: tuple[str, ...], least: int = MAX_OWNERS, share: float = SHARE) -> int:
+    """The owners that a live value may have."""
+    return max(least, ceil(share * docs.select(_name(owner).alias("owner")).distinct().count()))
+
+
 def judge(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """(row, spans, live) of (row, owner, repo, _base, _more): live holds the spans whose value few owners have; spans these and the base ones."""
-    each = found.select("row", "owner", "repo", F.explode(F.concat("_base", "_more")).alias("span")).withColumn("hash", F.col("span.hash"))
+    """(row, spans, live) of (row, owner, repo, copy, _base, _more): live holds the spans whose value few owners or few repositories have; spans these and the base ones."""
+    each = found.select("row", "owner", "repo", "copy", F.explode(F.concat("_base", "_more")).alias("span")).withColumn("hash", F.col("span.hash"))
     # written, so that both sides of the join are exchanges and a hot value's partition can be split
-    owned = written(ownership(each.select("hash", "owner", "repo")), "owned")
+    owned = written(ownership(each.select("hash", "owner", "repo", "copy")), "owned")
     return (
         each.select("row", "span", "hash")
         .join(owned, "hash")
-        .withColumn("alive", F.col("n_owners") <= max_owners)
+        .withColumn("alive", (F.col("n_owners") <= max_owners) | (F.col("n_repos") <= max_owners))
         .groupBy("row")
         .agg(
             F.array_sort(F.collect_list(F.when(F.col("alive") | (F.col("span.o") < len(BASE)), F.col("span")))).alias("spans"),
@@ -114,9 +138,9 @@ def scan(
     picked = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), _name(owner).alias("owner"), _name(repo).alias("repo"), F.col(text_col).alias("text")
     )
-    found = written(with_spans(picked).drop("text"), "spans")
+    found = written(with_spans(picked).withColumn("copy", _copy("text")).drop("text"), "spans")
     none = F.array().cast(f"array<{_SPAN}>")
-    return found.join(judge(found, max_owners), "row", "left").select(
+    return found.join(judge(found, most_owners(docs, owner, max_owners)), "row", "left").select(
         "row", "id", F.col("_base").alias("base"), F.coalesce("spans", none).alias("spans"), F.coalesce("live", none).alias("live")
     )
 
@@ -132,7 +156,8 @@ def redact(
     columns = docs.columns
     marked = with_spans(docs, text_col).withColumn("_some", F.size("_base") + F.size("_more") > 0)
     some = written(marked.filter("_some").withColumn("_row", F.monotonically_increasing_id()), "candidates")
-    judged = judge(some.select(F.col("_row").alias("row"), _name(owner).alias("owner"), _name(repo).alias("repo"), "_base", "_more"))
+    named = some.select(F.col("_row").alias("row"), _name(owner).alias("owner"), _name(repo).alias("repo"), F.col(text_col).alias("text"), "_base", "_more")
+    judged = judge(named.withColumn("copy", _copy("text")).drop("text"), most_owners(docs, owner))
     judged = judged.select(F.col("row").alias("_row"), F.col("live").alias("_live"))
     text = F.col(text_col)
 

@@ -95,6 +95,39 @@ def test_redaction(spark):
     assert got[1] == "x <SECRET>\" y" and got[2] == shared
 
 
+def key(i, end=True):
+    lines = [(f"{i}kEy{j}" + "aB3+/xY9" * 8)[:64] for j in range(4)]
+    return "\n".join(["-----BEGIN RSA PRIVATE KEY-----", *lines, *(["-----END RSA PRIVATE KEY-----"] if end else [])])
+
+
+@pytest.mark.parametrize("end", [True, False])
+def test_private_keys_are_told_apart_by_their_bodies(spark, end):
+    own = [(i, f"mine {i}\n{key(i, end)}\nso it is", "en", f"o{i}") for i in range(5)]
+    sample = [(i, f"sample {i}\n{key(99, end)}\nso it is", "en", f"o{i}") for i in range(5, 10)]
+    df = spark.createDataFrame(own + sample, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert got == {i: f"mine {i}\n<SECRET>\nso it is" for i in range(5)} | {i: t for i, t, _, _ in sample}
+
+
+def test_copies_of_a_text_are_one_owner(spark):
+    mirrored = "a page that was mirrored by many others, with token = \"deadbeefdeadbeef\" in it, as it was"
+    sample = "another page, number %d of them, that was written by hand, with token = \"feedfeedfeedfeed\" in it"
+    data = [(i, mirrored, "en", f"o{i}") for i in range(6)] + [(i, sample % i, "en", f"o{i}") for i in range(6, 12)]
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()}
+    assert all("<SECRET>" in got[i] for i in range(6)) and all("<SECRET>" not in got[i] for i in range(6, 12))
+
+
+def test_verdicts_take_repositories_and_the_number_of_owners(spark):
+    text = "page %d of some that were written by hand and hold token = \"%s\" as a value"
+    shape = "doc_id long, text string, lang string, source string"
+    few = [(i, text % (i, "deadbeefdeadbeef"), "en", f"o{i}") for i in range(5)]
+    one = secrets.redact(spark.createDataFrame(few, shape), repo=("lang",)).collect()  # five owners of one repository
+    assert all("<SECRET>" in r.text for r in one)
+    many = few + [(i, "nothing", "en", f"o{i}") for i in range(5, 600)]  # five of 600 owners are few, five of five aren't
+    assert sum("<SECRET>" in r.text for r in secrets.redact(spark.createDataFrame(many, shape)).collect()) == 5
+    assert not any("<SECRET>" in r.text for r in secrets.redact(spark.createDataFrame(few, shape)).collect())
+
+
 def test_mixing_of_hot_source(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
     got = mixing.interleave(df, {"hot": 0.5, **{f"s{i}": 0.5 / 7 for i in range(7)}}, block=4).collect()

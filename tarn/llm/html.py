@@ -7,6 +7,9 @@ the label of its nearest decided neighbours. In an article or main element the n
 inside it, and an open block with none to follow belongs to the article. Where the first pass finds nothing
 good, what is neither marked nor linked counts as good: first the blocks that aren't short, then any.
 
+A head ends at its end tag, at the body or at the first content. Elements without text of the page are skipped to their
+end tag; one that has none is skipped to the page's end if it holds raw text, and else only its tag is.
+
 Defined cases: a null or empty page has the empty text; broken markup (unclosed or stray tags,
 unended comments or scripts) is read to its end; repeated rows are treated alike; an
 empty table gives an empty result.
@@ -30,7 +33,9 @@ BLOCKS = frozenset(
     "section summary table tbody td tfoot th thead title tr ul".split()
 )
 DROPPED = frozenset("nav footer aside form menu head title dialog button select textarea fieldset label input option search".split())
-SKIPPED = "script style noscript template iframe object svg math canvas audio video map textarea head title select".split()
+SKIPPED = "script style noscript template iframe object svg math canvas audio video map textarea title select".split()
+RAW = frozenset("script style title textarea".split())
+IN_HEAD = frozenset("base link meta basefont bgsound noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset("article main".split())
 MARKS = re.compile(
@@ -50,11 +55,12 @@ STOP_WORDS = frozenset(
 )
 LINKS_MOST, SHORT, LONG, FEW, MANY = 0.33, 70, 200, 0.08, 0.2
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<raw>" + "|".join(SKIPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<raw>" + "|".join(SKIPPED) + r")\b(?P<given>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in SKIPPED}
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[^\W\d_]+")
 GOOD, BAD, OPEN = 1, -1, 0
@@ -104,17 +110,38 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    def end_head() -> None:
+        if stack and stack[-1][0] == "head":
+            end()
+            stack.pop()
+
+    at = 0
+    unclosed: set[str] = set()  # elements without an end tag from here on
+    while m := _TOKEN.search(page, at):
+        at = m.end()
         text, name = m["text"] or m["cdata"], m["name"]
         if text:
+            if text.strip():
+                end_head()
             parts.append(text)
             if any(n == "a" for n, _, _ in stack):
                 linked += len(" ".join(text.split()))
         elif m["raw"]:
             parts.append(" ")
+            raw = m["raw"].lower()
+            if raw in ("svg", "math") and m["given"].endswith("/"):
+                continue
+            close = None if raw in unclosed else _CLOSE[raw].search(page, at)
+            if close:
+                at = close.end()
+            else:
+                unclosed.add(raw)
+                at = len(page) if raw in RAW else at
         elif name:
             name = name.lower()
             block = name in BLOCKS
+            if not m["close"] and name not in IN_HEAD:
+                end_head()
             if name == "br" or name in VOID:
                 parts.append(" ")
                 if name == "hr":

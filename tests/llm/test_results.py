@@ -89,6 +89,21 @@ def test_op2(spark, small):
     assert html.extract(plain).count("\n") == 2
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>t</title><body><p>Article text.</p>", "Article text."),
+        ("<html><head><title>t</title><meta name=a><p>Article text.</p>", "Article text."),
+        ("<head><title>t</title></head><p>Article text.</p>", "Article text."),
+        ("<p>One.</p><svg width=1 /><p>Two.</p><p>Three.</p>", "One.\nTwo.\nThree."),
+        ("<p>One.</p><svg><text>no</text></svg><video src=x><p>Two.</p>", "One.\nTwo."),
+        ("<p>One.</p><script>var a = '<p>no</p>'", "One."),
+    ],
+)
+def test_op2_reads_on_after_omitted_end_tags(page, text):
+    assert html.extract(page) == text
+
+
 # ---- op3
 
 

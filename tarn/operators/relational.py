@@ -53,12 +53,13 @@ def delete_using(target: DataFrame, source: DataFrame, on: list[str]) -> DataFra
     return target.join(source.select(*on).distinct(), on, "left_anti")
 
 
-def connect_by(df: DataFrame, node: str, parent: str, start: Column, siblings: str | None = None, most_levels: int = 100) -> DataFrame:
-    """Rows reached from ``start`` along parent links: level, path, and whether the row is a leaf; cycles end where they close."""
+def connect_by(df: DataFrame, node: str, parent: str, start: Column, siblings: str | None = None, most_levels: int | None = None) -> DataFrame:
+    """Rows reached from ``start`` along parent links: level, path, and whether the row is a leaf; cycles end where they close; all levels, or the first ``most_levels``."""
     rows = df.withColumn("_order", F.col(siblings or node).cast("string"))
     now = rows.filter(start).withColumn("level", F.lit(1)).withColumn("path", F.array(F.col(node).cast("string"))).withColumn("sibling_path", F.array("_order"))
     out, level = now, 1
-    while level < most_levels:
+    shared = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    while most_levels is None or level < most_levels:
         up = now.select(F.col(node).alias("_up"), F.col("level").alias("_level"), F.col("path").alias("_path"), F.col("sibling_path").alias("_sibs"))
         now = (
             rows.join(up, F.col(parent) == F.col("_up"))
@@ -68,6 +69,7 @@ def connect_by(df: DataFrame, node: str, parent: str, start: Column, siblings: s
             .withColumn("sibling_path", F.concat("_sibs", F.array("_order")))
             .drop("_up", "_level", "_path", "_sibs")
         )
+        now = now.checkpoint() if shared else now.localCheckpoint()  # each level is worked out once, however deep the tree
         if now.isEmpty():
             break
         out, level = out.unionByName(now), level + 1

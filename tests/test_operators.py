@@ -204,3 +204,9 @@ def test_cluster_by_other_distances(spark, metric):
 def test_report_without_positives(spark):
     r = ml.report(spark.createDataFrame([(0.0, 0.0), (0.0, 0.0)], "prediction double, label double")).first()
     assert r.accuracy == 1 and r.precision is None and r.recall is None and r.f1 is None
+
+
+def test_connect_by_ends_with_the_tree_not_at_a_fixed_level(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(105)], "id int, up int").coalesce(1)
+    got = R.connect_by(chain, "id", "up", F.col("up").isNull()).select("id", "level").collect()
+    assert sorted((r.id, r.level) for r in got) == [(i, i + 1) for i in range(105)]

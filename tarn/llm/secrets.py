@@ -8,8 +8,10 @@ credential is still one; texts shorter than COPY_CHARS may agree without being c
 Spans of the base kinds are always reported; those of the further kinds only if their value looks live.
 
 Defined cases: a null or empty text has no spans; a null owner or repository counts as one more
-value; repeated rows are reported each for itself and count once for an owner; an empty table gives
-an empty result. Positions are code points, ends exclusive.
+value; repeated rows are reported each for itself and count once for an owner; of the owners of copies the one of
+the least hash counts, and of equal hashes the least name; spans of one start are ordered by kind; the work on a
+long text grows in proportion to its length and spans; an empty table gives an empty result; columns
+play no part but those named, whatever the others are called. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ FURTHER = {
     # up to its end; without one, the lines that look like a key's
     "private_key": _BEGIN + r"(?:[^-]*+(?:-(?!----)[^-]*+){0,200}+" + _END + r"|(?:(?:\s|\\[nr])++[A-Za-z0-9+/]{40,}={0,2}+(?![^\s\\\"'-]))*+)",
     "vendor": r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}",
-    "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}",
+    "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}",
     "opaque": r"[A-Za-z0-9+/_-]{32,}={0,2}",
 }
 BASE = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
@@ -42,38 +44,60 @@ MAX_OWNERS, SHARE = 2, 0.01
 COPY_CHARS = 64
 
 _SPAN = "struct<s:int,o:int,e:int,kind:string,hash:string>"
+#: Lengths that are added up in one list; longer lists are added up by parts.
+_PART = 256
+#: Characters of the pieces that a text is cut into before spans are taken out of it.
+_CHUNK = 1024
 
 
-def _spans(text: Column, order: int, kind: str, pattern: str) -> Column:
-    """The spans of one kind. As matches come from the left and don't overlap, each is the first place of its string after the one before."""
+def _running(values: Column, join=lambda a, b: a + b) -> Column:
+    """The running sums of a list of whole numbers (or what else ``join`` makes of them, from 0 on), by parts, so that no list grows by copies of its whole."""
+    zero = F.array(F.lit(0))
+    last = lambda x: F.element_at(x, -1)
+    parts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _PART).cast("int"))
+    own = F.transform(parts, lambda i: F.aggregate(F.slice(values, i * _PART + 1, _PART), zero, lambda acc, x: F.concat(acc, F.array(join(last(acc), x)))))
+    before = F.aggregate(own, zero, lambda acc, x: F.concat(acc, F.array(join(last(acc), last(x)))))
+    return F.flatten(F.zip_with(own, F.slice(before, F.lit(1), F.size(own)), lambda x, n: F.transform(F.slice(x, F.lit(2), F.size(x)), lambda y: join(y, n))))
 
-    def step(acc: Column, match: Column) -> Column:
-        start = F.call_function("locate", match, text, acc["pos"])
-        end = start + F.length(match)
+
+def _steps(text: Column, matches: Column, pattern: str) -> Column:
+    """How far each match ends behind the one before it: between the matches lie the parts that the pattern splits the text into."""
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+    return F.when(F.size(matches) > 0, F.zip_with(gaps, matches, lambda gap, x: F.length(gap) + F.length(x))).otherwise(F.array().cast("array<int>"))
+
+
+def _spans(matches: Column, steps: Column, order: int, kind: str) -> Column:
+    """The spans of the matches of one kind."""
+
+    def span(x: Column) -> Column:
+        match, end = x["m"], x["e"]
         value = F.regexp_extract(match, ASSIGN, 2) if kind == "assign" else match
         if kind == "private_key":
             body = F.regexp_replace(match, f"{_BEGIN}|{_END}|\\s|\\\\[nr]", "")
             value = F.when(body == "", match).otherwise(body)
-        fits = {
-            "assign": F.length(value) >= 6,
-            "opaque": match.rlike("[0-9]") & match.rlike("[A-Z]") & match.rlike("[a-z]"),
-        }.get(kind, F.lit(True))
-        span = F.struct(
-            (start - 1).alias("s"), F.lit(order).alias("o"), (end - 1).alias("e"), F.lit(kind).alias("kind"), F.sha2(value.cast("binary"), 256).alias("hash")
+        return F.struct(
+            (end - F.length(match)).alias("s"), F.lit(order).alias("o"), end.alias("e"), F.lit(kind).alias("kind"), F.sha2(value.cast("binary"), 256).alias("hash")
         )
-        more = F.when(fits, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(end.alias("pos"), more.alias("spans"))
 
-    start = F.struct(F.lit(1).alias("pos"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
-    return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), start, step, lambda acc: acc["spans"])
+    fits = {
+        "assign": lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6,
+        "opaque": lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Z]") & x["m"].rlike("[a-z]"),
+    }.get(kind)
+    placed = F.zip_with(matches, _running(steps), lambda m, e: F.struct(m.alias("m"), e.alias("e")))
+    found = F.transform(F.filter(placed, fits) if fits else placed, span)
+    return F.when(F.size(matches) > 0, found).otherwise(F.array()).cast(f"array<{_SPAN}>")
 
 
-def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with arrays ``_base`` and ``_more`` of spans, sorted by start and kind."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = F.concat(*[_spans(text, i, k, p) for i, (k, p) in enumerate(BASE.items())])
-    more = F.concat(*[_spans(text, len(BASE) + i, k, p) for i, (k, p) in enumerate(FURTHER.items())])
-    return docs.withColumn("_base", F.array_sort(base)).withColumn("_more", F.array_sort(more))
+def with_spans(docs: DataFrame, text: Column) -> DataFrame:
+    """``docs`` with arrays ``_base`` and ``_more`` of the spans of ``text``, sorted by start and kind; no column of ``docs`` may begin with ``_``."""
+    kinds = BASE | FURTHER
+    # the matches in a projection of their own: a pattern goes over a text once, and splits only those that have a match
+    matched = docs.select("*", text.alias("_text")).select("*", *[F.regexp_extract_all("_text", F.lit(p), F.lit(0)).alias(f"_m{i}") for i, p in enumerate(kinds.values())])
+    # likewise the steps, as what a lambda function refers to is worked out anew at each call
+    stepped = matched.select("*", *[_steps(F.col("_text"), F.col(f"_m{i}"), p).alias(f"_s{i}") for i, p in enumerate(kinds.values())])
+    found = [_spans(F.col(f"_m{i}"), F.col(f"_s{i}"), i, k) for i, k in enumerate(kinds)]
+    base, more = F.concat(*found[: len(BASE)]), F.concat(*found[len(BASE) :])
+    return stepped.select(*docs.columns, F.array_sort(base).alias("_base"), F.array_sort(more).alias("_more"))
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -95,18 +119,17 @@ def _joined(spans: Column) -> Column:
 
 def _name(columns: tuple[str, ...]) -> Column:
     """Several columns as one value, nulls told apart."""
-    return F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)]))
+    return F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)]))
 
 
-def _copy(text_col: str) -> Column:
+def _copy(text: Column, owner: Column, repo: Column) -> Column:
     """What equal texts share; short ones only with those of their owner and repository."""
-    text = F.col(text_col).cast("string")
-    return F.when(F.length(text) >= COPY_CHARS, F.md5(text.cast("binary"))).otherwise(F.concat(F.col("owner"), F.col("repo")))
+    return F.when(F.length(text) >= COPY_CHARS, F.md5(text.cast("binary"))).otherwise(F.concat(owner, repo))
 
 
-def most_owners(docs: DataFrame, owner: tuple[str, ...], least: int = MAX_OWNERS, share: float = SHARE) -> int:
+def most_owners(owners: DataFrame, least: int = MAX_OWNERS, share: float = SHARE) -> int:
     """The owners that a live value may have."""
-    return max(least, ceil(share * docs.select(_name(owner).alias("owner")).distinct().count()))
+    return max(least, ceil(share * owners.distinct().count()))
 
 
 def judge(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -126,6 +149,14 @@ def judge(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     )
 
 
+def _scanned(docs: DataFrame, text_col: str, owner: tuple[str, ...], repo: tuple[str, ...], kept: Column) -> DataFrame:
+    """(row, kept, owner, repo, copy, _base, _more) of each row of ``docs``, written: the patterns go over the texts once."""
+    text = F.col(f"`{text_col}`").cast("string")
+    named = docs.select(F.monotonically_increasing_id().alias("row"), kept.alias("kept"), _name(owner).alias("owner"), _name(repo).alias("repo"), text.alias("text"))
+    found = with_spans(named, F.coalesce("text", F.lit("")))
+    return written(found.withColumn("copy", _copy(F.col("text"), F.col("owner"), F.col("repo"))).drop("text"), "spans")
+
+
 def scan(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -135,41 +166,43 @@ def scan(
     max_owners: int = MAX_OWNERS,
 ) -> DataFrame:
     """A row for each row of ``docs``: (row, id, base, spans, live): arrays of spans; live holds those that look live."""
-    picked = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), _name(owner).alias("owner"), _name(repo).alias("repo"), F.col(text_col).alias("text")
-    )
-    found = written(with_spans(picked).withColumn("copy", _copy("text")).drop("text"), "spans")
+    found = _scanned(docs, text_col, owner, repo, F.col(f"`{id_col}`"))
     none = F.array().cast(f"array<{_SPAN}>")
-    return found.join(judge(found, most_owners(docs, owner, max_owners)), "row", "left").select(
-        "row", "id", F.col("_base").alias("base"), F.coalesce("spans", none).alias("spans"), F.coalesce("live", none).alias("live")
+    return found.join(judge(found, most_owners(found.select("owner"), max_owners)), "row", "left").select(
+        "row", F.col("kept").alias("id"), F.col("_base").alias("base"), F.coalesce("spans", none).alias("spans"), F.coalesce("live", none).alias("live")
     )
 
 
+def _hidden(text: Column, chunks: Column, live: Column, ends: Column, mark: str) -> Column:
+    """``text`` with the spans of ``live`` (sorted by start) replaced; what overlaps one before it goes with that. ``chunks``: the text in pieces of _CHUNK; ``ends``: how far the spans reach up to each."""
+
+    def piece(a: Column, b: Column) -> Column:
+        own = lambda i: F.substring(F.get(chunks, i), F.greatest(a - i * _CHUNK, F.lit(0)) + 1, F.least(b - i * _CHUNK, F.lit(_CHUNK)) - F.greatest(a - i * _CHUNK, F.lit(0)))
+        return F.when(a >= b, "").otherwise(F.array_join(F.transform(F.sequence(F.floor(a / _CHUNK).cast("int"), F.floor((b - 1) / _CHUNK).cast("int")), own), ""))
+
+    starts = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+    kept = F.zip_with(live, starts, lambda x, at: F.when(x["s"] >= at, F.concat(piece(at, x["s"]), F.lit(mark))).otherwise(""))
+    return F.concat(F.array_join(kept, ""), piece(F.element_at(ends, -1), F.length(text)))
+
+
 def redact(
     docs: DataFrame, text_col: str = "text", owner: tuple[str, ...] = ("source",), repo: tuple[str, ...] = ("source", "lang"), mark: str = "<SECRET>"
 ) -> DataFrame:
     """``docs`` with every live-looking span replaced by ``mark``; copied examples and all else stay as they are.
 
-    Values are judged over the whole of ``docs``. Texts without a candidate take no part in a
-    shuffle: only those that have one are written, numbered and joined with their verdicts.
+    Values are judged over the whole of ``docs``, which is written once with its spans. Texts without a
+    candidate take no part in a shuffle. Columns may have any names.
     """
-    columns = docs.columns
-    marked = with_spans(docs, text_col).withColumn("_some", F.size("_base") + F.size("_more") > 0)
-    some = written(marked.filter("_some").withColumn("_row", F.monotonically_increasing_id()), "candidates")
-    named = some.select(F.col("_row").alias("row"), _name(owner).alias("owner"), _name(repo).alias("repo"), F.col(text_col).alias("text"), "_base", "_more")
-    judged = judge(named.withColumn("copy", _copy("text")).drop("text"), most_owners(docs, owner))
-    judged = judged.select(F.col("row").alias("_row"), F.col("live").alias("_live"))
-    text = F.col(text_col)
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.concat(acc["out"], F.substring(text, acc["pos"] + 1, x["s"] - acc["pos"]), F.lit(mark))
-        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.when(x["s"] >= acc["pos"], gap).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text)))
-    with_some = some.drop("_base", "_more", "_some").join(judged, "_row", "left")
-    cleaned = with_some.withColumn(text_col, F.when(F.col("_live").isNull(), text).otherwise(F.aggregate("_live", start, step, rest)))
-    return cleaned.select(columns).unionByName(marked.filter(~F.col("_some")).select(columns))
+    found = _scanned(docs, text_col, owner, repo, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    has = F.size("_base") + F.size("_more") > 0
+    judged = judge(found.filter(has), most_owners(found.select("owner"))).select("row", "live")
+    text = F.col(f"kept.`{text_col}`").cast("string")
+    hit = found.filter(has).select("row", "kept").join(judged.filter(F.size("live") > 0), "row", "left")
+    cut = hit.withColumn("chunks", F.when(F.col("live").isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))))
+    reach = cut.withColumn("until", F.transform("live", lambda x: x["e"])).withColumn("ends", F.when(F.size("until") > 0, _running(F.col("until"), F.greatest)))
+    clean = F.when(F.col("live").isNull(), text).otherwise(_hidden(text, F.col("chunks"), F.col("live"), F.col("ends"), mark))
+    cleaned = reach.select(*[clean.alias(c) if c == text_col else F.col(f"kept.`{c}`").alias(c) for c in docs.columns])
+    return cleaned.unionByName(found.filter(~has).select(*[F.col(f"kept.`{c}`").alias(c) for c in docs.columns]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -17,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarn.llm import brown, cws, decontam, html, mixing, queries, repeats, simhash, suffix, tokens
+from tarn.llm import brown, cws, decontam, html, mixing, queries, repeats, secrets, simhash, suffix, tokens
 from tarn.llm.common import components
 
 
@@ -226,6 +227,65 @@ def test_op5(spark, small, texts, tmp_path):
     assert "private_key:0:31" in got[2].spans and "vendor:32:" in got[2].spans
 
 
+BEGIN, END = (rf"-----{x} [A-Z ]{{0,40}}PRIVATE KEY-----" for x in ("BEGIN", "END"))
+KINDS = {
+    "assign": ASSIGN,
+    "access": re.compile("AKIA[A-Z0-9]+"),
+    "hex": re.compile("[0-9a-f]+"),
+    "private_key": re.compile(secrets.FURTHER["private_key"]),
+    "vendor": re.compile(secrets.FURTHER["vendor"]),
+    "jwt": re.compile(secrets.FURTHER["jwt"]),
+    "opaque": re.compile(secrets.FURTHER["opaque"]),
+}
+
+
+def all_spans(t):
+    """(start, kind's number, end, kind, value) of every span of a text, in order."""
+    out = []
+    for o, (kind, pattern) in enumerate(KINDS.items()):
+        for m in pattern.finditer(t):
+            value = m[2] if kind == "assign" else re.sub(rf"{BEGIN}|{END}|\s|\\[nr]", "", m[0]) or m[0] if kind == "private_key" else m[0]
+            if {"assign": len(value) >= 6, "access": len(m[0]) >= 20, "hex": len(m[0]) >= 24, "opaque": all(re.search(x, m[0]) for x in ("[0-9]", "[A-Z]", "[a-z]"))}.get(kind, True):
+                out.append((m.start(), o, m.end(), kind, value))
+    return sorted(out)
+
+
+def test_op5_ownership_by_brute_force(spark, small, tmp_path):
+    rng = random.Random(5)
+    shape = "doc_id long, text string, lang string, source string"
+    own = [(i, f"page {i} of a handbook that was written by hand holds token = \"{rng.getrandbits(80):x}\" and {'aB3' * 12}{i}", f"l{i % 3}", f"s{i % 40}") for i in range(120)]
+    wide = [(200 + i, f"page {i} of another handbook: password: \"changeme99\" AKIA{'EXAMPLE0' * 2} {'Zz9' * 14}", f"l{i % 3}", f"s{i}") for i in range(30)]
+    copied = [(300 + i, "one page, mirrored by many others as it is, with secret=mirrored-value in it and some more", "l1", f"s{i}") for i in range(20)]
+    keys = [(400 + i, f"a key of {i}:\n-----BEGIN RSA PRIVATE KEY-----\n{('kEy%02d' % (i % 2)) * 16}\n-----END RSA PRIVATE KEY-----\n", "l0", f"s{i}") for i in range(9)]
+    rows = own + wide + copied + keys + [(500, None, None, None), (501, "", "l1", None)]
+    spark.createDataFrame(rows, shape).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    most = max(2, -(-len({r[3] for r in rows}) // 100))
+    places = {}
+    for doc, text, lang, source in rows:
+        copy = text if text is not None and len(text) >= secrets.COPY_CHARS else (lang, source)
+        for *_, value in all_spans(text or ""):
+            places.setdefault(value, {}).setdefault(copy, set()).add((source, (source, lang)))
+    # of a mirrored text's owners any one may count: their number is what brute force can tell
+    live = {v: len(by) <= most if any(len(x) > 1 for x in by.values()) else min(len({s for x in by.values() for s, _ in x}), len({r for x in by.values() for _, r in x})) <= most for v, by in places.items()}
+    got = {r.doc_id: r for r in run(spark, str(tmp_path), "op5_secret_scan")}
+    assert len(got) == len(rows) and 0 < sum(live.values()) < len(live)
+    for doc, text, *_ in rows:
+        found = all_spans(text or "")
+        alive = [x for x in found if live[x[4]]]
+        assert got[doc].spans == ",".join(f"{k}:{a}:{b}" for a, o, b, k, v in found if o < 3 or live[v])
+        assert (got[doc].n_live, got[doc].n_example) == (len(alive), sum(o < 3 and not live[v] for _, o, _, _, v in found))
+
+
+def test_op5_takes_time_in_proportion_to_the_spans(spark):
+    text = " ".join("deadbeef" * 3 + f"{i:08x}" for i in range(20_000)) + " token=é🙂token=abcdefg"
+    df = spark.createDataFrame([(1, text, "en", "a")], "doc_id long, text string, lang string, source string")
+    start = time.perf_counter()
+    r = secrets.scan(df).first()
+    assert time.perf_counter() - start < 60
+    assert [(x.s, x.e, x.kind) for x in r.base] == [(a, b, k) for a, o, b, k, _ in all_spans(text) if o < 3]
+    assert secrets.redact(df).first().text == " ".join(["<SECRET>"] * 20_000) + " token=é🙂<SECRET>"
+
+
 # ---- op6
 
 

@@ -105,6 +105,75 @@ def test_op2_reads_on_after_omitted_end_tags(page, text):
     assert html.extract(page) == text
 
 
+_SENTENCES = {
+    "en": "The %s was in the house and it is said that all of them were on the way to the town with the %s.",
+    "fr": "Le %s est dans la maison et il se dit que les autres sont sur le chemin de la ville avec une %s.",
+    "de": "Der %s war in dem Haus und es ist nicht klar, ob die anderen auf dem Weg in die Stadt mit der %s waren.",
+    "es": "El %s estaba en la casa y se dice que los otros son como una parte de la ciudad con el %s.",
+}
+_LINKS = "".join(f'<li><a href="/{i}">Section number {i} of the site</a>' for i in range(8))
+
+
+def _article(rng, lang):
+    """(blocks of an article, their html) of a title, running text, lists and short lines."""
+    word = lambda: "".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randrange(3, 9)))
+    line = lambda: _SENTENCES[lang] % (word(), word())
+    texts, markup = [f"{word()} & {word()} {word()}"], []
+    markup.append(f"<h1>{texts[0].replace('&', '&amp;')}</h1>")
+    for _ in range(rng.randrange(2, 7)):
+        kind = rng.choice(["p", "p", "open", "list", "quote", "bold"])
+        if kind == "list":
+            items = [line() for _ in range(3)]
+            markup.append("<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>")
+            texts += items
+        else:
+            t = " ".join(line() for _ in range(rng.randrange(1, 4)))
+            texts.append(t)
+            shown = t.replace(" ", rng.choice([" ", "  ", "\n", " <!-- x -->"]), 1)
+            markup.append({"p": f"<p>{shown}</p>", "open": f"<p>{shown}", "quote": f"<blockquote>{shown}</blockquote>", "bold": f"<p><b>{shown}</b><script>var a = '<p>no</p>';</script></p>"}[kind])
+    return "\n".join(texts), "".join(markup)
+
+
+def _page(rng, number):
+    lang = rng.choice(list(_SENTENCES))
+    text, article = _article(rng, lang)
+    other = lambda n: " ".join(_SENTENCES[lang] % ("reader", "site") for _ in range(n))
+    side = f'<div class="sidebar"><p>{other(1)}</p><ul>{_LINKS}</ul></div>'
+    comments = f'<div id="comments"><ol class="comment-list"><li><article class="comment"><p>{other(4)}</p></article></li></ol></div>'
+    body = [
+        f'<article class="post-{number} post category-legal tag-search has-sidebar">{article}</article>',
+        f'<article class="category-social">{article}</article>{side}{comments}',
+        f'<div class="content-sidebar-wrap"><main>{article}</main>{side}</div>',
+        f'<div class="content-sidebar-wrap"><div class="entry">{article}</div>{side}</div>',
+        f'<div id="layout-sidebar-right"><div class="text">{article}</div>{side}</div>',
+        f'<form id="aspnetForm" method="post"><div class="menu">{_LINKS}</div><div class="text">{article}</div>{side}<input type="hidden" value=">"></form>',
+        f'<div class="text">{article}</div><div class="related-posts"><p>{other(1)}</p></div>{comments}',
+        f'<div class="content-sidebar-wrap"><article>{article}</article>{side}</div>{comments}',
+        f'<div class="nav-layout"><div class="nav-body">{article}</div></div>',
+        f"<article>{article}</article><aside><p>{other(2)}</p></aside>",
+        f'<div class="page"><div class="story">{article}</div></div>',
+    ][number % 11]
+    head = rng.choice([f"<head><title>{other(1)}</title></head>", f"<head><title>{other(1)}</title>", f"<head><title>{other(1)}</title><meta charset=utf-8>", ""])
+    top = rng.choice(["", f"<nav><ul>{_LINKS}</ul></nav>", f'<header><a href="/">Home</a> {other(1)}</header>', f'<div class="cookie-banner" role="dialog"><p>{other(1)}</p><button>Yes</button></div>', f'<ul class="nav">{_LINKS}</ul>'])
+    foot = rng.choice(["", f"<footer><p>{other(1)}</p></footer>", f'<div id="footer"><p>{other(1)}</p></div>', f'<form class="newsletter"><p>{other(1)}</p><label>Mail</label></form>', f'<div class="ad-slot"><p>{other(1)}</p></div>'])
+    return f"<!DOCTYPE html><html>{head}<body>{top}{body}{foot}", text
+
+
+def test_op2_on_known_articles(spark):
+    rng = random.Random(9)
+    made = [_page(rng, i) for i in range(330)]
+    pages = spark.createDataFrame([(i, f"u{i}", p) for i, (p, _) in enumerate(made)], "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in html.main_text(pages).collect()}
+    assert [i for i, (_, t) in enumerate(made) if got[i] != t] == []
+
+
+@pytest.mark.parametrize("part", ["<div>", '<a "', '<a ="', "<b>", "</b>", "<p", "<!", "<a>x", "<div class=nav>x", "<svg>", "<i></div>", "&lt;<"])
+def test_op2_takes_time_in_proportion_to_the_page(part):
+    start = time.perf_counter()
+    html.extract(part * 200_000)
+    assert time.perf_counter() - start < 30
+
+
 # ---- op3
 
 

@@ -53,7 +53,8 @@ MARKS = re.compile(
 # names that tell of the page, its layout or its topic, not of the element
 _STATES = re.compile(r"(?:has|with|without|no|is|js|category|cat|tag|post|page|type|status|format|layout|template|theme|topic|author|term|lang)[-_]", re.IGNORECASE)
 # what stands beside an article as text of its own, and what encloses others
-BESIDE = re.compile(r"(?:^|[_-])(?:comments?|disqus|replies|respond|related|recommended|cookies?|consent|gdpr|popup|modal|overlay|nav|navbar|navigation|menu)(?:$|[_-])", re.IGNORECASE)
+BESIDE = re.compile(r"(?:^|[_-])(?:comments?|disqus|replies|respond|related|recommended)(?:$|[_-])", re.IGNORECASE)
+APART = re.compile(r"(?:^|[_-])(?:cookies?|consent|gdpr|popup|modal|overlay|nav|navbar|navigation|menu)(?:$|[_-])", re.IGNORECASE)
 AROUND = re.compile(r"(?:^|[_-])(?:wrap|wrapper|wrapped|container|content|main|inner|body|site|grid|row|cols?|columns?|primary|area|layout)(?:$|[_-])", re.IGNORECASE)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 STOP_WORDS = frozenset(
@@ -89,7 +90,7 @@ def _mark(name: str, attrs: str) -> int:
         if key in ("class", "id"):
             for x in said.split():
                 if MARKS.search(x) and not _STATES.match(x):
-                    mark = max(mark, FIRM if BESIDE.search(x) else BY_LAYOUT if AROUND.search(x) else WEAK)
+                    mark = max(mark, FIRM if BESIDE.search(x) else BY_LAYOUT if AROUND.search(x) else FIRM if APART.search(x) else WEAK)
         elif key == "role" and said.lower() in ROLES:
             mark = max(mark, BY_LAYOUT if said.lower() == "form" else FIRM)
         elif key == "aria-hidden" and said.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", said, re.IGNORECASE):

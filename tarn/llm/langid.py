@@ -5,11 +5,17 @@ words come from a mixture of languages; expectation-maximisation estimates the p
 set of languages is the one of the best likelihood less a penalty for each language more (BIC)
 along the order of the proportions.
 
+The score is the leading language's share within the chosen set. ``keep_known`` sets the chosen languages against a
+background in which every trigram is as likely as any other: a text that the background explains better
+(by the same penalised likelihood) has no language that was learnt.
+
 The model is fitted on a sample of about ``per_language`` labelled rows a language, a documented
 bound; predictions read whole texts. Rows of fold 1 (crc32 of the id, mod 3) are never learnt from.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if
-nothing could be learnt; repeated rows get equal answers; an empty table gives an empty result.
+nothing could be learnt; of languages that fit equally well the first by name leads; repeated rows get equal answers; a long text is
+held whole, with some numbers a letter; an empty table gives an empty result; columns play no part but those named, and one of
+the name of a column that is added gives way to it.
 """
 
 from __future__ import annotations
@@ -22,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import chunks, fold, id_text
 
 PER_LANGUAGE = 3000
-#: Entries of the model over all languages, at most; fixes the number of trigram buckets.
-ENTRIES = 1 << 22
+#: Trigram buckets, as a power of two: the model has as many numbers for each language.
+BITS = 18
 FOLDS, HELD_OUT = 3, 1
 ROUNDS = 10
 UNKNOWN = "und"
@@ -75,8 +81,8 @@ class Model:
         return pi, np.add.reduceat(np.log((pi[of] * lik).sum(axis=1)), first)
 
     def predict(self, texts: list):
-        """For each text: its language (or ``und``), the language's share, and the chosen set with shares."""
-        out = [(UNKNOWN, 0.0, "")] * len(texts)
+        """For each text: its language (or ``und``), the language's share, the chosen set with shares, and by how much its penalised likelihood exceeds the background's."""
+        out = [(UNKNOWN, 0.0, "", -np.inf)] * len(texts)
         n = len(self.languages)
         grams, starts, docs = word_grams(texts, self.bits)
         if not n or not len(starts):
@@ -109,27 +115,31 @@ class Model:
             rows = open_[better]
             score[rows], chosen[rows], share[rows] = value[better], inside[better], p[better]
             open_ = open_[2 * mixed[open_] - k * np.log(words[open_]) > score[open_]]
+        letters = np.add.reduceat(np.diff(np.append(starts, len(grams))), first)
+        margin = score + 2 * np.add.reduceat(top[:, 0], first) + 2 * letters * self.bits * np.log(2.0)
         for i, doc in enumerate(present):
             lead = int(np.argmax(share[i]))
             order = sorted(np.flatnonzero(chosen[i]), key=lambda j: (-share[i, j], j))
             out[doc] = (
                 self.languages[lead],
-                float(min(1.0, max(0.0, pi[i, lead]))),
+                float(min(1.0, max(0.0, share[i, lead]))),
                 ",".join(f"{self.languages[j]}:{share[i, j]:.3f}" for j in order),
+                float(margin[i]),
             )
         return out
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Fits the trigram model on a sample of rows outside the held-out fold."""
+    id_col, text_col, lang_col = (f"`{c}`" for c in (id_col, text_col, lang_col))
     rows = docs.select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), fold(id_col, FOLDS).alias("fold"), F.pmod(F.xxhash64(id_text(id_col)), F.lit(1 << 20)).alias("lot")
     ).filter(f"fold <> {HELD_OUT} and lang is not null and text is not null")
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.empty((0, 0), np.float32), 8)
-    bits = max(8, min(18, (ENTRIES // len(languages)).bit_length() - 1))
+        return Model([], np.empty((0, 0), np.float32), BITS)
+    bits = BITS
     spark = docs.sparkSession
     limits = spark.createDataFrame(
         [(k, i, int(min(1.0, per_language / sizes[k]) * (1 << 20)) + 1) for i, k in enumerate(languages)], "lang string, number int, below bigint"
@@ -161,7 +171,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``languages`` (the chosen set with shares); its text column is read only."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most ENTRIES numbers
+    shared = spark.sparkContext.broadcast(model)  # 2^BITS numbers a language
     added = ["lang_pred", "score", "languages"]
     kept = [f for f in docs.schema.fields if f.name not in added]
     picked = docs.select(*[F.col(f"`{f.name}`") for f in kept])
@@ -173,22 +183,22 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             texts = batch.column(place).to_pylist()
             rest = [c for i, c in enumerate(batch.columns) if i != place]
             for a, b in chunks(texts, 500_000):
-                found = list(zip(*shared.value.predict(texts[a:b])))
+                found = list(zip(*shared.value.predict(texts[a:b])))[:3]
                 yield pa.RecordBatch.from_arrays([*(c[a:b] for c in rest), pa.array(found[0]), pa.array(found[1], pa.float64()), pa.array(found[2])], names=schema.names)
 
     return picked.mapInArrow(run, schema)
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language, unchanged; those that are ``und`` go."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ENTRIES numbers
+    """The rows of ``docs`` whose text has a language, unchanged; those that are ``und`` go, and those that the background explains better than the languages."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS numbers a language
     place = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             texts = batch.column(place).to_pylist()
             for a, b in chunks(texts, 500_000):
-                known = [x[0] != UNKNOWN for x in shared.value.predict(texts[a:b])]
+                known = [x[0] != UNKNOWN and x[3] >= 0 for x in shared.value.predict(texts[a:b])]
                 yield batch.slice(a, b - a).filter(pa.array(known))
 
     return docs.mapInArrow(run, docs.schema)

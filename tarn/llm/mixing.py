@@ -10,9 +10,13 @@ from its rank in its source.
 All rows are kept. When a source has run out it takes no more slots; the others keep to their windows, so slots
 may stay empty. ``mix_order`` is the order to read in.
 
+A source's rows are ranked by the MD5 of their id, those of one id by a hash of all their columns. Windows that end alike go
+to the source first by name, that of null last.
+
 Defined cases: a null source is a source of its own; repeated rows are ranked each for itself;
-a weight for a source without rows is left out, and sources given no weight have a billionth of
-the least one; an empty table gives an empty result.
+a weight for a source without rows is left out, and sources given no weight, or zero, have a billionth of
+the least one, so they fill slots that no other needs; texts play no part, whatever their length; an empty table gives an empty result;
+columns may have any names, and one named like a column that is added gives way to it.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import heapq
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import islice
-from math import ceil, lcm
+from math import ceil, lcm, sqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -29,7 +33,6 @@ from pyspark.sql import functions as F
 
 from .common import id_text, written
 
-CYCLE = 1024
 BLOCK = 16
 #: Weights by default: a source's rows to this power.
 TEMPERATURE = 0.5
@@ -37,23 +40,6 @@ TEMPERATURE = 0.5
 GROUP_ROWS, GROUPS = 5000, 256
 
 
-def shares(weights: dict, cycle: int = CYCLE) -> dict:
-    """Whole numbers that sum to the cycle, near the weights, at least one each."""
-    cycle = max(cycle, 2 * len(weights))
-    total = sum(weights.values())
-    exact = {k: w / total * cycle for k, w in weights.items()}
-    out = {k: max(1, int(x)) for k, x in exact.items()}
-    spare = cycle - sum(out.values())
-    order = sorted(exact, key=lambda k: (-(exact[k] - out[k]), str(k)))
-    while spare:
-        for k in order if spare > 0 else reversed(order):
-            if spare and (spare > 0 or out[k] > 1):
-                step = 1 if spare > 0 else -1
-                out[k] += step
-                spare -= step
-    return out
-
-
 def exact(weights: dict[str, float]) -> dict[str, int]:
     """Whole numbers in the very ratio of the weights."""
     parts = {k: Fraction(w) for k, w in weights.items()}
@@ -81,11 +67,6 @@ def slots(parts: dict, blocks: dict) -> Iterator[tuple]:
         slot += 1
 
 
-def schedule(parts: dict) -> list:
-    """The slots of as many blocks a source as its part."""
-    return list(slots(parts, parts))
-
-
 def interleave(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -96,17 +77,20 @@ def interleave(
     """``docs`` with mix_block, mix_release, mix_deadline, mix_slot and mix_order."""
     spark = docs.sparkSession
     added = "mix_block mix_release mix_deadline mix_slot mix_order".split()
-    columns = [c for c in docs.columns if c not in added]
+    columns = [f"`{c}`" for c in docs.columns if c not in added]
+    plain = [f"`{f.name}`" for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    source = F.col(f"`{source_col}`")
     keyed = docs.select(
-        *columns,
-        F.when(F.col(source_col).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string"))).alias("_source"),
-        F.xxhash64(id_text(id_col), F.lit(11)).alias("_h"),
+        F.struct(*columns).alias("row"),
+        F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), source.cast("string"))).alias("source"),
+        F.md5(id_text(f"`{id_col}`").cast("binary")).alias("h"),
+        F.xxhash64(*plain).alias("tie"),
     )
-    sizes = {r["_source"]: r["count"] for r in keyed.groupBy("_source").count().collect()}
+    sizes = {r["source"]: r["count"] for r in keyed.groupBy("source").count().collect()}  # a number for each source
     if not sizes:
         return docs.select(*columns, *[F.lit(None).cast("bigint").alias(c) for c in added])
     given = {("null" if k is None else f"={k}"): w for k, w in (weights or {}).items() if w > 0}
-    held = {k: given.get(k, 0.0) if given else n**TEMPERATURE for k, n in sorted(sizes.items())}
+    held = {k: given.get(k, 0.0) if given else (sqrt(n) if TEMPERATURE == 0.5 else n**TEMPERATURE) for k, n in sorted(sizes.items())}
     least = min([w for w in held.values() if w > 0], default=1.0) * 1e-9
     parts = exact({k: w or least for k, w in held.items()})
     blocks = {k: -(-n // block) for k, n in sizes.items()}
@@ -114,37 +98,32 @@ def interleave(
     def work_out(batches):
         for _ in batches:
             pass
-        names = "_source mix_block mix_release mix_deadline mix_slot".split()
+        names = "source block release deadline slot".split()
         each = slots(parts, blocks)
         while piece := list(islice(each, 50_000)):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*piece)], names=names)
 
     # written, so that it is worked out once and read by many tasks; a row for each `block` rows
     plan = written(
-        spark.range(1, numPartitions=1).mapInArrow(work_out, "_source string, mix_block bigint, mix_release bigint, mix_deadline bigint, mix_slot bigint"), "plan"
+        spark.range(1, numPartitions=1).mapInArrow(work_out, "source string, block bigint, release bigint, deadline bigint, slot bigint"), "plan"
     )
 
-    # rank in the source, by hash: groups are counted, then ranked each for itself, so that no source is one task
+    # rank in the source, by hash: ranges of hashes are counted, then ranked each for itself, so that no source is one task
     groups = max(GROUPS, ceil(max(sizes.values()) / GROUP_ROWS))
-    keyed = keyed.withColumn("_g", F.pmod(F.shiftright("_h", 20), F.lit(groups)).cast("int"))
-    counts = keyed.groupBy("_source", "_g").count()
-    ahead = Window.partitionBy("_source").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_source", "_g", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_source", "_g").orderBy("_h", id_col)) - 1
-    ranked = (
-        keyed.withColumn("_in", rank)
-        .join(offsets, ["_source", "_g"])
-        .withColumn("_rank", F.col("_before") + F.col("_in"))
-        .withColumn("mix_block", F.floor(F.col("_rank") / block).cast("bigint"))
-        .join(plan, ["_source", "mix_block"])
-    )
-    return ranked.select(
-        *columns,
-        "mix_block",
-        "mix_release",
-        "mix_deadline",
-        "mix_slot",
-        (F.col("mix_slot") * block + F.pmod("_rank", F.lit(block))).cast("bigint").alias("mix_order"),
+    keyed = keyed.withColumn("g", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") * groups / (1 << 32)).cast("int"))
+    counts = keyed.groupBy("source", "g").count()
+    ahead = Window.partitionBy("source").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("source", "g", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("source", "g").orderBy("h", "tie")) - 1
+    ranked = keyed.withColumn("own", own).join(offsets, ["source", "g"]).withColumn("rank", F.col("before") + F.col("own"))
+    placed = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("bigint")).join(plan, ["source", "block"])
+    return placed.select(
+        *[F.col(f"row.{c}") for c in columns],
+        F.col("block").alias("mix_block"),
+        F.col("release").alias("mix_release"),
+        F.col("deadline").alias("mix_deadline"),
+        F.col("slot").alias("mix_slot"),
+        (F.col("slot") * block + F.pmod("rank", F.lit(block))).cast("bigint").alias("mix_order"),
     )
 
 
@@ -152,3 +131,17 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op9: the place of every document in the mix."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
     return interleave(docs)
+
+
+#: The schedule by its definition: at each slot, of the released blocks the one of the earliest deadline. Weights are whole numbers in their exact ratio.
+ORACLE = f"""WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, chr(1114111)) AS s, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, ''))) - 1 AS r FROM documents),
+    w AS (SELECT s, count(*) AS n, CAST(sqrt(count(*)) * 4503599627370496 AS HUGEINT) AS p FROM d GROUP BY s),
+    l AS (SELECT list(s ORDER BY s) AS s, list(p ORDER BY s) AS p, list((n + {BLOCK - 1}) // {BLOCK} ORDER BY s) AS b, CAST(sum(p) AS HUGEINT) AS t, count(*) AS m FROM w),
+    e AS (SELECT -1::HUGEINT AS slot, list_transform(range(m::BIGINT), lambda x: 0::HUGEINT) AS k, 0::BIGINT AS i FROM l
+        UNION ALL SELECT slot, list_transform(k, lambda x, j: CASE WHEN j = i THEN x + 1 ELSE x END), i FROM (
+            SELECT slot, k, CAST(list_min(list_transform(list_filter(range(1, m + 1), lambda j: k[j] < b[j] AND k[j] * t // p[j] <= slot), lambda j: [((k[j] + 1) * t + p[j] - 1) // p[j], j::HUGEINT]))[2] AS BIGINT) AS i
+            FROM (SELECT greatest(e.slot + 1, list_min(list_transform(list_filter(range(1, m + 1), lambda j: k[j] < b[j]), lambda j: k[j] * t // p[j]))) AS slot, k, l.* FROM e, l WHERE list_bool_or(list_transform(range(1, m + 1), lambda j: k[j] < b[j])))
+        )),
+    x AS (SELECT l.s[i] AS s, CAST(k[i] - 1 AS BIGINT) AS block, CAST((k[i] - 1) * t // p[i] AS BIGINT) AS release, CAST((k[i] * t + p[i] - 1) // p[i] AS BIGINT) AS deadline, CAST(slot AS BIGINT) AS slot FROM e, l WHERE i > 0)
+    SELECT doc_id, source, x.block AS mix_block, release AS mix_release, deadline AS mix_deadline, x.slot AS mix_slot, CAST(x.slot * {BLOCK} + r % {BLOCK} AS BIGINT) AS mix_order
+    FROM d JOIN x ON d.s = x.s AND d.r // {BLOCK} = x.block"""

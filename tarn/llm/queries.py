@@ -18,4 +18,4 @@ QUERIES = {
 }
 
 #: Queries that SQL can state.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_source_mix": mixing.ORACLE}

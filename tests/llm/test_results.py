@@ -10,6 +10,7 @@ from fractions import Fraction
 from itertools import islice
 from math import log10
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -18,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarn.llm import brown, cws, decontam, html, mixing, queries, repeats, secrets, simhash, suffix, tokens
+from tarn.llm import brown, cws, decontam, html, langid, mixing, queries, repeats, secrets, simhash, suffix, tokens
 from tarn.llm.common import components
 
 
@@ -389,6 +390,57 @@ def test_op7(spark, small):
     assert np.mean(held) > 0.97
 
 
+def plain_language(model, text):
+    """(language, share) of a text, a word at a time, by the definition."""
+    logs = []
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        grams, _, _ = langid.word_grams([word], model.bits)
+        logs.append([float(sum(model.table[g, j] for g in grams)) for j in range(len(model.languages))])
+    if not logs:
+        return "und", 0.0
+
+    def fitted(members):
+        pi = {j: 1 / len(members) for j in members}
+        for _ in range(langid.ROUNDS):
+            sums = dict.fromkeys(members, 0.0)
+            for w in logs:
+                top = max(w)
+                part = {j: pi[j] * np.exp(max(w[j] - top, -300.0)) + 1e-300 for j in members}
+                for j in members:
+                    sums[j] += part[j] / sum(part.values())
+            pi = {j: sums[j] / len(logs) for j in members}
+        return pi, sum(max(w) + np.log(sum(pi[j] * np.exp(max(w[j] - max(w), -300.0)) for j in members) + 1e-300) for w in logs)
+
+    every = list(range(len(model.languages)))
+    first = max(every, key=lambda j: (sum(w[j] for w in logs), -j))
+    best = (2 * sum(w[first] for w in logs), {first: 1.0})
+    order = sorted(every, key=lambda j: (-fitted(every)[0][j], j))
+    for k in range(2, len(every) + 1):
+        pi, value = fitted(order[:k])
+        if 2 * value - (k - 1) * np.log(len(logs)) > best[0]:
+            best = (2 * value - (k - 1) * np.log(len(logs)), pi)
+    lead = max(best[1], key=lambda j: (best[1][j], -j))
+    return model.languages[lead], best[1][lead]
+
+
+def test_op7_by_brute_force(spark, small, texts):
+    model = langid.learn(spark.read.parquet(f"{small}/documents.parquet"))
+    rng = random.Random(8)
+    ids = sorted(d for d in texts if len(texts[d]) < 1500)[:40]
+    mixed = [texts[a][:200] + " " + texts[b][:200] for a, b in ((rng.choice(ids), rng.choice(ids)) for _ in range(15))]
+    for text in [texts[d] for d in ids] + mixed + ["", "12 !", "a"]:
+        (lang, share, _, _), (want, want_share) = model.predict([text])[0], plain_language(model, text)
+        assert lang == want and abs(share - want_share) < 1e-6
+
+
+def test_language_stage_rejects_what_no_learnt_language_explains(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    strange = ["Это русский текст о погоде и о доме", "漢字だけの文章です。これは日本語。", "zxqj kjwq vvkx qqzz xxjk wvwv", "1234 !", None]
+    more = spark.createDataFrame([(10**6 + i, t, None, "s", 1) for i, t in enumerate(strange)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(more), small).collect()}
+    assert kept == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+
+
 # ---- op8
 
 
@@ -452,21 +504,38 @@ def test_components(spark):
 
 
 def test_op9(spark, small):
-    got = run(spark, small, "op9_source_mix")
-    assert len({r.mix_order for r in got}) == len(got)
-    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
-
-
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(1, 1000), min_size=1, max_size=25))
-def test_schedule_deviates_by_less_than_a_block(weights):
-    parts = mixing.shares({str(i): w for i, w in enumerate(weights)}, 256)
-    assert sum(parts.values()) == 256 and min(parts.values()) >= 1
-    had = dict.fromkeys(parts, 0)
-    for source, _, release, deadline, slot in mixing.schedule(parts):
-        assert release <= slot < deadline
-        had[source] += 1
-        assert all(abs(had[s] - parts[s] * (slot + 1) / 256) < 1 for s in parts)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{small}/documents.parquet'")
+    told = con.sql(mixing.ORACLE)
+    got = [r.asDict() for r in run(spark, small, "op9_source_mix")]
+    want = [dict(zip(told.columns, r)) for r in told.fetchall()]
+    assert sorted(got, key=lambda r: r["doc_id"]) == sorted(want, key=lambda r: r["doc_id"])
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in got)
+
+
+def test_slots_are_those_of_a_plain_earliest_deadline_first():
+    rng = random.Random(6)
+    for _ in range(30):
+        parts = {str(i): rng.randrange(1, 60) for i in range(rng.randrange(1, 7))}
+        blocks = {s: rng.randrange(0, 25) for s in parts}
+        total, done, slot, want = sum(parts.values()), dict.fromkeys(parts, 0), 0, []
+        while any(done[s] < blocks[s] for s in parts):
+            ready = [(-(-(done[s] + 1) * total // parts[s]), i, s) for i, s in enumerate(x for x in parts if blocks[x]) if done[s] < blocks[s] and done[s] * total // parts[s] <= slot]
+            if ready:
+                deadline, _, s = min(ready)
+                want.append((s, done[s], done[s] * total // parts[s], deadline, slot))
+                done[s] += 1
+            slot += 1
+        assert list(mixing.slots(parts, blocks)) == want
+
+
+def test_op9_weights_of_zero_and_rows_of_one_id(spark):
+    df = spark.createDataFrame([(i % 3, f"t{i}", "a" if i % 2 else "b") for i in range(200)], "doc_id long, text string, source string")
+    got = mixing.interleave(df, {"a": 1.0, "b": 0.0}, block=1)
+    order = [r.source for r in got.orderBy("mix_order").collect()]
+    assert order[:1] + order[2:101] == ["a"] * 100 or order[:100] == ["a"] * 100 and len(order) == 200
+    again = mixing.interleave(df.repartition(5), {"a": 1.0, "b": 0.0}, block=1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
 
 
 @settings(max_examples=40, deadline=None)
@@ -525,6 +594,13 @@ def test_op10_collisions_of_weights():
     assert abs(cws.likeness(sampler.sample(a), sampler.sample(b)) - want) < 0.05
 
 
+def test_op10_words_beyond_the_room_are_taken_in_slices():
+    words = Counter({f"w{i}".encode(): 1 + i % 4 for i in range(5000)})
+    small, large = cws.Sampler(64, room=300), cws.Sampler(64, room=10_000)
+    large.learn(words)
+    assert (small.sample(words) == large.sample(words)).all() and len(small.seeds) == 300
+
+
 # ---- pipeline
 
 

@@ -6,16 +6,19 @@ t = floor(ln w / r + b) its key is ln c - r (t - b + 1), and the term of the lea
 its t, is the sample. Two texts agree in a sample with the probability of the generalised Jaccard
 similarity of their weights. A fingerprint holds 16 bits of each sample in hexadecimal digits.
 
+A worker keeps the draws of at most ROOM words, whatever a text holds; a text's words and counts are held whole.
+
 Defined cases: a null or empty text, and one of white space alone, has the fingerprint of all
 zeros, alike (1) only to another such; equal texts have equal fingerprints; rows with
-equal ids follow each other by text; null ids come first; an empty table gives an empty result; a table
-of one row is its own next.
+equal ids follow each other by text; null ids come first; words whose keys tie give way to the first of the text; an empty table gives an empty result; a table
+of one row is its own next; ids are numbers, or texts that are, and columns play no part but those named.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -58,14 +61,14 @@ class Sampler:
         self.r, self.log_c, self.b, self.once = (np.empty((room, self.samples), np.float32) for _ in range(4))
 
     def learn(self, words) -> None:
-        """Makes draws for the words that have none."""
+        """Makes draws for the words that have none, of which there is room for."""
         new = [w for w in words if w not in self.at]
-        if len(self.at) + len(new) > len(self.seeds):
+        if len(self.at) + len(new) > self.room:
             self._keep_used()
             new = [w for w in words if w not in self.at]
-        if len(self.at) + len(new) > len(self.seeds):
-            new = list(words)
-            self._forget(max(self.room, len(new)))
+        if len(self.at) + len(new) > self.room:
+            self._forget(self.room)
+            new = list(islice(words, self.room))
         for i in range(0, len(new), 2000):
             part = new[i : i + 2000]
             a = len(self.at)
@@ -86,9 +89,21 @@ class Sampler:
         self.at = {names[i]: j for j, i in enumerate(keep.tolist())}
 
     def sample(self, counts: Counter) -> np.ndarray:
-        """16 bits of each sample; the words must have been learnt."""
+        """16 bits of each sample. Words are taken in slices of what there is room for, so memory doesn't follow the words of one text."""
         if not counts:
             return np.zeros(self.samples, np.uint16)
+        least, code = np.full(self.samples, np.inf, np.float32), np.zeros(self.samples, np.uint64)
+        each = iter(counts.items())
+        while part := dict(islice(each, self.room)):
+            if not part.keys() <= self.at.keys():
+                self.learn(part)
+            keys, codes = self._best(part)
+            better = keys < least
+            least, code = np.where(better, keys, least), np.where(better, codes, code)
+        return np.maximum(code >> np.uint64(48), np.uint64(1)).astype(np.uint16)
+
+    def _best(self, counts: dict) -> tuple[np.ndarray, np.ndarray]:
+        """The least key of each sample and the hash of its word and level; the words must have been learnt."""
         rows = np.fromiter(map(self.at.__getitem__, counts), np.int64, len(counts))
         self.uses[rows] += 1
         weights = np.fromiter(counts.values(), np.int64, len(counts))
@@ -107,8 +122,7 @@ class Sampler:
             of = place[best]
             several = of >= 0
             level[several] = t[of[several], np.flatnonzero(several)].astype(np.int64)
-        code = mix(self.seeds[rows[best]] ^ (level + 1).astype(np.uint64) * _MIX) >> np.uint64(48)
-        return np.maximum(code, np.uint64(1)).astype(np.uint16)
+        return keys[best, np.arange(self.samples)], mix(self.seeds[rows[best]] ^ (level + 1).astype(np.uint64) * _MIX)
 
 
 def count_words(text: str) -> Counter:
@@ -190,7 +204,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             held = chain[-1]
             changed = [edited(x[1], y[1]) for x, y in pairs]
             changed_counts = [count_words(x) for x in changed]
-            sampler.learn(list(dict.fromkeys(w for c in [*(x[3] for x in chain), *changed_counts] for w in c)))
+            sampler.learn(dict.fromkeys(w for c in [*(x[3] for x in chain), *changed_counts] for w in c))
             prints = {id(x): sampler.sample(x[3]) for x in chain}
             out = []
             for (x, y), text, c in zip(pairs, changed, changed_counts):

@@ -8,8 +8,8 @@ encoded anew, and the sums above their leaves are updated.
 Pre-tokens are encoded by the vocabulary file at ``path``, read on each machine. A pre-token's match
 depends on the text from its start to three characters behind its end, hence the context.
 
-Defined cases: a null or empty text has no tokens; repeated rows are counted each for itself; an
-empty table gives an empty result.
+Defined cases: a null or empty text has no tokens; repeated rows are counted each for itself; a long text is held whole, with two
+numbers a pre-token; an empty table gives an empty result; columns play no part but those named, and nothing is ranked, so there are no ties.
 """
 
 from __future__ import annotations
@@ -60,17 +60,13 @@ class TokenTree:
     """A text's pre-tokens in leaves under a tree of sums."""
 
     def __init__(self, text: str, count: Counter) -> None:
-        self.count = count
-        self.encoded = 0
-        self._build(text)
-
-    def _build(self, text: str) -> None:
-        self.text = text
-        pieces = self.count.cut.findall(text)
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        tokens = np.array(self.count(pieces), np.int64)
-        self.encoded += len(pieces)
-        n = max(1, -(-len(pieces) // LEAF))
+        self.count, self.text = count, text
+        pieces = count.cut.findall(text)
+        self._group(np.fromiter(map(len, pieces), np.int64, len(pieces)), np.array(count(pieces), np.int64))
+
+    def _group(self, lengths: np.ndarray, tokens: np.ndarray) -> None:
+        """Leaves and sums over pre-tokens that are counted."""
+        n = max(1, -(-len(lengths) // LEAF))
         self.leaves = [[lengths[i * LEAF : (i + 1) * LEAF], tokens[i * LEAF : (i + 1) * LEAF]] for i in range(n)]
         self.width = 1 << (n - 1).bit_length()
         self.chars, self.tokens = np.zeros(2 * self.width, np.int64), np.zeros(2 * self.width, np.int64)
@@ -114,10 +110,10 @@ class TokenTree:
         """Puts ``new`` for the code points ``start`` to ``end``; returns how many pre-tokens were encoded."""
         old_size, shift = len(self.text), len(new) - (end - start)
         self.text = self.text[:start] + new + self.text[end:]
-        if not old_size or max(len(a) for a, _ in self.leaves) > 8 * LEAF:
-            self.encoded = 0
-            self._build(self.text)
-            return self.encoded
+        if not old_size:
+            pieces = self.count.cut.findall(new)
+            self._group(np.fromiter(map(len, pieces), np.int64, len(pieces)), np.array(self.count(pieces), np.int64))
+            return len(pieces)
         first, begin = self._find(max(0, start - REACH))
         ends = begin + np.cumsum(self.leaves[first][0])
         keep = int(np.searchsorted(ends, start - REACH, side="right"))  # these end out of reach
@@ -146,6 +142,8 @@ class TokenTree:
         for leaf in range(first + 1, (last if rest is not None else len(self.leaves) - 1) + 1):
             self._set(leaf, none, none)
         self._set(first, np.concatenate([head[0], lengths, tail[0]]), np.concatenate([head[1], tokens, tail[1]]))
+        if len(self.leaves[first][0]) > 8 * LEAF:  # a leaf that has grown is split: pre-tokens are dealt to leaves again, none is encoded
+            self._group(*(np.concatenate([x[i] for x in self.leaves]) for i in (0, 1)))
         return len(pieces)
 
 

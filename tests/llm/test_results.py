@@ -492,6 +492,52 @@ def test_op8_blocks_and_tiles_lose_no_link(spark, count, tile):
     assert closed(signed, found) == closed(signed, want)
 
 
+def shingles(text, width=5):
+    w = words(text)
+    return frozenset(" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_near_texts_by_brute_force(spark, small, texts):
+    rng = random.Random(12)
+    given_ = dict(texts)
+    for d in rng.sample(sorted(d for d in texts if len(texts[d].split()) > 60), 40):  # edited copies
+        w = texts[d].split()
+        for i in range(0, len(w), rng.choice([60, 80, 150])):
+            w[i] = f"other{rng.randrange(99)}"
+        given_[len(given_) + 1000] = " ".join(w)
+    df = spark.createDataFrame(list(given_.items()), "doc_id long, text string").repartition(5)
+    group = {r.id: r.group for r in simhash.near_texts(df).collect()}
+    sets = {d: shingles(t) for d, t in given_.items()}
+    ids = sorted(sets)
+    pairs = {(a, b): alike(sets[a], sets[b]) for a in ids for b in ids if a < b and (group[a] == group[b] or 5 * len(sets[a] & sets[b]) > 3 * max(len(sets[a]), len(sets[b])))}
+    surely, maybe = closed(ids, [p for p, s in pairs.items() if s >= 0.85]), closed(ids, [p for p, s in pairs.items() if s >= 0.55])
+    close = [p for p, s in pairs.items() if s >= 0.8]
+    assert len(close) > 40 and sum(group[a] == group[b] for a, b in close) >= 0.97 * len(close)
+    assert all(group[a] == group[b] for a, b in pairs if surely[a] == surely[b])
+    assert all(maybe[a] == maybe[b] for a, b in pairs if group[a] == group[b])
+    kept = sorted(r.doc_id for r in simhash.keep_first(df).collect())
+    assert kept == sorted({g: min(d for d in ids if group[d] == g) for g in group.values()}.values())
+
+
+def test_near_texts_tiles_lose_no_link(spark):
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(500)}" for _ in range(300)]
+    rows = [(i, " ".join([*base[: i % 90], f"own{i}", *base[i % 90 + 1 :]])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len({r.group for r in simhash.near_texts(df, tile=16).collect()}) == 1
+
+
+def test_rows_of_one_id_are_judged_each_for_itself(spark):
+    long = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    rows = [(1, long("a")), (1, long("b")), (2, long("a")), (3, long("b")), (1, long("a")), (None, long("a"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text[:1]) for r in simhash.keep_first(df).collect()) == [(0, "a"), (1, "a"), (1, "b")]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
@@ -606,10 +652,13 @@ def test_op10_words_beyond_the_room_are_taken_in_slices():
 
 def test_pipeline(spark, small, texts):
     got = corpus_pipeline.run(spark, small).collect()
-    prints = {d: fingerprint(t) for d, t in texts.items() if any(c.isalpha() for c in t)}
-    groups = closed(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3])
+    groups: dict = {}
+    for r in simhash.near_texts(spark.read.parquet(f"{small}/documents.parquet")).collect():  # itself tested by brute force
+        if any(c.isalpha() for c in texts[r.id]):
+            groups.setdefault(r.group, []).append(r.id)
+    firsts = {min(x) for x in groups.values()}
     items = [s for s in (norm(r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()) if s]
-    want = {d for d in prints if groups[d] == d and not any(f" {s} " in f" {norm(texts[d])} " for s in items)}
+    want = {d for d in firsts if not any(f" {s} " in f" {norm(texts[d])} " for s in items)}
     assert {r.doc_id for r in got} == want
     assert all(r.text == texts[r.doc_id] or "<SECRET>" in r.text for r in got)
     assert len({r.mix_order for r in got}) == len(got)

@@ -9,9 +9,13 @@ Smith-Waterman over words, which scores copies that were edited or paraphrased t
 The items are taken in blocks of bounded size, each held by every worker; the texts are only ever
 scanned, never shuffled.
 
+An alignment scores 2 for a like word and -1 for an unlike, dropped or added one; SCORE is the least share of an item's own score that is reported. A share x of
+words replaced leaves 1 - 1.5 x: items with up to a third of their words replaced reach the limit of 0.5, beyond that they count as texts of their own.
+
 Defined cases: null and empty texts match nothing; an item without words matches nothing, one of fewer
 words than a seed is seeded by all its words at once; repeated items and repeated rows are reported each for
-itself; empty tables give an empty result.
+itself; a text shows each item once, at its best place, the first of equals; a long text is held whole, with some numbers a word; empty tables give an
+empty result; columns play no part but those named, whatever the others are called.
 """
 
 from __future__ import annotations
@@ -124,72 +128,102 @@ class Items:
         self.first = np.searchsorted(self.gram[kept], np.arange(len(self.grams) + 1))
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """Smith-Waterman of two word sequences: the best score, and from where to where it lies in ``b`` (end exclusive)."""
-    n = len(b)
-    steps = np.arange(n + 1, dtype=np.int64)
-    row = np.zeros(n + 1, np.int64)
-    begin = steps.copy()
-    best, where = 0, (0, 0)
+def align_many(a: np.ndarray, regions: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """Smith-Waterman of one word sequence with several, all at once: of each the best score, and from where to where it lies there (end exclusive)."""
+    count, n = len(regions), max(map(len, regions))
+    b, inside = np.zeros((count, n), np.uint64), np.zeros((count, n), bool)
+    for i, x in enumerate(regions):
+        b[i, : len(x)], inside[i, : len(x)] = x, True
+    steps = np.arange(n + 1, dtype=np.int32)
+    row = np.zeros((count, n + 1), np.int32)
+    begin = np.broadcast_to(steps, row.shape).copy()
+    best, low, high = (np.zeros(count, np.int32) for _ in range(3))
+    every = np.arange(count)
     for x in a:
-        cell = np.zeros(n + 1, np.int64)
-        source = steps.copy()
-        diagonal = row[:-1] + np.where(b == x, MATCH, MISMATCH)
-        above = row[1:] + GAP
-        cell[1:] = np.maximum(np.maximum(diagonal, above), 0)
-        source[1:] = np.where(cell[1:] == 0, steps[1:], np.where(diagonal >= above, begin[:-1], begin[1:]))
+        cell = np.zeros_like(row)
+        source = np.broadcast_to(steps, row.shape).copy()
+        diagonal = row[:, :-1] + np.where((b == x) & inside, np.int32(MATCH), np.int32(MISMATCH))
+        above = row[:, 1:] + np.int32(GAP)
+        cell[:, 1:] = np.maximum(np.maximum(diagonal, above), 0)
+        source[:, 1:] = np.where(cell[:, 1:] == 0, steps[1:], np.where(diagonal >= above, begin[:, :-1], begin[:, 1:]))
         # gaps along b: the best earlier cell less the steps from it
         lifted = cell - GAP * steps
-        top = np.maximum.accumulate(lifted)
+        top = np.maximum.accumulate(lifted, axis=1)
         new = top + GAP * steps
-        at = np.maximum.accumulate(np.where(lifted == top, steps, 0))
-        begin = np.where(new > cell, source[at], source)
+        at = np.maximum.accumulate(np.where(lifted == top, steps, 0), axis=1)
+        begin = np.where(new > cell, np.take_along_axis(source, at, 1), source)
         row = np.maximum(new, cell)
-        j = int(row.argmax())
-        if row[j] > best:
-            best, where = int(row[j]), (int(begin[j]), j)
-    return best, *where
+        j = row.argmax(axis=1).astype(np.int32)
+        score = row[every, j]
+        better = score > best
+        best, low, high = np.where(better, score, best), np.where(better, begin[every, j], low), np.where(better, j, high)
+    return list(zip(best.tolist(), low.tolist(), high.tolist()))
+
+
+def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Smith-Waterman of two word sequences: the best score, and from where to where it lies in ``b`` (end exclusive)."""
+    return align_many(a, [b])[0]
+
+
+#: Seeds met that are looked at at once, and cells of the alignments made at once.
+HITS, CELLS = 2_000_000, 1_000_000
+
+
+def _bands(items: Items, words: np.ndarray, of: np.ndarray, cuts: np.ndarray):
+    """(text, item, band, weight reached) of the bands of diagonals whose seeds reach enough."""
+    number, at = items.find(words, of)
+    many = items.first[number + 1] - items.first[number]
+    size = np.array([len(w) for w in items.words], np.int64)
+    met = []
+    # seeds that many items share give many hits: they are taken in slices, of which only distinct (text, item, band, n-gram) are kept
+    edges = np.searchsorted(np.cumsum(many), np.arange(0, int(many.sum()) + 1, HITS), side="left") if len(many) else []
+    for a, b in zip(edges, [*edges[1:], len(number)]):
+        own = many[a:b]
+        hit = np.repeat(np.arange(a, b), own)
+        if not len(hit):
+            continue
+        seed = items.first[number[hit]] + np.arange(len(hit)) - np.repeat(np.cumsum(own) - own, own)
+        item, doc = items.seed_item[seed], of[at[hit]]
+        band = np.floor_divide(at[hit] - cuts[doc] - items.seed_place[seed], np.maximum(16, size[item] // 2))
+        # bands overlap by half: a run of seeds that drifts by less than a band lies whole in one of two
+        part = np.stack([np.tile(doc, 2), np.tile(item, 2), np.concatenate([band, band - 1]), np.tile(number[hit], 2)])
+        part = part[:, np.lexsort(part[::-1])]
+        met.append(part[:, np.r_[True, (np.diff(part) != 0).any(axis=0)]])
+    if not met:
+        return []
+    whole = np.concatenate(met, axis=1) if len(met) > 1 else met[0]
+    if len(met) > 1:
+        whole = whole[:, np.lexsort(whole[::-1])]
+        whole = whole[:, np.r_[True, (np.diff(whole) != 0).any(axis=0)]]
+    doc, item, band, gram = whole
+    starts = np.flatnonzero(np.r_[True, (np.diff(whole[:3]) != 0).any(axis=0)])
+    reached = np.add.reduceat(items.weight[gram], starts)
+    good = reached >= REACHED * items.mass[item[starts]]
+    return list(zip(doc[starts][good].tolist(), item[starts][good].tolist(), band[starts][good].tolist(), reached[good].tolist()))
 
 
 def matches(items: Items, texts: list) -> list[tuple]:
-    """(text, item, score, first word, end word, weight reached): the best place of an item in a text, if good enough."""
+    """(text, item, score, first word, end word, weight reached): the best place of an item in a text, if good enough; of equally good ones the first."""
     words, of = words_of(texts)
-    number, at = items.find(words, of)
-    if not len(number):
+    if not len(words):
         return []
     cuts = np.searchsorted(of, np.arange(len(texts) + 1))
-    many = items.first[number + 1] - items.first[number]
-    hit = np.repeat(np.arange(len(number)), many)
-    if not len(hit):
-        return []
-    inner = np.arange(len(hit)) - np.repeat(np.cumsum(many) - many, many)
-    seed = items.first[number[hit]] + inner
-    item, gram, doc = items.seed_item[seed], number[hit], of[at[hit]]
-    size = np.array([len(w) for w in items.words])[item]
-    line = at[hit] - cuts[doc] - items.seed_place[seed]
-    wide = np.maximum(16, size // 2)
+    by_item: dict[int, list] = {}
+    for d, i, band, mass in _bands(items, words, of, cuts):
+        n = len(items.words[i])
+        w, length = max(16, n // 2), int(cuts[d + 1] - cuts[d])
+        low, high = max(0, band * w - n // 4 - 4), min(length, (band + 2) * w + n + n // 4 + 4)
+        by_item.setdefault(i, []).append((d, low, high, mass))
     out: dict[tuple, tuple] = {}
-    band = np.floor_divide(line, wide)
-    # bands overlap by half: a run of seeds that drifts by less than a band lies whole in one of two
-    doc2, item2, gram2, band2 = np.tile(doc, 2), np.tile(item, 2), np.tile(gram, 2), np.concatenate([band, band - 1])
-    order = np.lexsort((gram2, band2, item2, doc2))
-    doc2, item2, gram2, band2 = doc2[order], item2[order], gram2[order], band2[order]
-    new_group = np.r_[True, (np.diff(doc2) != 0) | (np.diff(item2) != 0) | (np.diff(band2) != 0)]
-    new_gram = new_group | np.r_[True, np.diff(gram2) != 0]
-    starts = np.flatnonzero(new_group)
-    reached = np.add.reduceat(np.where(new_gram, items.weight[gram2], 0.0), starts)
-    good = starts[reached >= REACHED * items.mass[item2[starts]]]
-    got = reached[reached >= REACHED * items.mass[item2[starts]]]
-    for g, mass in zip(good, got):
-        d, i, b = int(doc2[g]), int(item2[g]), int(band2[g])
+    for i, regions in by_item.items():
         own = items.words[i]
-        w = max(16, len(own) // 2)
-        text = words[cuts[d] : cuts[d + 1]]
-        low, high = max(0, b * w - len(own) // 4 - 4), min(len(text), (b + 2) * w + len(own) + len(own) // 4 + 4)
-        score, s, e = align(own, text[low:high])
-        share = score / (MATCH * len(own))
-        if share >= SCORE and share > out.get((d, i), (0,))[0]:
-            out[d, i] = (share, low + s, low + e, float(mass))
+        step = max(1, CELLS // max(h - a for _, a, h, _ in regions))
+        for k in range(0, len(regions), step):
+            some = regions[k : k + step]
+            for (d, low, _, mass), (score, s, e) in zip(some, align_many(own, [words[cuts[d] + a : cuts[d] + h] for d, a, h, _ in some])):
+                share = score / (MATCH * len(own))
+                if share >= SCORE and share > out.get((d, i), (0,))[0]:
+                    out[d, i] = (share, low + s, low + e, float(mass))
     return [(d, i, *x) for (d, i), x in sorted(out.items())]
 
 

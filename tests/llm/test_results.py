@@ -76,6 +76,29 @@ def test_alignment(a, b):
     assert decontam.align(np.array(a, int), np.array(b, int))[0] == h.max()
 
 
+def test_op1_many_items_that_share_a_phrase():
+    rng = random.Random(14)
+    phrase = "choose the best of these answers"
+    own = [phrase + " " + " ".join(f"w{rng.randrange(5000)}" for _ in range(12)) for _ in range(1000)]
+    items = decontam.Items(list(range(1000)), own)
+    items.weigh(100, np.ones(len(items.grams), np.int64))
+    text = " ".join([phrase] * 300 + own[7].split() + [phrase] * 20)
+    start = time.perf_counter()
+    found = decontam.matches(items, [text, phrase])
+    assert time.perf_counter() - start < 30
+    assert [(d, i) for d, i, s, *_ in found if s == 1] == [(0, 7)] and {d for d, *_ in found} == {0}
+
+
+def test_op1_slices_of_hits_change_nothing(texts, monkeypatch):
+    own = [" ".join(t.split()[:20]) for t in list(texts.values())[:60]]
+    items = decontam.Items(list(range(60)), own)
+    items.weigh(100, np.ones(len(items.grams), np.int64))
+    whole = decontam.matches(items, list(texts.values()))
+    monkeypatch.setattr(decontam, "HITS", 50)
+    monkeypatch.setattr(decontam, "CELLS", 500)
+    assert decontam.matches(items, list(texts.values())) == whole and whole
+
+
 # ---- op2
 
 

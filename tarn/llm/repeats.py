@@ -5,10 +5,15 @@ depends on the string alone. Neighbouring starts with one anchor form a zone. Eq
 anchors, so only zones whose anchor hash occurs twice can hold repeats, and all their bytes are
 sorted together: distinct zones, copies counted, are dealt to shards by anchor, and each shard's suffixes
 are sorted by induction (see ``suffix``). A start is repeated if its zone has copies or if it shares 200 bytes
-with a neighbour in suffix order. Zones of one anchor that have very many variants stay one shard's, whose queues go to disk.
+with a neighbour in suffix order.
+
+An anchor whose variants hold more than HOT bytes, such as a passage of very many texts, isn't sorted in one task: its zones are cut
+where the anchor's place in the string passes a multiple of 20, and dealt anew by the bytes that all strings of such a piece share; what
+is still hot then, string by string. Equal strings meet whichever way, so this is exact, and no task has more than a shard.
 
 Defined cases: a null or empty text has no bytes; strings overlap freely and never cross texts; repeated
-rows repeat each other's strings; an empty table gives an empty result.
+rows repeat each other's strings; a long text is held whole, its hashes by pieces; of zones, which tie when they are equal, one is sorted for
+all; an empty table gives an empty result; columns play no part but those named, whatever the others are called.
 """
 
 from __future__ import annotations
@@ -29,6 +34,9 @@ LENGTH = 200
 ANCHOR = 48
 #: Bytes of zones in a shard, about.
 SHARD = 4_000_000
+#: Bytes of zones of one anchor beyond which they are cut, and the widths of the cuts.
+HOT = 250_000
+WIDTHS = (20, 1)
 #: Bytes of a long text that are hashed at once.
 _PIECE = 2_000_000
 
@@ -160,7 +168,62 @@ def _sorted(batches, shard: int = SHARD):
         yield done(keys, counts, bodies, starts)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def _cut(batches, width: int, length: int = LENGTH, anchor: int = ANCHOR):
+    """(fp, anchor, o1, o2, a, n, h1, h2, body): pieces of zones (anchor, fp, h1, h2, body), cut by the place of the anchor in the string; fp: what the strings of a piece share."""
+    for batch in batches:
+        out = []
+        for mark, fp, o1, o2, body in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            data = np.frombuffer(body, np.uint8)
+            up, down = _powers.to(len(data) + 1)
+            total = prefix_hash(data, up)
+            h = mix((total[anchor:] - total[: len(data) - anchor + 1]) * down[: len(data) - anchor + 1])
+            place = int(np.flatnonzero(h == np.array(mark, np.int64).view(np.uint64))[0])  # the first is the anchor of every start
+            starts = len(data) - length + 1
+            block = (place - np.arange(starts)) // width
+            edges = np.flatnonzero(np.diff(block, prepend=block[0] - 1, append=block[-1] + 1 if starts else 0))
+            for a, b in zip(edges.tolist(), edges[1:].tolist()):
+                part = body[a : b - 1 + length]
+                # all strings of the block, whether this piece has them or not, hold these bytes around the anchor
+                low = place - (int(block[a]) * width)
+                common = body[max(low, 0) : min(low - width + 1 + length, len(body))] if width > 1 else part
+                key = xxhash.xxh3_64_intdigest(common, (fp ^ int(block[a])) & (2**64 - 1))
+                h1, h2 = unpack("<qq", xxhash.xxh3_128_digest(part))
+                out.append((key - (1 << 64) if key >> 63 else key, mark, o1, o2, a, b - a, h1, h2, part))
+        if out:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names="fp anchor o1 o2 a n h1 h2 body".split())
+
+
+def repeated_runs(zones_: DataFrame, hot: int = HOT, shard: int = SHARD, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """(h1, h2, spans): the runs of repeated starts of each distinct zone; ``zones_``: (anchor, fp, h1, h2, n, body), a row for each place, body null where another row of the zone has it."""
+    spark = zones_.sparkSession
+    key = ["anchor", "fp", "h1", "h2"]
+    sizes = zones_.groupBy(*key).agg((F.first("n") + LENGTH).alias("bytes")).groupBy("fp").agg(F.sum("bytes").alias("bytes"))
+    sizes = written(sizes, "sizes")
+    busy = sizes.filter(F.col("bytes") > hot).select("fp")
+    split = bool(widths) and not busy.isEmpty()
+    distinct = lambda df: df.groupBy(*key).agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("body", ignorenulls=True).alias("body"))
+    # shards by hash of anchors, of bounded bytes each
+    total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // shard)
+    calm = zones_.join(busy, "fp", "left_anti") if split else zones_
+    dealt = distinct(calm).repartition(parts, "fp").sortWithinPartitions("fp")
+    runs = dealt.select("fp", "h1", "h2", "copies", "n", "body").mapInArrow(_sorted, "h1 bigint, h2 bigint, spans array<int>")
+    if not split:
+        return runs
+    own = written(distinct(zones_.join(busy, "fp")), "hot")
+    fields = "fp bigint, anchor bigint, o1 bigint, o2 bigint, a int, n int, h1 bigint, h2 bigint, body binary"
+    width = widths[0]
+    cut = written(own.select("anchor", "fp", "h1", "h2", "body").mapInArrow(lambda b: _cut(b, width), fields), "pieces")
+    twice = written(cut.groupBy("fp").count().filter("count > 1").select("fp"), "twice")
+    inner = written(repeated_runs(cut.join(twice, "fp", "left_semi").select("anchor", "fp", "h1", "h2", "n", "body"), hot, shard, widths[1:]), "inner")
+    moved = cut.select("o1", "o2", "a", "h1", "h2").join(inner, ["h1", "h2"]).select(F.col("o1").alias("h1"), F.col("o2").alias("h2"), F.transform("spans", lambda x: x + F.col("a")).alias("spans"))
+    single = own.filter("copies = 1").select("h1", "h2").join(moved, ["h1", "h2"]).groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    several = own.filter("copies > 1").select("h1", "h2", F.array(F.lit(0), F.col("n")).alias("spans"))
+    return runs.unionByName(single).unionByName(several)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs``.
 
     The texts are read more than once under one numbering: what isn't a plain reading of files is written first.
@@ -173,13 +236,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_row = every.join(twice, "fp", "left_semi").groupBy("row").agg(F.collect_list(F.struct("s0", "s1", "fp")).alias("zones"))
     some = written(picked.select("row", "text").join(by_row, "row"), "texts")
     found = written(some.mapInArrow(_windows, "row bigint, s0 int, n int, fp bigint, h1 bigint, h2 bigint, body binary"), "windows")
-    distinct = found.groupBy("fp", "h1", "h2").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("body", ignorenulls=True).alias("body"))
-    # shards by ranges of anchors, of bounded bytes each
-    size = found.filter("body is not null").agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD)
-    dealt = distinct.repartition(parts, "fp").sortWithinPartitions("fp")
-    runs = written(dealt.select("fp", "h1", "h2", "copies", "n", "body").mapInArrow(_sorted, "h1 bigint, h2 bigint, spans array<int>"), "runs")
+    runs = written(repeated_runs(found.select(F.col("fp").alias("anchor"), "fp", "h1", "h2", "n", "body"), hot), "runs")
     cuts = (
         found.select("row", "s0", "h1", "h2")
         .join(runs, ["h1", "h2"])

@@ -232,6 +232,40 @@ def test_op3_on_periods_and_copies(spark):
         assert got[i] == (int(g.sum()), int(np.count_nonzero(np.diff(g.astype(np.int8), prepend=0) == 1)))
 
 
+@pytest.mark.parametrize("hot", [500, 3000, 20_000])
+def test_op3_hot_anchors_are_split_exactly(spark, hot):
+    rng = random.Random(15)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = own(260)
+    shorter = own(190)
+    tails = [own(30) for _ in range(3)]
+    given_ = [own(150) + shared + rng.choice(tails)[: rng.randrange(31)] + own(150) for _ in range(60)]
+    given_ += [own(100) + shorter + rng.choice(tails) + own(100) for _ in range(60)]
+    given_ += [given_[3], given_[70][40:], "z" * 700, "z" * 300, "ab" * 400]
+    df = spark.createDataFrame(list(enumerate(given_)), "doc_id long, text string").repartition(3)
+    got = {r.id: (r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df, hot=hot).collect()}
+    for i, g in enumerate(repeated([t.encode() for t in given_], 200)):
+        kept = np.frombuffer(given_[i].encode(), np.uint8)[~g].tobytes()
+        assert got[i] == (int(g.sum()), int(np.count_nonzero(np.diff(g.astype(np.int8), prepend=0) == 1)), hashlib.sha256(kept).hexdigest())
+
+
+def test_op3_spills_and_recurses_through_the_operator(spark, monkeypatch):
+    spilt = []
+    plain = suffix.Queue._spill
+    monkeypatch.setattr(suffix.Queue, "_spill", lambda self: (spilt.append(1), plain(self)))
+    rng = random.Random(16)
+    zones_ = ["".join(rng.choice("ab") for _ in range(250)).encode() for _ in range(8)]
+    zones_ += [zones_[0][20:] + b"x", b"y" + zones_[1][:230]]
+    masks = repeats.repeated_starts(zones_, [len(z) - 199 for z in zones_], room=50)
+    assert spilt
+    for mask, gone in zip(masks, repeated(zones_, 200)):
+        edge = np.zeros(len(gone) + 1, int)
+        for i in np.flatnonzero(mask):
+            edge[i] += 1
+            edge[i + 200] -= 1
+        assert ((np.cumsum(edge[:-1]) > 0) == gone).all()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 4), max_size=80), st.sampled_from([3, 10, 1 << 20]))
 def test_suffix_array(values, room):

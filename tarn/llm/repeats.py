@@ -203,15 +203,17 @@ def repeated_runs(zones_: DataFrame, hot: int = HOT, shard: int = SHARD, widths:
     busy = sizes.filter(F.col("bytes") > hot).select("fp")
     split = bool(widths) and not busy.isEmpty()
     distinct = lambda df: df.groupBy(*key).agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("body", ignorenulls=True).alias("body"))
+    # added up before they are split: the rows of a hot zone's copies never meet in a join
+    whole = written(distinct(zones_), "distinct") if split else distinct(zones_)
     # shards by hash of anchors, of bounded bytes each
     total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // shard)
-    calm = zones_.join(busy, "fp", "left_anti") if split else zones_
-    dealt = distinct(calm).repartition(parts, "fp").sortWithinPartitions("fp")
+    calm = whole.join(busy, "fp", "left_anti") if split else whole
+    dealt = calm.repartition(parts, "fp").sortWithinPartitions("fp")
     runs = dealt.select("fp", "h1", "h2", "copies", "n", "body").mapInArrow(_sorted, "h1 bigint, h2 bigint, spans array<int>")
     if not split:
         return runs
-    own = written(distinct(zones_.join(busy, "fp")), "hot")
+    own = written(whole.join(busy, "fp", "left_semi"), "hot")
     fields = "fp bigint, anchor bigint, o1 bigint, o2 bigint, a int, n int, h1 bigint, h2 bigint, body binary"
     width = widths[0]
     cut = written(own.select("anchor", "fp", "h1", "h2", "body").mapInArrow(lambda b: _cut(b, width), fields), "pieces")

@@ -20,6 +20,7 @@ from ..operators import ann, bm25, knn, ml
 from ..operators import relational as R
 from ..session import TABLES, register, table
 from ..sources import snapshots
+from ..sources.shared import shared_dir
 from ..streaming import windows as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,7 +254,9 @@ def vec_avg_by_label(spark, sf_dir):
     return V.average(table(spark, sf_dir, "embeddings"), "label", "embedding").select("label", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
 
 
-sql("vec_cmp_sort", "SELECT vec_id, CAST(row_number() OVER (ORDER BY embedding, vec_id) AS INT) AS place FROM embeddings")
+@query("SELECT vec_id, row_number() OVER (ORDER BY embedding, vec_id) AS place FROM embeddings")
+def vec_cmp_sort(spark, sf_dir):
+    return R.places(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "place", ["embedding", "vec_id"]).select("vec_id", "place")
 
 
 @query("SELECT vec_id, CAST(len(embedding) AS INT) AS dims FROM embeddings")
@@ -451,11 +454,6 @@ def agg_hll(spark, sf_dir):
     return d.agg(F.hll_sketch_estimate(F.hll_union_agg("h")).alias("n"))
 
 
-@query()
-def agg_checksum(spark, sf_dir):
-    return R.checksum(table(spark, sf_dir, "customer"), "c_custkey", "c_name")
-
-
 # ---------------------------------------------------------------- windows
 
 _W = "(PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)"
@@ -513,11 +511,11 @@ def connect_by_tree(spark, sf_dir):
 
 @query(
     f"""WITH RECURSIVE t AS (SELECT * FROM {_TREE}), w AS (SELECT id, 1 AS level, [id] AS path FROM t WHERE up IS NULL UNION ALL
-    SELECT t.id, w.level + 1, list_append(w.path, t.id) FROM t JOIN w ON t.up = w.id WHERE w.level < 3) SELECT id, CAST(row_number() OVER (ORDER BY path) AS INT) AS place FROM w"""
+    SELECT t.id, w.level + 1, list_append(w.path, t.id) FROM t JOIN w ON t.up = w.id) SELECT id, row_number() OVER (ORDER BY path) AS place FROM w"""
 )
 def connect_by_siblings(spark, sf_dir):
-    out = R.connect_by(_tree(spark, sf_dir), "id", "up", F.col("up").isNull(), siblings="id", most_levels=3)
-    return out.select("id", F.row_number().over(Window.orderBy("sibling_path")).alias("place"))
+    out = R.connect_by(_tree(spark, sf_dir), "id", "up", F.col("up").isNull(), siblings="id")
+    return R.places(out.select("id", "sibling_path"), "place", ["sibling_path"]).select("id", "place")
 
 
 _SRC = "(SELECT c_custkey, c_name || '+' AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT c_custkey + 1000000, c_name, c_acctbal FROM customer WHERE c_custkey % 11 = 0)"
@@ -650,14 +648,9 @@ def stream_ttl(spark, sf_dir):
     return S.retained(S.run_once(S.windowed(S.stream(spark, sf_dir), "1 hour")), "2 days")
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that all machines share; a local one only where none is named (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", "/tmp/tarn-checkpoints").rstrip("/")
-
-
 @query("SELECT event_id, user_id, value FROM events WHERE event_type = 'click'")
 def stream_incremental_mv(spark, sf_dir):
-    root = f"{_shared(spark)}/mv-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/mv-{uuid.uuid4().hex}"
     pick = lambda df: df.filter("event_type = 'click'").select("event_id", "user_id", "value")
     return S.append_refresh(S.stream(spark, sf_dir), f"{root}/table", f"{root}/progress", pick)
 
@@ -725,21 +718,56 @@ sql(
 sql(
     "tpch_q3",
     f"""SELECT l_orderkey, round(sum({_REV}), 2) AS revenue, CAST(o_orderdate AS DATE) AS o_orderdate FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey
-    GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""",
+    AND o_orderdate < DATE '1998-03-15' AND l_shipdate > DATE '1998-03-15' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""",
 )
-sql("tpch_q4", "SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate) GROUP BY o_orderpriority")
+sql("tpch_q4", "SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE o_orderdate >= DATE '1996-07-01' AND o_orderdate < DATE '1996-10-01' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate) GROUP BY o_orderpriority")
 sql(
     "tpch_q5",
     f"""SELECT n_name, round(sum({_REV}), 2) AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey
-    AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey GROUP BY n_name""",
+    AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA' AND o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1998-01-01' GROUP BY n_name""",
+)
+sql("tpch_q6", "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
+sql(
+    "tpch_q7",
+    f"""SELECT s.n_name AS supp_nation, c.n_name AS cust_nation, CAST(year(l_shipdate) AS INT) AS l_year, round(sum({_REV}), 2) AS revenue FROM supplier, lineitem, orders, customer, nation s, nation c WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey
+    AND c_custkey = o_custkey AND s_nationkey = s.n_nationkey AND c_nationkey = c.n_nationkey AND s.n_regionkey <> c.n_regionkey AND l_shipdate BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' GROUP BY 1, 2, 3""",
+)
+sql(
+    "tpch_q8",
+    f"""SELECT CAST(year(o_orderdate) AS INT) AS o_year, round(sum(CASE WHEN s.n_regionkey = 1 THEN {_REV} ELSE 0 END) / sum({_REV}), 6) AS mkt_share FROM part, supplier, lineitem, orders, customer, nation c, nation s, region WHERE p_partkey = l_partkey
+    AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = c.n_nationkey AND c.n_regionkey = r_regionkey AND r_name = 'AMERICA' AND s_nationkey = s.n_nationkey AND p_type = 'ECONOMY' GROUP BY 1""",
+)
+sql(
+    "tpch_q9",
+    f"""SELECT n_name, CAST(year(o_orderdate) AS INT) AS o_year, round(sum({_REV} - 0.6 * p_retailprice * l_quantity), 2) AS profit FROM part, supplier, lineitem, orders, nation WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey
+    AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%red%' GROUP BY 1, 2""",
+)
+sql("tpch_q12", "SELECT l_linestatus, sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS high, sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS low FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1998-01-01' GROUP BY l_linestatus", "SELECT l_linestatus, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS low FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1998-01-01' GROUP BY l_linestatus")
+sql("tpch_q13", "SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority <> '5-LOW' GROUP BY c_custkey) t GROUP BY c_count")
+sql(
+    "tpch_q15",
+    f"""WITH revenue AS (SELECT l_suppkey AS supplier_no, round(sum({_REV}), 2) AS total FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1996-04-01' GROUP BY l_suppkey)
+    SELECT s_suppkey, s_name, total FROM supplier, revenue WHERE s_suppkey = supplier_no AND total = (SELECT max(total) FROM revenue)""",
+)
+sql("tpch_q16", "SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS supplier_cnt FROM lineitem, part WHERE p_partkey = l_partkey AND p_brand <> 'Brand#5' AND p_type NOT LIKE 'MEDIUM%' AND p_size IN (9, 14, 19, 23, 36, 45, 49, 3) AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size")
+sql("tpch_q17", "SELECT round(sum(l_extendedprice) / 7.0, 2) AS avg_yearly FROM lineitem, part WHERE p_partkey = l_partkey AND p_brand IN ('Brand#2', 'Brand#3') AND l_quantity < (SELECT 0.5 * avg(l_quantity) FROM lineitem WHERE l_partkey = p_partkey)")
+sql(
+    "tpch_q19",
+    f"""SELECT round(sum({_REV}), 2) AS revenue FROM lineitem, part WHERE p_partkey = l_partkey AND ((p_type = 'SMALL' AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 15)
+    OR (p_type = 'MEDIUM' AND l_quantity BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 25) OR (p_type = 'LARGE' AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 35))""",
+)
+sql(
+    "tpch_q21",
+    """SELECT s_name, count(*) AS numwait FROM supplier, lineitem l1, orders, nation WHERE s_suppkey = l1.l_suppkey AND o_orderkey = l1.l_orderkey AND o_orderstatus = 'F' AND l1.l_shipdate > o_orderdate AND s_nationkey = n_nationkey AND n_regionkey = 2
+    AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey)
+    AND NOT EXISTS (SELECT 1 FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_shipdate > l1.l_shipdate) GROUP BY s_name""",
 )
-sql("tpch_q6", "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
 sql(
     "tpch_q10",
-    f"""SELECT c_custkey, c_name, round(sum({_REV}), 2) AS revenue, c_acctbal, n_name FROM customer, orders, lineitem, nation WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_returnflag = 'R' AND c_nationkey = n_nationkey
+    f"""SELECT c_custkey, c_name, round(sum({_REV}), 2) AS revenue, c_acctbal, n_name FROM customer, orders, lineitem, nation WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_returnflag = 'R' AND c_nationkey = n_nationkey AND o_orderdate >= DATE '1996-10-01' AND o_orderdate < DATE '1997-01-01'
     GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
 )
-sql("tpch_q14", f"SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN {_REV} ELSE 0 END) / sum({_REV}), 6) AS promo_revenue FROM lineitem, part WHERE l_partkey = p_partkey")
+sql("tpch_q14", f"SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN {_REV} ELSE 0 END) / sum({_REV}), 6) AS promo_revenue FROM lineitem, part WHERE l_partkey = p_partkey AND l_shipdate >= DATE '1996-09-01' AND l_shipdate < DATE '1996-10-01'")
 sql(
     "tpch_q18",
     """SELECT c_custkey, o_orderkey, o_totalprice, round(sum(l_quantity), 2) AS q FROM customer, orders, lineitem WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200)
@@ -850,7 +878,14 @@ sql(
     CASE WHEN c_nationkey <> 3 THEN 'x' ELSE 'y' END AS c FROM customer""",
 )
 sql("expr_empty_is_null", "SELECT n_nationkey, nullif(replace(n_name, n_name, ''), '') IS NULL AS a, coalesce(nullif('', ''), n_name) AS b FROM nation")
-sql("rownum", "SELECT o_orderkey, CAST(n AS INT) AS n FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 25")
+
+
+@query("SELECT o_orderkey, n FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 25")
+def rownum(spark, sf_dir):
+    first = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
+    return R.places(first, "n", [F.desc("o_totalprice"), "o_orderkey"]).select("o_orderkey", "n")
+
+
 sql("cte_materialized", "WITH t AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) SELECT a.c_nationkey AS x, b.c_nationkey AS y FROM t a JOIN t b ON a.n = b.n AND a.c_nationkey < b.c_nationkey")
 sql(
     "agg_json_object",
@@ -1045,7 +1080,7 @@ def stream_statistics(spark, sf_dir):
 
 @query("SELECT '1.0' AS version, count(*) AS n, true AS published FROM customer UNION ALL SELECT '1.1', count(*), false FROM customer WHERE c_acctbal > 0")
 def snapshot_versions(spark, sf_dir):
-    root = f"{_shared(spark)}/snapshots-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "customer")
     snapshots.create(rows, root, "1.0")
     snapshots.create(rows.filter("c_acctbal > 0"), root, "1.1")
@@ -1055,3 +1090,6 @@ def snapshot_versions(spark, sf_dir):
     told = snapshots.versions(spark, root)
     counts = [snapshots.read(spark, root, v).agg(F.lit(v).alias("version"), F.count("*").alias("n"), F.lit(done).alias("published")) for v, done in told]
     return functools.reduce(DataFrame.unionByName, counts)
+
+
+from . import further  # noqa: E402,F401  registers the rest

@@ -37,6 +37,8 @@ SHARD = 4_000_000
 #: Bytes of zones of one anchor beyond which they are cut, and the widths of the cuts.
 HOT = 250_000
 WIDTHS = (20, 1)
+#: Hot anchors that are sent to all tasks, at most (8 bytes each).
+BUSY_MOST = 500_000
 #: Bytes of a long text that are hashed at once.
 _PIECE = 2_000_000
 
@@ -201,19 +203,21 @@ def repeated_runs(zones_: DataFrame, hot: int = HOT, shard: int = SHARD, widths:
     sizes = zones_.groupBy(*key).agg((F.first("n") + LENGTH).alias("bytes")).groupBy("fp").agg(F.sum("bytes").alias("bytes"))
     sizes = written(sizes, "sizes")
     busy = sizes.filter(F.col("bytes") > hot).select("fp")
-    split = bool(widths) and not busy.isEmpty()
+    count = busy.count() if widths else 0
+    split = count > 0
     distinct = lambda df: df.groupBy(*key).agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("body", ignorenulls=True).alias("body"))
-    # added up before they are split: the rows of a hot zone's copies never meet in a join
-    whole = written(distinct(zones_), "distinct") if split else distinct(zones_)
+    # few hot anchors are known to all tasks; else the zones are added up before the join, so that copies of a hot one never meet in it
+    few = count <= BUSY_MOST
+    pick = lambda how: distinct(zones_.join(F.broadcast(busy), "fp", how)) if few else distinct(zones_).join(busy, "fp", how)
     # shards by hash of anchors, of bounded bytes each
     total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // shard)
-    calm = whole.join(busy, "fp", "left_anti") if split else whole
+    calm = pick("left_anti") if split else distinct(zones_)
     dealt = calm.repartition(parts, "fp").sortWithinPartitions("fp")
     runs = dealt.select("fp", "h1", "h2", "copies", "n", "body").mapInArrow(_sorted, "h1 bigint, h2 bigint, spans array<int>")
     if not split:
         return runs
-    own = written(whole.join(busy, "fp", "left_semi"), "hot")
+    own = written(pick("left_semi"), "hot")
     fields = "fp bigint, anchor bigint, o1 bigint, o2 bigint, a int, n int, h1 bigint, h2 bigint, body binary"
     width = widths[0]
     cut = written(own.select("anchor", "fp", "h1", "h2", "body").mapInArrow(lambda b: _cut(b, width), fields), "pieces")

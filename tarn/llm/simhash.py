@@ -265,10 +265,12 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # texts of the same shingles are one class, by its least row; only classes are compared
     same = ["n", "whole", "print"]
     classes = written(prints.groupBy(*same).agg(F.min("row").alias("class"), F.first("blocks").alias("blocks")), "classes")
-    keyed = classes.select("class", "n", "print", F.explode("blocks").alias("k"))
+    # blocks travel alone; only those of several classes are given their prints. Sorted joins at every size: the blocks grow with the texts
+    keyed = classes.select("class", F.explode("blocks").alias("k"))
     many = written(keyed.groupBy("k").count().filter("count > 1"), "blocks")
+    shared = keyed.join(many.hint("merge"), "k")
     dealt = (
-        keyed.join(many, "k")
+        shared.join(classes.select("class", "n", "print").hint("merge"), "class")
         .withColumn("tiles", F.ceil(F.col("count") / tile).cast("int"))
         .withColumn("i", F.pmod(F.xxhash64("class", F.lit(7)), F.col("tiles")).cast("int"))
         .withColumn("t", F.explode(F.expr("transform(sequence(0, tiles - 1), j -> if(j < i, struct(j AS x, i AS y), struct(i AS x, j AS y)))")))

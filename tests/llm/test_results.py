@@ -580,6 +580,16 @@ def test_near_texts_by_brute_force(spark, small, texts):
     assert kept == sorted({g: min(d for d in ids if group[d] == g) for g in group.values()}.values())
 
 
+def test_keep_rows_sent_or_sorted(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "'text ' || id AS word").repartition(7).write.parquet(str(tmp_path / "t"))
+    source = spark.read.parquet(str(tmp_path / "t"))
+    picked = simhash.numbered(source).filter("kept.id % 3 = 1").select("row")
+    expected = [(i, f"text {i}") for i in range(1, 1000, 3)]
+    for most in (simhash.WORDS_HELD, 0):
+        assert sorted(tuple(r) for r in simhash.keep_rows(source, picked, most).collect()) == expected
+    assert simhash.keep_rows(source, picked.limit(0)).count() == 0
+
+
 def test_near_texts_tiles_lose_no_link(spark):
     rng = random.Random(13)
     base = [f"w{rng.randrange(500)}" for _ in range(300)]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import ann, bm25, knn, ml
 from ..operators import relational as R
+from ..operators.crossmodal import CrossModal
 from ..session import TABLES, register, table
 from ..sources import snapshots
 from ..sources.shared import shared_dir
@@ -175,17 +176,39 @@ def _turned(df: DataFrame, id_name: str, rule: str) -> DataFrame:
     return df.filter(rule).select(F.col("vec_id").alias(id_name), F.zip_with(v, F.concat(F.slice(v, 2, F.size(v) - 1), F.slice(v, 1, 1)), lambda x, y: x + 0.5 * y).alias("embedding"))
 
 
+def _crossmodal(spark, sf_dir, rule):
+    base = table(spark, sf_dir, "embeddings")
+    return CrossModal.build(base, _turned(base, "query_id", rule), f"{shared_dir(spark)}/crossmodal-{uuid.uuid4().hex}"), _turned(base, "query_id", "vec_id % 100 = 0")
+
+
 @query()
 def crossmodal_search(spark, sf_dir):
-    base = table(spark, sf_dir, "embeddings")
-    return ann.crossmodal_search(base, _turned(base, "query_id", "vec_id % 2 = 1"), _turned(base, "query_id", "vec_id % 100 = 0"), 10)
+    index, asked = _crossmodal(spark, sf_dir, "vec_id % 2 = 1")
+    return index.search(asked, 10).drop("visited")
 
 
 @query()
 def graph_repair(spark, sf_dir):
-    base = table(spark, sf_dir, "embeddings")
-    asked = _turned(base, "query_id", "vec_id % 100 = 0")
-    return ann.crossmodal_search(base, _turned(base, "query_id", "vec_id % 4 = 1"), asked, 10, repairs=asked)
+    index, asked = _crossmodal(spark, sf_dir, "vec_id % 4 = 1")
+    index.repair(asked)
+    return index.search(asked, 10).drop("visited")
+
+
+@query()
+def graph_repair_from_truth(spark, sf_dir):
+    """Links from the exact answers of the queries, as a file of such answers holds them."""
+    index, asked = _crossmodal(spark, sf_dir, "vec_id % 4 = 1")
+    truth = knn.nearest_batch(table(spark, sf_dir, "embeddings"), asked, 100)
+    ids = truth.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))), lambda r: r.vec_id).alias("neighbours"))
+    index.repair_from_truth(ids, 50)
+    return index.search(asked, 10).drop("visited")
+
+
+@query()
+def crossmodal_links(spark, sf_dir):
+    """Points, links and degrees of the stored graph, by cluster."""
+    index, _ = _crossmodal(spark, sf_dir, "vec_id % 2 = 1")
+    return index.links().groupBy("cluster").agg(F.countDistinct("src").alias("points"), F.count("*").alias("links"))
 
 
 @query()

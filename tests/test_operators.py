@@ -7,8 +7,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarn.functions import vectors as V
-from tarn.operators import ann, bm25, knn, ml
+from tarn.operators import ann, bm25, crossmodal, knn, ml
 from tarn.operators import relational as R
+from tarn.operators.crossmodal import CrossModal
 from tarn.session import table
 from tarn.sources import files, snapshots
 from tarn.streaming import windows
@@ -37,15 +38,42 @@ def test_recall(asked, search, least):
     assert knn.recall(search(base, queries), truth).first().recall >= least
 
 
-def test_crossmodal_recall_and_repair(spark, small):
+def test_crossmodal_recall_and_repair(spark, small, tmp_path):
     base = table(spark, small, "embeddings")
     v = V.doubles("embedding")
     turned = lambda rule: base.filter(rule).select(F.col("vec_id").alias("query_id"), F.zip_with(v, F.reverse(v), lambda x, y: x + 0.5 * y).alias("embedding"))
     queries = turned("vec_id % 20 = 0")
     truth = knn.nearest_batch(base, queries, 10)
-    plain = knn.recall(ann.crossmodal_search(base, turned("vec_id % 2 = 1"), queries, ef=200), truth).first().recall
-    repaired = knn.recall(ann.crossmodal_search(base, turned("vec_id % 2 = 1"), queries, ef=200, repairs=queries), truth).first().recall
-    assert plain >= 0.8 and repaired >= max(0.95, plain)
+    index = CrossModal.build(base, turned("vec_id % 2 = 1"), str(tmp_path / "a"))
+    plain = knn.recall(index.search(queries, ef=200), truth).first().recall
+    index.repair(queries)
+    repaired = knn.recall(index.search(queries, ef=200), truth).first().recall
+    assert plain >= 0.9 and repaired >= max(0.95, plain)
+    told = CrossModal.build(base, turned("vec_id % 2 = 1"), str(tmp_path / "b"), rows=40)
+    known = truth.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))), lambda r: r.vec_id).alias("neighbours"))
+    told.repair_from_truth(known.unionByName(spark.createDataFrame([(-1, [-5, -6]), (-2, [])], "query_id long, neighbours array<long>")))
+    assert knn.recall(told.search(queries, ef=200), truth).first().recall >= 0.95
+
+
+def test_crossmodal_takes_every_query(spark, small, tmp_path, monkeypatch):
+    """The sample bounds what centres are fitted on, not the queries that are taken."""
+    monkeypatch.setattr(crossmodal, "SAMPLE", 8)
+    base = table(spark, small, "embeddings")
+    queries = base.select(F.col("vec_id").alias("query_id"), "embedding").unionByName(spark.createDataFrame([(-1, None), (-2, [1.0])], "query_id long, embedding array<float>"))
+    index = CrossModal.build(base, queries.filter("query_id % 10 = 0"), str(tmp_path / "a"), clusters=4, near=2)
+    before = index.links().select("src").distinct().count()
+    index.repair(queries, 2)
+    assert before < base.count() and index.links().select("src").distinct().count() == base.count()
+
+
+def test_crossmodal_ids_and_empty_tables(spark, tmp_path):
+    base = spark.createDataFrame([("a", [0.0, 1.0]), ("b", [1.0, 0.0]), ("c", None)], "vec_id string, embedding array<double>")
+    asked = spark.createDataFrame([("x", [0.0, 0.9])], "query_id string, embedding array<double>")
+    index = CrossModal.build(base, asked, str(tmp_path / "a"))
+    assert [r.vec_id for r in index.search(asked, 5).orderBy("rank").collect()] == ["a", "b"]
+    empty = CrossModal.build(base.filter("false"), asked, str(tmp_path / "b"))
+    empty.repair(asked)
+    assert empty.search(asked, 5).count() == 0 and index.search(asked.filter("false"), 5).count() == 0
 
 
 def test_pq_few_rows_are_searched_exactly(asked):

@@ -3,7 +3,7 @@
 Training queries are clustered; the base rows nearest to a query are linked through the nearest of them, under the tag of the
 query's cluster; each cluster has an entry. A search walks the links of the clusters nearest to its query only.
 
-Folders: ``centres`` (cluster, centre), ``rows`` (shard, id, vector), ``links-N`` (shard, src, dst, cluster) of the N-th change. A
+Folders: ``centres`` (cluster, centre), ``rows`` (shard, id, vector), ``links-N`` (shard, src, cluster, all dst) of the N-th change. A
 shard has about ``ROWS`` rows, held by one task; queries of any number stream past them, by id, a batch at a time. Centres are fitted on
 at most ``ann.SAMPLE`` training queries; every training, repair and search query is taken. Null vectors, and queries of another
 dimension, are left out; of rows that share an id one carries the links; an empty base gives an empty index.
@@ -112,8 +112,8 @@ def _graphs(batches: Iterator[pa.RecordBatch], centres: np.ndarray, degree: int,
             continue
         graph = graph or made()
         if kind == LINK:
-            for s, t, c in zip(part.column("id").to_pylist(), part.column("dst").to_pylist(), part.column("cluster").to_pylist()):
-                graph.tagged[c].setdefault(graph.place[s], set()).add(graph.place[t])
+            for s, to, c in zip(part.column("id").to_pylist(), part.column("known").to_pylist(), part.column("cluster").to_pylist()):
+                graph.tagged[c].setdefault(graph.place[s], set()).update(graph.place[t] for t in to)
         elif kind == TRAIN:
             _, q = _fitting(part, "asked", graph.x.shape[1])
             if len(q):
@@ -189,7 +189,7 @@ class CrossModal:
 
     def links(self) -> DataFrame:
         """(shard, src, dst, cluster) as they are now."""
-        return self.spark.read.parquet(f"{self.path}/links-{self._last()}")
+        return self.spark.read.parquet(f"{self.path}/links-{self._last()}").select("shard", "src", F.explode("dst").alias("dst"), "cluster")
 
     # ------------------------------------------------------------ parts
 
@@ -232,16 +232,16 @@ class CrossModal:
         return self._to_shards(held)
 
     def _links(self, number: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/links-{number}").select("shard", F.col("src").alias("id"), "dst", "cluster", F.lit(LINK).alias("kind"))
+        return self.spark.read.parquet(f"{self.path}/links-{number}").select("shard", F.col("src").alias("id"), F.col("dst").alias("known"), "cluster", F.lit(LINK).alias("kind"))
 
     def _stream(self, rest: DataFrame, qkind: str) -> DataFrame:
         """Each shard's rows, links and queries in this order, in one partition."""
         rows = self._rows().withColumn("kind", F.lit(BASE)).unionByName(rest, allowMissingColumns=True)
         kind = self._kind()
-        types = {"shard": "int", "kind": "int", "id": kind, "v": "array<double>", "asked": qkind, "dst": kind, "cluster": "int", "known": f"array<{kind}>"}
+        types = {"shard": "int", "kind": "int", "id": kind, "v": "array<double>", "asked": qkind, "cluster": "int", "known": f"array<{kind}>"}
         full = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
         parts = (self._rows().agg(F.max("shard")).first()[0] or 0) + 1
-        return full.repartition(parts, "shard").sortWithinPartitions("shard", "kind", "id", "asked", "dst", "cluster")
+        return full.repartition(parts, "shard").sortWithinPartitions("shard", "kind", "id", "asked", "cluster")
 
     def _change(self, rest: DataFrame, near: int, number: int) -> None:
         shared, degree, metric = self._centres(), self.degree, self.metric
@@ -249,11 +249,13 @@ class CrossModal:
 
         def links(batches):
             for shard, graph, _ in _graphs(batches, shared.value, degree, metric, near):
+                ids = pa.array(graph.ids)
                 for c, tagged in enumerate(graph.tagged):
-                    src = np.repeat(np.fromiter(tagged, np.int64, len(tagged)), [len(t) for t in tagged.values()])
-                    dst = np.array([j for t in tagged.values() for j in sorted(t)], np.int64)
-                    ids = pa.array(graph.ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(src), shard, np.int32)), ids.take(pa.array(src)), ids.take(pa.array(dst)), pa.array(np.full(len(src), c, np.int32))], ["shard", "src", "dst", "cluster"])
+                    src = np.fromiter(tagged, np.int64, len(tagged))
+                    starts = np.cumsum([0, *map(len, tagged.values())]).astype(np.int32)
+                    dst = pa.ListArray.from_arrays(starts, ids.take(pa.array([j for t in tagged.values() for j in sorted(t)], pa.int64())))
+                    fixed = [pa.array(np.full(len(src), n, np.int32)) for n in (shard, c)]
+                    yield pa.RecordBatch.from_arrays([fixed[0], ids.take(pa.array(src)), fixed[1], dst], ["shard", "src", "cluster", "dst"])
 
         kind = self._kind()
-        self._stream(rest, qkind).mapInArrow(links, f"shard int, src {kind}, dst {kind}, cluster int").write.mode("overwrite").parquet(f"{self.path}/links-{number}")
+        self._stream(rest, qkind).mapInArrow(links, f"shard int, src {kind}, cluster int, dst array<{kind}>").write.mode("overwrite").parquet(f"{self.path}/links-{number}")

@@ -1,11 +1,7 @@
-"""Readers and writers of files: delimited, fixed-width, ORC, vector files, exports."""
+"""Readers and writers of files: delimited, fixed-width, ORC, exports."""
 
 from __future__ import annotations
 
-import struct
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,35 +39,3 @@ def read_jdbc(spark: SparkSession, url: str, table_or_query: str, **options: str
     """A table or a query of another database; its driver must be on the class path."""
     key = "query" if " " in table_or_query.strip() else "dbtable"
     return spark.read.format("jdbc").option("url", url).option(key, table_or_query).options(**options).load()
-
-
-def read_fbin(spark: SparkSession, path: str, first_id: int = 0, rows: int = 10_000) -> DataFrame:
-    """Vector files (uint32 n, uint32 dim, then n * dim float32, little-endian) as (id, embedding).
-
-    The header is read by the file system that Spark uses for the path. A path may name many files; each
-    is one task, which passes its vectors on ``rows`` at a time, numbered within the file.
-    """
-    context = spark.sparkContext
-    jvm = context._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(context._jsc.hadoopConfiguration()).open(target)
-    try:
-        n, dim = struct.unpack("<II", bytes(b & 0xFF for b in (stream.read() for _ in range(8))))
-    finally:
-        stream.close()
-    binary = spark.read.format("binaryFile").load(path).select("content")
-
-    def split(batches):
-        for pdf in batches:
-            for content in pdf["content"]:
-                data = np.frombuffer(content, "<f4", offset=8).reshape(n, dim)
-                for a in range(0, n, rows):
-                    part = data[a : a + rows]
-                    yield pd.DataFrame({"id": np.arange(first_id + a, first_id + a + len(part)), "embedding": list(part)})
-
-    return binary.mapInPandas(split, "id long, embedding array<float>")
-
-
-def write_fbin(vectors: np.ndarray) -> bytes:
-    """A vector file's bytes."""
-    return struct.pack("<II", *vectors.shape) + np.ascontiguousarray(vectors, "<f4").tobytes()

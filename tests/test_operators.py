@@ -11,7 +11,7 @@ from tarn.operators import ann, bm25, crossmodal, knn, ml
 from tarn.operators import relational as R
 from tarn.operators.crossmodal import CrossModal
 from tarn.session import table
-from tarn.sources import files, snapshots
+from tarn.sources import files, snapshots, vectorfiles
 from tarn.streaming import windows
 
 
@@ -118,10 +118,38 @@ def test_check_constraint(spark):
         R.check(df, F.col("k") > 1, "positive").collect()
 
 
+@pytest.mark.parametrize("kind", sorted(vectorfiles.KINDS))
+def test_vector_files_are_read_by_ranges(spark, tmp_path, kind):
+    x = np.arange(101 * 7).reshape(101, 7) % 251
+    path = tmp_path / f"v.{kind}"
+    path.write_bytes(vectorfiles.pack(x, kind))
+    df = vectorfiles.read_vectors(spark, f"file://{path}", kind, rows=4, split=10 * 7 * np.dtype(vectorfiles.KINDS[kind][0]).itemsize)
+    assert df.rdd.getNumPartitions() == 11
+    assert [list(r.embedding) for r in df.orderBy("id").collect()] == x.tolist()
+    path.write_bytes(vectorfiles.pack(x[:0], kind))
+    assert vectorfiles.read_vectors(spark, str(path), kind).count() == 0
+    path.write_bytes(vectorfiles.pack(x, kind)[:-1])
+    with pytest.raises(Exception, match="don't fit"):
+        vectorfiles.read_vectors(spark, str(path), kind).count()
+
+
+def test_repair_from_a_truth_file(spark, small, tmp_path):
+    base = table(spark, small, "embeddings")
+    queries = base.filter("vec_id % 20 = 0").select((F.col("vec_id") / 20).cast("long").alias("query_id"), "embedding")
+    truth = knn.nearest_batch(base, queries, 50)
+    rows = truth.orderBy("query_id", "rank").toPandas()
+    known = np.array([g.vec_id.to_numpy() for _, g in rows.groupby("query_id")])
+    (tmp_path / "gt.ibin").write_bytes(vectorfiles.pack(known, "ibin"))
+    index = CrossModal.build(base, queries.limit(1), str(tmp_path / "a"), clusters=1, near=1)
+    before = knn.recall(index.search(queries), truth.filter("rank <= 10")).first().recall
+    index.repair_from_truth(vectorfiles.read_truth(spark, str(tmp_path / "gt.ibin")), 30)
+    assert knn.recall(index.search(queries), truth.filter("rank <= 10")).first().recall >= max(0.9, before)
+
+
 def test_files(spark, tmp_path):
     x = np.arange(12, dtype=np.float32).reshape(4, 3)
-    (tmp_path / "v.fbin").write_bytes(files.write_fbin(x))
-    got = files.read_fbin(spark, str(tmp_path / "v.fbin"), first_id=5, rows=3).orderBy("id").collect()
+    (tmp_path / "v.fbin").write_bytes(vectorfiles.pack(x))
+    got = vectorfiles.read_vectors(spark, str(tmp_path / "v.fbin"), first_id=5, rows=3).orderBy("id").collect()
     assert [r.id for r in got] == [5, 6, 7, 8] and got[3].embedding == [9.0, 10.0, 11.0]
     df = spark.createDataFrame([(1, "a"), (2, None)], "k int, s string")
     files.copy_to(df, str(tmp_path / "csv"), "|", "NULL")

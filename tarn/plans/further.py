@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.stem import stem
 from ..operators import bm25, ml
 from ..operators import relational as R
 from ..operators.index import Index
@@ -14,7 +15,7 @@ from ..session import register, table
 from ..sources import snapshots
 from ..sources.shared import shared_dir
 from ..streaming import windows as S
-from .catalog import _BASE, _PAIR, _SPARSE, _TRG, _asked, _dml, _exact, _sparse, query, sql
+from .catalog import _BASE, _PAIR, _SPARSE, _TRG, ORACLES, QUERIES, _asked, _dml, _exact, _sparse, query, sql
 
 # ---------------------------------------------------------------- a stored vector index
 
@@ -94,6 +95,32 @@ def vec_compare(spark, sf_dir):
     return pairs.select("vec_id", F.expr("a < b").alias("lt"), F.expr("a = a").alias("eq"), F.expr("a <> b").alias("ne"), F.expr("CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END").alias("cmp"))
 
 
+_SCORES = {"ip": "sum(a.v * b.v)", "cosine": "sum(a.v * b.v) / (any_value(a.len) * any_value(b.len))"}
+for _m, _score in _SCORES.items():
+
+    def _ranked(spark, sf_dir, m=_m):
+        rows = _sparse(spark, sf_dir, "v")
+        return bm25.sparse_rank(rows, rows.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), 10, m)
+
+    QUERIES[f"sparse_search_{_m}"] = _ranked
+    ORACLES[f"sparse_search_{_m}"] = f"""WITH s AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS len FROM {_SPARSE}),
+    d AS (SELECT b.doc_id AS query_id, a.doc_id, round({_score}, 6) AS score FROM s a JOIN s b ON a.k = b.k WHERE b.doc_id % 100 = 0 GROUP BY 1, 2)
+    SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM d) WHERE rank <= 10"""
+
+
+@query()
+def bm25_stemmed(spark, sf_dir):
+    """As ``bm25_classic``, words by their English stems; no SQL states the stems."""
+    return bm25.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10, stemmed=True)
+
+
+@query("SELECT DISTINCT token FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) WHERE len(token) < 3 OR regexp_matches(token, '[0-9]')")
+def fts_words_without_stem(spark, sf_dir):
+    """Words that have no suffix to lose: each is its own stem."""
+    words = table(spark, sf_dir, "documents").select(F.explode(bm25.tokenize(F.col("text"))).alias("token")).distinct()
+    return words.filter("length(token) < 3 OR token RLIKE '[0-9]'").select(stem("token").alias("token"))
+
+
 _BUCKET = "CAST(('0x' || substr(md5(token), 1, 4))::BIGINT % 32 AS INT)"
 
 

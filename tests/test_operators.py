@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tarn.functions import stem
 from tarn.functions import vectors as V
 from tarn.operators import ann, bm25, crossmodal, knn, ml
 from tarn.operators import relational as R
@@ -82,6 +83,39 @@ def test_pq_few_rows_are_searched_exactly(asked):
     assert knn.recall(found, truth).first().recall == 1
 
 
+#: Words and stems as the rules' publication gives them.
+STEMS = """consign consign consigned consign consigning consign consignment consign consist consist consistency consist consistently consist
+consolation consol consolatory consolatori consolingly consol consolidating consolid conspicuous conspicu conspiracy conspiraci conspirators conspir
+constable constabl constancy constanc knack knack knackeries knackeri knaves knave kneeling kneel knotted knot knowingly know knuckles knuckl
+hoping hope hopping hop cried cri ties tie gas gas this this kiwis kiwi gaps gap agreed agre feed feed luxuriated luxuri by by say say cry cri dying die
+proceeds proceed generous generous generate generat communication communic arsenal arsenal relational relat adoption adopt hopefulness hope"""
+
+
+def test_stems():
+    words = STEMS.split()
+    assert [(w, stem.english(w)) for w in words[::2]] == list(zip(words[::2], words[1::2]))
+    assert [stem.english(w) for w in ("", "a", "x9ings", "élèves")] == ["", "a", "x9ings", "élèves"]
+
+
+def test_stemmed_rank_is_the_rank_of_stems(spark):
+    docs = [(1, "Running runs and the runner ran"), (2, "he consigned consignments"), (3, None), (4, ""), (5, "consistency of consigning runs")]
+    asked = [(1, "run consign"), (2, "consist"), (3, None)]
+    by_stem = lambda rows: [(i, t and " ".join(stem.english(w) for w in t.lower().split())) for i, t in rows]
+    held = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    got = bm25.rank(held(docs, "doc_id"), held(asked, "item_id"), stemmed=True)
+    want = bm25.rank(held(by_stem(docs), "doc_id"), held(by_stem(asked), "item_id"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 4
+
+
+def test_sparse_rank_edges(spark):
+    rows = [(1, {1: 1.0, 2: 1.0}), (2, {1: 1.0, 2: 1.0}), (3, {}), (4, None), (5, {7: 0.0}), (6, {2: -3.0})]
+    docs = spark.createDataFrame(rows, "doc_id long, v map<bigint,double>")
+    asked = spark.createDataFrame([(9, {2: 2.0, 7: 1.0}), (8, {})], "query_id long, v map<bigint,double>")
+    found = bm25.sparse_rank(docs, asked, 3, "cosine").orderBy("rank").collect()
+    assert [(r.query_id, r.doc_id, r["rank"]) for r in found] == [(9, 1, 1), (9, 2, 2), (9, 6, 3)]
+    assert [(r.doc_id, r.score) for r in bm25.sparse_rank(docs, asked, 4).orderBy("rank").collect()] == [(1, 2.0), (2, 2.0), (5, 0.0), (6, -6.0)]
+
+
 def test_null_vectors_and_ties(spark):
     base = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [0.0, 1.0]), (4, [2.0, 0.0])], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in knn.nearest(base, [0.0, 1.0], 3).collect()] == [1, 3, 4]

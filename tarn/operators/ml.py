@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
@@ -80,6 +81,40 @@ def mmd_linear(df: DataFrame, order: str, bandwidth: float, vector: str = "embed
     return rows.agg(F.round(F.avg(k(0, 2) + k(1, 3) - k(0, 3) - k(1, 2)), 6).alias("mmd"), F.count("*").alias("blocks"))
 
 
+def mmd_test(x: DataFrame, y: DataFrame, n: int, order: str, permutations: int = 100, level: float = 0.05, seed: int = 7, vector: str = "embedding") -> DataFrame:
+    """Two-sample test by the maximum mean discrepancy, as one row: mmd, p_value, differs, n_x, n_y.
+
+    The samples are the ``n`` rows of each side least by hash of ``order`` (a stated size: the test holds all distances between
+    them). The kernel is exp(-|a - b|^2 / (2 m^2)), m the median distance of all pairs; the p-value is the share of random divisions of the
+    pooled rows, the one found included, whose discrepancy is no smaller. Null vectors are left out; an empty side gives nulls.
+    """
+    from ..functions import vectors as V
+
+    def drawn(df: DataFrame) -> np.ndarray:
+        held = df.filter(F.col(vector).isNotNull()).select(F.col(order).alias("at"), V.doubles(vector).alias("e"))
+        return np.array([r.e for r in held.orderBy(F.xxhash64("at"), "at").limit(n).collect()])
+
+    a, b = drawn(x), drawn(y)
+    row = (None, None, None, len(a), len(b))
+    if len(a) and len(b):
+        rows = np.vstack([a, b])
+        lengths = (rows * rows).sum(axis=1)
+        squared = np.maximum(lengths[:, None] + lengths[None, :] - 2 * rows @ rows.T, 0)
+        median = np.median(np.sqrt(squared[np.triu_indices(len(rows), 1)]))
+        kernel = np.exp(-squared / (2 * median * median)) if median > 0 else (squared == 0).astype(float)
+
+        def between(first: np.ndarray) -> float:
+            w = np.where(first, 1 / len(a), -1 / len(b))
+            return float(w @ kernel @ w)
+
+        first = np.arange(len(rows)) < len(a)
+        found = between(first)
+        rng = np.random.default_rng(seed)
+        p = (1 + sum(between(rng.permutation(first)) >= found - 1e-12 for _ in range(permutations))) / (1 + permutations)
+        row = (round(found, 9), p, bool(p < level), len(a), len(b))
+    return x.sparkSession.createDataFrame([row], "mmd double, p_value double, differs boolean, n_x int, n_y int")
+
+
 def report(predicted: DataFrame) -> DataFrame:
     """One row of measures over numeric columns prediction and label (1: positive), from one pass of sums."""
     p, y = F.col("prediction"), F.col("label")

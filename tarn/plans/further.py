@@ -298,3 +298,13 @@ def agg_checksum(spark, sf_dir):
 def ml_linreg_closed_form(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     return ml.predict_by(ml.create_model("linear_regression", lines, ["l_quantity"], "l_extendedprice", solver="normal"), lines).select("l_orderkey", "l_linenumber", F.round("prediction", 2).alias("prediction"))
+
+
+@query("SELECT false AS same_differs, true AS moved_differs")
+def mmd_permutation_test(spark, sf_dir):
+    """Even against odd rows, and against odd rows moved by one in each direction; 200 rows a side are the test's size."""
+    base = table(spark, sf_dir, "embeddings")
+    even, odd = base.filter("vec_id % 2 = 0"), base.filter("vec_id % 2 = 1")
+    moved = odd.withColumn("embedding", F.transform(V.doubles("embedding"), lambda x: x + 1))
+    same, other = ml.mmd_test(even, odd, 200, "vec_id"), ml.mmd_test(even, moved, 200, "vec_id")
+    return same.select(F.col("differs").alias("same_differs")).crossJoin(other.select(F.col("differs").alias("moved_differs")))  # one row each

@@ -300,3 +300,18 @@ def test_connect_by_ends_with_the_tree_not_at_a_fixed_level(spark):
     chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(105)], "id int, up int").coalesce(1)
     got = R.connect_by(chain, "id", "up", F.col("up").isNull()).select("id", "level").collect()
     assert sorted((r.id, r.level) for r in got) == [(i, i + 1) for i in range(105)]
+
+
+def test_mmd_test(spark):
+    rng = np.random.default_rng(1)
+    held = lambda x: spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(-1, None)], "k long, embedding array<double>")
+    a, b = rng.normal(size=(60, 3)), rng.normal(size=(50, 3)) + 1.5
+    r = ml.mmd_test(held(a), held(b), 100, "k").first()
+    both = np.vstack([a, b])
+    d = np.sqrt(((both[:, None] - both[None]) ** 2).sum(axis=2))
+    k = np.exp(-(d**2) / (2 * np.median(d[np.triu_indices(110, 1)]) ** 2))
+    assert r.mmd == pytest.approx(k[:60, :60].mean() + k[60:, 60:].mean() - 2 * k[:60, 60:].mean(), abs=1e-8)
+    assert r.differs and r.p_value == pytest.approx(1 / 101) and (r.n_x, r.n_y) == (60, 50)
+    same = ml.mmd_test(held(a), held(a), 100, "k").first()
+    assert same.p_value == 1 and not same.differs
+    assert ml.mmd_test(held(a), held(a[:0]), 100, "k").first().mmd is None

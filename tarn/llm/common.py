@@ -1,29 +1,21 @@
 """What the operators share: written intermediate tables, row ids, word hashes, components.
 
 Intermediate tables go to the folder that ``spark.checkpoint.dir`` names, which all
-machines of a cluster share; a machine-local folder serves only where it is unset (tests).
+machines of a cluster share; a machine-local folder serves only where it is unset on one machine (tests).
 """
 
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_left: list[tuple[SparkSession, str]] = []
-
+from ..sources.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; sets one only if the session has none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tarn-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+_left: list[tuple[SparkSession, str]] = []
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -12,7 +12,7 @@ from tarn.operators import ann, bm25, crossmodal, knn, ml
 from tarn.operators import relational as R
 from tarn.operators.crossmodal import CrossModal
 from tarn.session import table
-from tarn.sources import files, snapshots, vectorfiles
+from tarn.sources import files, shared, snapshots, vectorfiles
 from tarn.streaming import windows
 
 
@@ -315,3 +315,16 @@ def test_mmd_test(spark):
     same = ml.mmd_test(held(a), held(a), 100, "k").first()
     assert same.p_value == 1 and not same.differs
     assert ml.mmd_test(held(a), held(a[:0]), 100, "k").first().mmd is None
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Session:
+        conf = {}
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://host/shared/"}
+    assert shared.shared_dir(Session()) == "hdfs://host/shared"

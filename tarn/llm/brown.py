@@ -19,11 +19,13 @@ without training texts scores rest on the smoothing alone; an empty table gives
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import islice, repeat
 from math import isqrt, log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +38,80 @@ HEAD = 250_000
 WORDS, ENDINGS, CLASSES, SWEEPS = 767, 255, 64, 6
 #: Entries after which a worker passes its counts on.
 _ROOM = 400_000
-#: Neighbours after which a worker adds its counts up, and counts after which it passes them on.
+#: Keys after which a worker adds its counts up, and counts after which it passes them on.
 _PENDING, _CELLS = 4_000_000, 2_000_000
 _DISCOUNT = 0.5
 END = b""
 
 
-def tokens(text: str | None) -> list[bytes]:
+def tokens(text: bytes | None) -> list[bytes]:
     """Words in lower case (A to Z only), then the end."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
+    return [*(text or b"").lower().split(), END]
+
+
+def _utf8(column: str):
+    """A column of texts as bytes, so that workers needn't decode and encode them."""
+    return F.col(column).cast("string").cast("binary").alias("text")
+
+
+def _line(texts: list) -> list[bytes]:
+    """The tokens of several texts; an end also stands before the first."""
+    line = [END]
+    for text in texts:
+        line += tokens(text)
+    return line
+
+
+def _numbers() -> defaultdict:
+    """Numbers words in the order in which they are met."""
+    ids: defaultdict = defaultdict()
+    ids.default_factory = ids.__len__
+    return ids
+
+
+def _blobs(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The runs of ``data`` between offsets, a binary value each."""
+    where = (offsets * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(where) - 1, [None, pa.py_buffer(where), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _joined(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all blobs of a column in a row, and how many each holds."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind), np.asarray(pc.binary_length(column)) // np.dtype(kind).itemsize
+
+
+def summed(keys: np.ndarray, ns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, ascending, with the sum of its counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[starts], np.add.reduceat(ns[order], starts) if len(starts) else ns
+
+
+class Tally:
+    """Counts keys (none below zero); what it holds is bounded by what waits and by the keys that it says to pass on."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = self.ns = np.empty(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.pending = 0
+
+    def add(self, keys: np.ndarray) -> bool:
+        """Whether it is time to pass the counts on."""
+        self.waiting.append(keys)
+        self.pending += len(keys)
+        return self.pending > _PENDING and len(self.merged()[0]) > _CELLS
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.waiting:
+            keys, ns = np.unique(np.concatenate(self.waiting), return_counts=True)
+            if len(self.keys):
+                keys, ns = summed(np.concatenate([self.keys, keys]), np.concatenate([self.ns, ns]))
+            self.keys, self.ns, self.waiting, self.pending = keys, ns, [], 0
+        return self.keys, self.ns
 
 
 def _ending(word: bytes) -> bytes:
@@ -99,15 +166,17 @@ class Vocabulary:
         self.size = self.other + 1
         self._memory = dict(self.unit)
 
-    def units(self, words: list[bytes]) -> list[int]:
-        memory, out = self._memory, []
+    def units(self, words: list[bytes]) -> np.ndarray:
+        memory = self._memory
         if len(memory) > 2 * HEAD:
             memory = self._memory = dict(self.unit)
-        for w in words:
+        out = np.fromiter(map(memory.get, words, repeat(-1)), np.int64, len(words))
+        for i in np.flatnonzero(out < 0).tolist():
+            w = words[i]
             u = memory.get(w)
             if u is None:
                 u = memory[w] = self.ending.get(_ending(w), self.other)
-            out.append(u)
+            out[i] = u
         return out
 
 
@@ -143,18 +212,20 @@ def count_pairs(texts: DataFrame, vocabulary) -> DataFrame:
     """(cell, n): pairs of neighbouring units; the end also stands before a text's first word."""
 
     def run(batches):
-        v = vocabulary.value
-        total = np.zeros(v.size * v.size, np.int64)
+        v, tally = vocabulary.value, Tally()
+
+        def rows():
+            out = pa.RecordBatch.from_arrays([pa.array(x) for x in tally.merged()], ["cell", "n"])
+            tally.clear()
+            return out
+
         for batch in batches:
             column = batch.column(0).to_pylist()
             for a, b in chunks(column, 500_000):
-                line = [END]
-                for text in column[a:b]:
-                    line += tokens(text)
-                u = np.array(v.units(line), np.int64)
-                total += np.bincount(u[:-1] * v.size + u[1:], minlength=len(total))
-        where = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(total[where])], ["cell", "n"])
+                u = v.units(_line(column[a:b]))
+                if tally.add(u[:-1] * v.size + u[1:]):
+                    yield rows()
+        yield rows()
 
     return texts.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
@@ -210,84 +281,72 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
 
 
 def neighbours(texts: DataFrame, vocabulary, unit_class: np.ndarray, k: int) -> DataFrame:
-    """(word, cells, ns): counts of the classes before (cells below ``k``) and after each word that is no unit of its own; several rows a word."""
+    """(word, cells): counts of the classes before (cells below ``k``) and after each word that is no unit of its own; several rows a word.
+
+    ``cells`` holds eight bytes an entry: 2 ``k`` times the count, plus the cell.
+    """
 
     def run(batches):
-        v = vocabulary.value
-        ids: dict[bytes, int] = {}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        pending = 0
-
-        def merged():
-            nonlocal pending
-            keys, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            ns = np.bincount(inverse, weights=np.concatenate([n for _, n in held])).astype(np.int64)
-            held[:] = [(keys, ns)]
-            pending = len(keys)
-            return keys, ns
-
-        def rows(keys, ns):
-            word = keys // (2 * k)
+        v, tally = vocabulary.value, Tally()
+        ids, unit = _numbers(), np.empty(0, np.int64)
+
+        def rows():
+            keys, ns = tally.merged()
+            word, cell = np.divmod(keys, 2 * k)
             starts = np.flatnonzero(np.diff(word, prepend=-1))
-            offsets = pa.array(np.append(starts, len(keys)), pa.int32())
-            names = list(ids)
-            columns = [
-                pa.array([names[i] for i in word[starts].tolist()], pa.binary()),
-                pa.ListArray.from_arrays(offsets, pa.array(keys % (2 * k), pa.int32())),
-                pa.ListArray.from_arrays(offsets, pa.array(ns)),
-            ]
-            whole = pa.RecordBatch.from_arrays(columns, names=["word", "cells", "ns"])
+            names = pa.array(list(ids), pa.binary()).take(pa.array(word[starts]))
+            whole = pa.RecordBatch.from_arrays([names, _blobs(ns * (2 * k) + cell, np.append(starts, len(keys)))], names=["word", "cells"])
             for i in range(0, whole.num_rows, 20_000):
                 yield whole.slice(i, 20_000)
 
         for batch in batches:
             column = batch.column(0).to_pylist()
             for a, b in chunks(column, 500_000):
-                line = [END]
-                for text in column[a:b]:
-                    line += tokens(text)
-                u = np.array(v.units(line), np.int64)
+                line = _line(column[a:b])
+                met = len(ids)
+                word = np.fromiter(map(ids.__getitem__, line), np.int64, len(line))
+                unit = np.concatenate([unit, v.units(list(islice(reversed(ids), len(ids) - met))[::-1])])
+                u = unit[word]
                 c = unit_class[u]
                 at = np.flatnonzero(u >= v.own)  # never an end, so both neighbours are in the text
-                if not len(at):
-                    continue
-                word = np.fromiter((ids.setdefault(line[i], len(ids)) for i in at.tolist()), np.int64, len(at)) * (2 * k)
-                keys, ns = np.unique(np.concatenate([word + c[at - 1], word + k + c[at + 1]]), return_counts=True)
-                held.append((keys, ns))
-                pending += len(keys)
-                if pending > _PENDING:
-                    keys, ns = merged()
-                    if len(keys) > _CELLS:
-                        yield from rows(keys, ns)
-                        ids.clear()
-                        held.clear()
-                        pending = 0
-        if held:
-            yield from rows(*merged())
+                word = word[at] * (2 * k)
+                if tally.add(np.concatenate([word + c[at - 1], word + k + c[at + 1]])):
+                    yield from rows()
+                    tally.clear()
+                    ids.clear()
+                    unit = unit[:0]
+        yield from rows()
 
-    return texts.mapInArrow(run, "word binary, cells array<int>, ns array<bigint>")
+    return texts.mapInArrow(run, "word binary, cells binary")
+
+
+def _rise(now: np.ndarray, more: np.ndarray) -> np.ndarray:
+    return _information(now + more) - _information(now)
 
 
 def place(table: np.ndarray, homes: np.ndarray, word: np.ndarray, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The best class of each word, given (word, cell, n) sorted by word and cell, each pair once; at home the word's own counts are taken out first."""
+    """The best class of each word, given (word, cell, n) sorted by word and cell, each pair once; at home the word's own counts are taken out first.
+
+    What a count adds is worked out once for all words of the same cell and count; only at home does each have its own.
+    """
     k = len(table)
     both = np.concatenate([table, table.T])  # [cell]: the counts that a word of each class joins
-    sums = np.stack([table.sum(axis=0), table.sum(axis=1)])
     gain = np.zeros((len(homes), k))
-    for a in range(0, len(word), 100_000):
-        w, c, m = word[a : a + 100_000], cell[a : a + 100_000], n[a : a + 100_000].astype(np.float64)
-        now = both[c]
-        at = np.arange(len(w))
-        now[at, homes[w]] = np.maximum(now[at, homes[w]] - m, 0.0)
-        part = _information(now + m[:, None]) - _information(now)
+    for a in range(0, len(word), 20_000):
+        w, c, m = word[a : a + 20_000], cell[a : a + 20_000], n[a : a + 20_000]
+        kinds, which = np.unique(m * (2 * k) + c, return_inverse=True)
+        part = _rise(both[kinds % (2 * k)], (kinds // (2 * k))[:, None])[which]
+        home = homes[w]
+        part[np.arange(len(w)), home] = _rise(np.maximum(both[c, home] - m, 0.0), m)
         starts = np.flatnonzero(np.diff(w, prepend=-1))
         gain[w[starts]] += np.add.reduceat(part, starts, axis=0)
     total = np.bincount(word[cell < k], weights=n[cell < k], minlength=len(homes))  # as many before as after
     at = np.arange(len(homes))
-    for side in sums:
-        now = np.repeat(side[None, :], len(homes), axis=0)
-        now[at, homes] = np.maximum(now[at, homes] - total, 0.0)
-        gain -= _information(now + total[:, None]) - _information(now)
+    kinds, which = np.unique(total, return_inverse=True)
+    for side in (table.sum(axis=0), table.sum(axis=1)):
+        part = _rise(side[None, :], kinds[:, None])[which]
+        part[at, homes] = _rise(np.maximum(side[homes] - total, 0.0), total)
+        gain -= part
     best = gain.argmax(axis=1)
     return np.where(gain[at, best] > gain[at, homes] + 1e-9, best, homes)
 
@@ -295,24 +354,33 @@ def place(table: np.ndarray, homes: np.ndarray, word: np.ndarray, cell: np.ndarr
 def assign(found: DataFrame, vocabulary, unit_class: np.ndarray, table: np.ndarray) -> DataFrame:
     """(word, c, class) of the rows of ``neighbours``."""
     k = len(table)
-    whole = found.groupBy("word").agg(F.flatten(F.collect_list("cells")).alias("cells"), F.flatten(F.collect_list("ns")).alias("ns"))
+
+    def placed(part, starts):
+        words = part.column(0).take(pa.array(starts))
+        entries, held = _joined(part.column(1), np.int64)
+        of = np.searchsorted(starts, np.arange(part.num_rows), side="right") - 1
+        keys, n = summed(np.repeat(of, held) * (2 * k) + entries % (2 * k), entries // (2 * k))
+        of, cell = np.divmod(keys, 2 * k)
+        c = np.bincount(of[cell < k], weights=n[cell < k], minlength=len(words)).astype(np.int64)
+        classes = place(table, unit_class[vocabulary.value.units(words.to_pylist())], of, cell, n)
+        return pa.RecordBatch.from_arrays([words, pa.array(c), pa.array(classes, pa.int32())], ["word", "c", "class"])
 
     def run(batches):
-        v = vocabulary.value
+        rest = None  # rows of the last word, which may go on in the next batch
         for batch in batches:
-            for a in range(0, batch.num_rows, 5000):
-                part = batch.slice(a, 5000)
-                words = part.column(0).to_pylist()
-                of = np.repeat(np.arange(len(words)), np.asarray(part.column(1).value_lengths()))
-                cell, n = np.asarray(part.column(1).flatten()).astype(np.int64), np.asarray(part.column(2).flatten())
-                keys, inverse = np.unique(of * (2 * k) + cell, return_inverse=True)
-                n = np.bincount(inverse, weights=n)
-                of, cell = keys // (2 * k), keys % (2 * k)
-                c = np.bincount(of[cell < k], weights=n[cell < k], minlength=len(words)).astype(np.int64)
-                classes = place(table, unit_class[np.array(v.units(words), np.int64)], of, cell, n)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(c), pa.array(classes, pa.int32())], ["word", "c", "class"])
+            if rest is not None and rest.num_rows:
+                batch = pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(rest.columns, batch.columns)], ["word", "cells"])
+            if not batch.num_rows:
+                continue
+            word = batch.column(0)
+            starts = np.append(0, np.flatnonzero(pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)) + 1)
+            if len(starts) > 1:
+                yield placed(batch.slice(0, starts[-1]), starts[:-1])
+            rest = batch.slice(starts[-1])
+        if rest is not None:
+            yield placed(rest, np.zeros(1, np.int64))
 
-    return whole.mapInArrow(run, "word binary, c bigint, class int")
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word binary, c bigint, class int")
 
 
 class Brown:
@@ -323,6 +391,15 @@ class Brown:
         self.vocabulary, self.unit_class, self.classes, self.mass, self.kinds = vocabulary, unit_class, classes, mass, kinds
         self.end = int(unit_class[0])
         self.step = np.zeros((len(mass), len(mass)))
+        self._head = None
+
+    def head(self) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of each word of the head; class, emission and base by number, and a last row of zeros for other words."""
+        if self._head is None:
+            c = np.array([self.vocabulary.counts[w] for w in self.classes], np.int64)
+            of = np.fromiter(self.classes.values(), np.int64, len(c))
+            self._head = {w: i for i, w in enumerate(self.classes)}, np.append(of, 0), np.append(self.emission(of, c), 0.0), np.append(self.base(c), 0.0)
+        return self._head
 
     def fit(self, tagged: DataFrame) -> Brown:
         """Counts the transitions of tagged training texts."""
@@ -362,7 +439,7 @@ class Brown:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD):
     """(model without transitions, count and class of every training word, least count of the shared head)."""
     spark = docs.sparkSession
-    texts = docs.filter(fold(id_col, FOLDS) != HELD_OUT).select(F.col(text_col).cast("string").alias("text"))
+    texts = docs.filter(fold(id_col, FOLDS) != HELD_OUT).select(_utf8(text_col))
     counts = written(count_words(texts), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words, least = head_of(counts, head)
@@ -393,85 +470,92 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
 def tag(docs: DataFrame, model: Brown, counts: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, base, emitted, classes) of each row: classes holds a byte a token."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), (fold(id_col, FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).cast("string").alias("text")
-    )
+    picked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), (fold(id_col, FOLDS) == HELD_OUT).alias("held_out"), _utf8(text_col))
     kind = picked.schema["id"].dataType.simpleString()
     done = ["n_tokens", "n_known", "base", "emitted", "classes"]
 
     def run(batches):
         m = shared.value
-        v = m.vocabulary
-        get, known_class = v.counts.get, m.classes.get
+        number, class_of, emitted_of, base_of = m.head()
         for batch in batches:
             column = batch.column(3).to_pylist()
             for a, b in chunks(column, 500_000):
-                lines = [tokens(x) for x in column[a:b]]
-                flat = [w for line in lines for w in line]
-                ends = np.cumsum([len(line) for line in lines])
-                first = np.concatenate([[0], ends[:-1]])
-                c = np.fromiter((get(w, 0) for w in flat), np.int64, len(flat))
-                known = c > 0
-                of = np.fromiter((known_class(w, 0) for w in flat), np.int64, len(flat))
-                rare = np.flatnonzero(~known)
-                of[rare] = m.unit_class[np.array(v.units([flat[j] for j in rare.tolist()]), np.int64)]  # of the ending, unless the join finds a class
-                emitted = np.where(known, m.emission(of, c), 0.0)
-                base = np.where(known, m.base(c), 0.0)
+                flat, ends = [], []
+                for text in column[a:b]:
+                    flat += tokens(text)
+                    ends.append(len(flat))
+                ends = np.array(ends)
+                first = np.append(0, ends[:-1])
+                docs = np.arange(len(ends) + 1)
+                at = np.fromiter(map(number.get, flat, repeat(-1)), np.int64, len(flat))
+                rare = np.flatnonzero(at < 0)
+                ids = _numbers()
+                word = np.fromiter(map(ids.__getitem__, map(flat.__getitem__, rare.tolist())), np.int64, len(rare))
+                of = class_of[at].astype(np.uint8)
+                of[rare] = m.unit_class[m.vocabulary.units(list(ids))][word]  # of the ending, unless the join finds a class
                 doc = np.searchsorted(ends, rare, side="right")
-                at = np.searchsorted(doc, np.arange(len(lines) + 1))
-                raw = of.astype(np.uint8).tobytes()
-                words, places, numbers = [], [], []
-                for i in range(len(lines)):
-                    mine: dict[bytes, int] = {}
-                    spots = rare[at[i] : at[i + 1]]
-                    numbers.append([mine.setdefault(flat[j], len(mine)) for j in spots.tolist()])
-                    words.append(list(mine))
-                    places.append((spots - first[i]).tolist())
+                pairs, index = np.unique(doc * (len(ids) + 1) + word, return_inverse=True)  # the rare words of each text, once
+                pair_doc, pair_word = np.divmod(pairs, len(ids) + 1)
+                held, spots = np.searchsorted(pair_doc, docs), np.searchsorted(doc, docs)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(i)[a:b] for i in range(3)),
                         pa.array(ends - first, pa.int64()),
-                        pa.array(np.add.reduceat(known.astype(np.int64), first)),
-                        pa.array(np.add.reduceat(base, first)),
-                        pa.array(np.add.reduceat(emitted, first)),
-                        pa.array([raw[x:y] for x, y in zip(first.tolist(), ends.tolist())], pa.binary()),
-                        pa.array(words, pa.list_(pa.binary())),
-                        pa.array(places, pa.list_(pa.int32())),
-                        pa.array(numbers, pa.list_(pa.int32())),
+                        pa.array(np.add.reduceat((at >= 0).astype(np.int64), first)),
+                        pa.array(np.add.reduceat(base_of[at], first)),
+                        pa.array(np.add.reduceat(emitted_of[at], first)),
+                        _blobs(of, np.append(0, ends)),
+                        pa.ListArray.from_arrays(pa.array(held, pa.int32()), pa.array(list(ids), pa.binary()).take(pa.array(pair_word))),
+                        pa.array(np.diff(held), pa.int32()),
+                        _blobs((rare - first[doc]).astype(np.int32), spots),
+                        _blobs((index - held[doc]).astype(np.int32), spots),
                     ],
-                    names=["row", "id", "held_out", *done, "words", "places", "numbers"],
+                    names=["row", "id", "held_out", *done, "words", "n_rare", "places", "numbers"],
                 )
 
     fixed = "n_tokens bigint, n_known bigint, base double, emitted double, classes binary"
     part = written(
-        picked.mapInArrow(run, f"row bigint, id {kind}, held_out boolean, {fixed}, words array<binary>, places array<int>, numbers array<int>"), "tagged"
+        picked.mapInArrow(run, f"row bigint, id {kind}, held_out boolean, {fixed}, words array<binary>, n_rare int, places binary, numbers binary"), "tagged"
     )
     rare = part.select("row", F.posexplode("words").alias("i", "word"))
     met = rare.join(counts.filter(F.col("c") < least), "word").groupBy("row").agg(F.collect_list(F.struct("i", "c", F.col("class").alias("k"))).alias("met"))
-    late = part.filter(F.size("words") > 0).join(met, "row", "left")
+    late = part.filter("n_rare > 0").drop("words").join(met, "row", "left")
 
     def finish(batches):
         m = shared.value
         for batch in batches:
-            columns = {n: batch.column(n).to_pylist() for n in [*done, "words", "places", "numbers", "met"]}
-            out: list[tuple] = []
-            for n_tokens, n_known, base, emitted, classes, words, places, numbers, met in zip(*columns.values()):
-                c = np.zeros(len(words), np.int64)
-                of = np.frombuffer(classes, np.uint8).copy()
-                places, numbers = np.array(places, np.int64), np.array(numbers, np.int64)
-                own = np.full(len(words), -1, np.int64)
-                for x in met or ():
-                    c[x["i"]], own[x["i"]] = x["c"], x["k"]
-                found = own[numbers] >= 0
-                of[places[found]] = own[numbers[found]]
-                c = c[numbers]
-                out.append((n_tokens, n_known + int(found.sum()), base + float(m.base(c).sum()), emitted + float(m.emission(of[places], c).sum()), of.tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+            n_tokens, n_known, base, emitted, n_rare = (np.asarray(batch.column(n)) for n in [*done[:4], "n_rare"])
+            met = batch.column("met")
+            found = met.flatten()
+            first, held = np.append(0, np.cumsum(n_tokens)), np.append(0, np.cumsum(n_rare))
+            at = np.repeat(held[:-1], np.asarray(pc.fill_null(pc.list_value_length(met), 0))) + np.asarray(found.field("i"))
+            c, own = np.zeros(held[-1], np.int64), np.full(held[-1], -1, np.int64)
+            c[at], own[at] = np.asarray(found.field("c")), np.asarray(found.field("k"))
+            of = _joined(batch.column("classes"), np.uint8)[0].copy()
+            places, spots = _joined(batch.column("places"), np.int32)
+            doc = np.repeat(np.arange(len(spots)), spots)
+            places, word = first[doc] + places, held[doc] + _joined(batch.column("numbers"), np.int32)[0]
+            known = own[word] >= 0
+            of[places[known]] = own[word[known]]
+            c = c[word]
+
+            def add(x, docs=doc, rows=len(spots)):
+                return np.bincount(docs, weights=x, minlength=rows)
+
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("held_out"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names=["id", "held_out", *done]
+                [
+                    batch.column("id"),
+                    batch.column("held_out"),
+                    batch.column("n_tokens"),
+                    pa.array(n_known + add(known).astype(np.int64)),
+                    pa.array(base + add(m.base(c))),
+                    pa.array(emitted + add(m.emission(of[places].astype(np.int64), c))),
+                    _blobs(of, first),
+                ],
+                names=["id", "held_out", *done],
             )
 
-    return late.mapInArrow(finish, f"id {kind}, held_out boolean, {fixed}").unionByName(part.filter(F.size("words") == 0).select("id", "held_out", *done))
+    return late.mapInArrow(finish, f"id {kind}, held_out boolean, {fixed}").unionByName(part.filter("n_rare = 0").select("id", "held_out", *done))
 
 
 def add_up(tagged: DataFrame, model: Brown) -> DataFrame:

@@ -8,7 +8,7 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 from itertools import islice
-from math import log10
+from math import log, log10
 
 import duckdb
 import numpy as np
@@ -327,6 +327,65 @@ def test_op4_ranks_endings_over_all_words(spark):
     assert brown.endings_of(counts, {b"the": 0}, 1) == [b"xy"]
 
 
+def test_op4_places_words_with_few_logarithms(monkeypatch):
+    rng, k, words = np.random.default_rng(5), 16, 1500
+    table = rng.integers(0, 400, (k, k)).astype(float)
+    homes = rng.integers(0, k, words)
+    keys = np.unique(rng.integers(0, words * 2 * k, 30_000))
+    word, cell, n = keys // (2 * k), keys % (2 * k), rng.integers(1, 4, len(keys))
+    f = lambda x: x * log(x) if x > 0 else 0.0
+    want = []
+    for w in range(words):
+        mine = [(int(c), int(m)) for c, m in zip(cell[word == w], n[word == w])]
+        total = sum(m for c, m in mine if c < k)
+        gains = []
+        for j in range(k):
+            own = lambda x, m: max(x - m, 0.0) if j == homes[w] else x  # noqa: B023, E731
+            gain = 0.0
+            for c, m in mine:
+                x = own(table[c, j] if c < k else table[j, c - k], m)
+                gain += f(x + m) - f(x)
+            for side in (table[:, j].sum(), table[j].sum()):
+                gain -= f(own(side, total) + total) - f(own(side, total))
+            gains.append(gain)
+        best = int(np.argmax(gains))
+        want.append(best if gains[best] > gains[homes[w]] + 1e-9 else homes[w])
+    seen, plain = [], brown._information
+    monkeypatch.setattr(brown, "_information", lambda x: (seen.append(np.size(x)), plain(x))[1])
+    assert brown.place(table, homes, word, cell, n).tolist() == want
+    assert sum(seen) < len(keys) * k  # twice this and more when each entry has its own
+
+
+def test_op4_tally_passes_on_whole_counts(monkeypatch):
+    monkeypatch.setattr(brown, "_PENDING", 50)
+    monkeypatch.setattr(brown, "_CELLS", 30)
+    rng, tally, got, want = random.Random(2), brown.Tally(), Counter(), Counter()
+    for _ in range(200):
+        keys = [int(rng.paretovariate(0.5)) % 90 for _ in range(rng.randint(0, 20))]
+        want.update(keys)
+        if tally.add(np.array(keys, np.int64)):
+            got.update(dict(zip(*(x.tolist() for x in tally.merged()))))
+            tally.clear()
+        assert tally.pending <= 50
+    got.update(dict(zip(*(x.tolist() for x in tally.merged()))))
+    assert got == want
+
+
+def test_op4_words_whose_rows_span_batches(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60).repartition(7).cache()
+    want = Counter(w for r in docs.collect() if fold(r.doc_id, 5) != 1 for w in [*words(r.text), ""])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        model, counts, _ = brown.learn(docs, head=40)
+        rows = counts.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    whole = {bytes(r.word): r["class"] for r in brown.learn(docs, head=40)[1].collect()}
+    assert len(rows) == len(want) and {bytes(r.word).decode(): r.c for r in rows} == want
+    assert {bytes(r.word): r["class"] for r in rows} == whole
+
+
 # ---- op5
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

@@ -12,6 +12,8 @@ from ..functions import vectors as V
 DIGITS = 6
 #: Bytes of queries that a worker holds at once; beyond, they are taken in blocks.
 QUERY_BYTES = 32_000_000
+#: Distances that a worker holds at once.
+CELLS = 2_000_000
 
 
 def nearest(base: DataFrame, query: Column | list, k: int, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
@@ -50,54 +52,107 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def query_blocks(queries: DataFrame, query_id: str, vector: str):
-    """The queries in blocks of bounded bytes: a stated query set against all rows."""
+def query_blocks(queries: DataFrame, query_id: str, vector: str, each: int = 1):
+    """The queries in blocks of bounded bytes: a stated query set against all rows, of which a worker keeps ``each`` for every query."""
     ids, rows, size = [], [], 0
     for r in queries.select(query_id, V.doubles(vector).alias("v")).toLocalIterator():
         if r.v is None:
             continue
         ids.append(r[0]), rows.append(np.array(r.v, np.float64))
         size += 8 * len(r.v)
-        if size >= QUERY_BYTES:
+        if size >= QUERY_BYTES or len(ids) * each >= CELLS:
             yield ids, np.vstack(rows)
             ids, rows, size = [], [], 0
     if ids:
         yield ids, np.vstack(rows)
 
 
+def least(d: np.ndarray, tie: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places (row, column) of the ``k`` least values of each row by (value, the column's tie), row by row in this order; NaN and infinity are left out."""
+    k = min(k, d.shape[1])
+    if k < d.shape[1]:
+        d = np.where(np.isnan(d), np.inf, d)
+        row, col = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        row, col = np.nonzero(np.isfinite(d))
+    good = np.isfinite(d[row, col])
+    row, col = row[good], col[good]
+    order = np.lexsort((tie[col], d[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(d)))[row] < k
+    return row[keep], col[keep]
+
+
+def ties(ids: pa.Array) -> np.ndarray:
+    """The places of ids, numbers or texts, in their order."""
+    if pa.types.is_integer(ids.type):
+        return ids.to_numpy(zero_copy_only=False)
+    return np.unique(np.array(ids.to_pylist(), object), return_inverse=True)[1]
+
+
+def pieces(n: int, width: int):
+    """Slices of ``n`` rows of which each has about ``CELLS`` cells at most."""
+    step = max(1, CELLS // max(1, width))
+    return (slice(a, a + step) for a in range(0, n, step))
+
+
+class Best:
+    """The k best rows of each query so far, by the first of their values and the id, from pieces of any order; in memory k a query."""
+
+    def __init__(self, k: int, kind: pa.DataType, values: int) -> None:
+        self.k = k
+        self.row, self.id, self.values = np.empty(0, np.int64), pa.array([], kind), [np.empty(0) for _ in range(values)]
+
+    def add(self, row: np.ndarray, ids: pa.Array, *values: np.ndarray) -> None:
+        row, ids = np.concatenate([self.row, row]), pa.concat_arrays([self.id, ids])
+        values = [np.concatenate(v) for v in zip(self.values, values)]
+        order = np.lexsort((ties(ids), values[0], row))
+        row = row[order]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        keep = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < self.k
+        self.row, self.values, self.id = row[keep], [v[order[keep]] for v in values], ids.take(pa.array(order[keep]))
+
+
+def best_of(batches, asked: pa.Array, k: int, found, names: tuple = ("d",)):
+    """The ``k`` best rows of each query in a task, as batches of q, i and ``names``; ``found`` gives (query places, column places, values) of a batch, piece by piece."""
+    best = None
+    for batch in batches:
+        batch = batch.filter(batch.column(1).is_valid())
+        if not batch.num_rows:
+            continue
+        ids = batch.column(0)
+        best = best or Best(k, ids.type, len(names))
+        parts = [p for p in found(batch, ties(ids)) if len(p[0])]
+        if parts:
+            row, col, *values = (np.concatenate(c) for c in zip(*parts))
+            best.add(row, ids.take(pa.array(col)), *values)
+    if best:
+        yield pa.RecordBatch.from_arrays([asked.take(pa.array(best.row)), best.id, *map(pa.array, best.values)], names=["q", "i", *names])
+
+
 def nearest_batch(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
     """(query id, id, distance, rank) of the ``k`` nearest rows of each query.
 
-    Each task multiplies its rows with a block of queries and passes on its own k best of each, so
+    Each task multiplies its rows with a block of queries, ``CELLS`` distances at a time, and passes on its own k best of each, so
     the one shuffle has k rows a query and task.
     """
     spark = base.sparkSession
     kind, qkind = base.schema[id_col].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
     out = None
-    for ids, q in query_blocks(queries, query_id, vector):
-        shared = spark.sparkContext.broadcast((ids, q))  # a block: at most QUERY_BYTES
+    for ids, q in query_blocks(queries, query_id, vector, k):
+        shared = spark.sparkContext.broadcast((pa.array(ids), q))  # a block: at most QUERY_BYTES
 
         def run(batches, shared=shared):
-            ids, q = shared.value
-            best_d, best_i = np.full((len(ids), 0), np.inf), np.empty((len(ids), 0), object)
-            for batch in batches:
-                good = batch.filter(batch.column(1).is_valid())
-                if not good.num_rows:
-                    continue
-                d = np.round(scores(metric, q, matrix(good.column(1))), DIGITS)
-                i = np.array(good.column(0).to_pylist(), object)
-                d = np.hstack([best_d, np.where(np.isnan(d), np.inf, d)])
-                i = np.hstack([best_i, np.broadcast_to(i, (len(ids), len(i)))])
-                keep = np.empty((len(ids), min(k, d.shape[1])), np.int64)
-                for row in range(len(ids)):
-                    near = np.flatnonzero(d[row] <= np.partition(d[row], keep.shape[1] - 1)[keep.shape[1] - 1])
-                    keep[row] = near[np.lexsort((i[row][near].astype(np.int64), d[row][near]))][: keep.shape[1]]
-                best_d, best_i = np.take_along_axis(d, keep, 1), np.take_along_axis(i, keep, 1)
-            found = np.isfinite(best_d)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array(ids, object), found.sum(axis=1)).tolist()), pa.array(best_i[found].tolist()), pa.array(best_d[found], pa.float64())],
-                names=["q", "i", "d"],
-            ) if found.any() else pa.RecordBatch.from_pylist([], schema=pa.schema([("q", pa.int64()), ("i", pa.int64()), ("d", pa.float64())]))
+            asked, q = shared.value
+
+            def found(batch, tie):
+                x = matrix(batch.column(1))
+                for some in pieces(len(q), len(x)):
+                    d = np.round(scores(metric, q[some], x), DIGITS)
+                    row, col = least(d, tie, k)
+                    yield row + some.start, col, d[row, col]
+
+            yield from best_of(batches, asked, k, found)
 
         part = base.select(id_col, V.doubles(vector).alias("v")).mapInArrow(run, f"q {qkind}, i {kind}, d double")
         out = part if out is None else out.unionByName(part)

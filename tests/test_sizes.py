@@ -42,3 +42,39 @@ def test_crossmodal_links_are_packed_and_learnt_on():
     graph.hold(part)
     graph.packed[0] = graph.packed[1]
     assert graph.recall(0) == {1: {0, 2}, 0: {1}}
+
+
+def test_a_wide_graph_search_is_one_product(cells, monkeypatch):
+    monkeypatch.setattr(ann, "walk", lambda *_: pytest.fail("a list with room for all rows needs no walk"))
+    rng = np.random.default_rng(5)
+    x, q = np.round(rng.normal(size=(150, 4))), rng.normal(size=(30, 4))
+    links = ann.build_graph(x)
+    row, near, d, seen = (np.concatenate(c) for c in zip(*ann._walk_all(x, links, q, ann.entry(x), 7, "l2")))
+    want = np.round(knn.scores("l2", q, x), knn.DIGITS)
+    assert near.reshape(30, 7).tolist() == [np.lexsort((np.arange(150), w))[:7].tolist() for w in want] and set(seen) == {150}
+    assert row.tolist() == np.repeat(np.arange(30), 7).tolist() and (np.diff(d.reshape(30, 7), axis=1) >= 0).all()
+    # one row against all is the least that a graph needs at once
+    assert max(cells) <= 1000
+
+
+def test_least_breaks_ties_and_leaves_out_what_has_no_distance():
+    d = np.array([[2.0, np.nan, 1.0, 1.0, np.inf], [np.nan, np.nan, np.inf, 5.0, np.nan]])
+    row, col = knn.least(d, np.array([0, 1, 9, 3, 4]), 2)
+    assert row.tolist() == [0, 0, 1] and col.tolist() == [3, 2, 3]
+
+
+def test_lists_and_codes_send_only_the_best(spark):
+    """No pair of a query and a row is shuffled unless it is among the best of a task; ids may be texts."""
+    x = np.random.default_rng(2).normal(size=(400, 8))
+    base = spark.createDataFrame([(f"r{i:03d}", v.tolist()) for i, v in enumerate(x)], "vec_id string, embedding array<double>").repartition(3).cache()
+    queries = base.filter("vec_id < 'r040'").withColumnRenamed("vec_id", "query_id")
+    want = np.round(knn.scores("l2", x[:40], x), knn.DIGITS)
+    rows = sorted((f"r{a:03d}", f"r{b:03d}") for a in range(40) for b in np.argsort(want[a], kind="stable")[:5])
+    for found in (
+        ann.ivf_search(base, queries, 5, n_lists=4, probes=4),
+        ann.ivfpq_search(base, queries, 5, n_lists=4, probes=4, refine=80),
+        ann.pq_search(base, queries, 5, refine=80),
+        knn.nearest_batch(base, queries, 5),
+    ):
+        assert sorted((r.query_id, r.vec_id) for r in found.collect()) == rows
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()

@@ -974,7 +974,7 @@ sql(
 )
 sql(
     "format_to_char_number",
-    "SELECT c_custkey, trim(to_char(CAST(c_acctbal AS DECIMAL(10, 2)), 'S999G990D99')) AS t, CAST(to_number(concat(CAST(c_custkey AS STRING), '.50'), '999999999.99') AS DOUBLE) AS n FROM customer",
+    "SELECT c_custkey, concat(CASE WHEN CAST(c_acctbal AS DECIMAL(10, 2)) < 0 THEN '-' ELSE '+' END, format_number(abs(CAST(c_acctbal AS DECIMAL(10, 2))), '#,##0.00')) AS t, CAST(to_number(concat(CAST(c_custkey AS STRING), '.50'), '999999999.99') AS DOUBLE) AS n FROM customer",
     "SELECT c_custkey, CASE WHEN CAST(c_acctbal AS DECIMAL(10, 2)) < 0 THEN '-' ELSE '+' END || format('{:,.2f}', abs(CAST(c_acctbal AS DECIMAL(10, 2)))) AS t, c_custkey + 0.5::DOUBLE AS n FROM customer",
 )
 sql("date_arithmetic", "SELECT o_orderkey, CAST(months_between(o_orderdate, TIMESTAMP '1990-01-01 00:00:00') >= 0 AS BOOLEAN) AS late, CAST(date_trunc('WEEK', o_orderdate) AS DATE) AS monday, CAST(dayofyear(o_orderdate) AS INT) AS doy, unix_timestamp(o_orderdate) AS epoch FROM orders", "SELECT o_orderkey, o_orderdate >= TIMESTAMP '1990-01-01' AS late, CAST(date_trunc('week', o_orderdate) AS DATE) AS monday, CAST(dayofyear(o_orderdate) AS INT) AS doy, CAST(epoch(o_orderdate) AS BIGINT) AS epoch FROM orders")

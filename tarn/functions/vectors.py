@@ -18,6 +18,12 @@ def doubles(v) -> Column:
     return F.col(v).cast("array<double>") if isinstance(v, str) else v.cast("array<double>")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded as SQL engines do that keep the sign of a zero: what is below zero and rounds to it is -0.0."""
+    r = F.round(x, digits)
+    return F.when(r == 0, x * 0.0).otherwise(r)
+
+
 def _sum(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 

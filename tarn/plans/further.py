@@ -74,12 +74,12 @@ def vec_half_distances(spark, sf_dir):
     base = table(spark, sf_dir, "embeddings").select("vec_id", V.half("embedding").alias("e"))
     pairs = base.alias("x").join(base.alias("y"), F.expr("y.vec_id = x.vec_id + 1")).select("x.vec_id", F.col("x.e").alias("a"), F.col("y.e").alias("b"))
     r = lambda c: F.round(c, 6)
-    return pairs.select("vec_id", r(V.l2_distance("a", "b")).alias("l2"), r(V.inner_product("a", "b")).alias("ip"), r(V.cosine_distance("a", "b")).alias("cosine"), r(V.norm("a")).alias("norm"))
+    return pairs.select("vec_id", r(V.l2_distance("a", "b")).alias("l2"), V.rounded(V.inner_product("a", "b"), 6).alias("ip"), r(V.cosine_distance("a", "b")).alias("cosine"), r(V.norm("a")).alias("norm"))
 
 
 @query(f"SELECT vec_id, list_transform({_HALF.format('e')}, lambda x: round(x, 9)) AS half FROM {_BASE}")
 def vec_half_values(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(V.doubles(V.half("embedding")), lambda x: F.round(x, 9)).alias("half"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.zip_with(V.doubles(V.half("embedding")), "embedding", lambda h, x: F.when(x == 0, F.lit(0.0)).otherwise(V.rounded(h, 9))).alias("half"))
 
 
 @query(f"SELECT doc_id, CAST(k AS BIGINT) AS k, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS v FROM {_SPARSE}")

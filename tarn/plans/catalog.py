@@ -239,7 +239,7 @@ def _pairs(spark, sf_dir):
 def vec_distances(spark, sf_dir):
     r = lambda f: F.round(f("a", "b"), 6)
     return _pairs(spark, sf_dir).select(
-        "vec_id", r(V.l2_distance).alias("l2"), r(V.l2_squared).alias("l2_squared"), r(V.inner_product).alias("ip"), r(V.cosine_distance).alias("cosine"), r(V.spherical_distance).alias("spherical")
+        "vec_id", r(V.l2_distance).alias("l2"), r(V.l2_squared).alias("l2_squared"), V.rounded(V.inner_product("a", "b"), 6).alias("ip"), r(V.cosine_distance).alias("cosine"), r(V.spherical_distance).alias("spherical")
     )
 
 
@@ -251,14 +251,14 @@ def vec_norm(spark, sf_dir):
 @query(f"SELECT vec_id, list_transform(e, lambda x: round(x * 3 / sqrt(list_inner_product(e, e) * 9), 6)) AS unit FROM {_BASE}")
 def vec_normalize(spark, sf_dir):
     three = F.transform(V.doubles("embedding"), lambda x: x * 3)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(V.normalize(three), lambda x: F.round(x, 6)).alias("unit"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(V.normalize(three), lambda x: V.rounded(x, 6)).alias("unit"))
 
 
 @query(
     f"""SELECT vec_id, round(list_sum(list_transform(list_zip(a, b), lambda x: (x[1] + x[2]) * 2)), 6) AS plus, round(list_sum(list_transform(list_zip(a, b), lambda x: abs(x[1] - x[2]))), 6) AS minus FROM {_PAIR}"""
 )
 def vec_add_sub(spark, sf_dir):
-    total = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 6)
+    total = lambda v: V.rounded(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 6)
     return _pairs(spark, sf_dir).select(
         "vec_id", total(F.transform(V.add("a", "b"), lambda x: x * 2)).alias("plus"), total(F.transform(V.subtract("a", "b"), lambda x: F.abs(x))).alias("minus")
     )
@@ -266,7 +266,7 @@ def vec_add_sub(spark, sf_dir):
 
 @query(f"SELECT vec_id, list_transform(e[3:6], lambda x: round(x, 6)) AS part FROM {_BASE}")
 def vec_slice(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(V.subvector("embedding", 3, 4), lambda x: F.round(x, 6)).alias("part"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(V.subvector("embedding", 3, 4), lambda x: V.rounded(x, 6)).alias("part"))
 
 
 @query(
@@ -274,7 +274,7 @@ def vec_slice(spark, sf_dir):
     generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label"""
 )
 def vec_avg_by_label(spark, sf_dir):
-    return V.average(table(spark, sf_dir, "embeddings"), "label", "embedding").select("label", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
+    return V.average(table(spark, sf_dir, "embeddings"), "label", "embedding").select("label", F.transform("mean", lambda x: V.rounded(x, 6)).alias("mean"))
 
 
 @query("SELECT vec_id, row_number() OVER (ORDER BY embedding, vec_id) AS place FROM embeddings")
@@ -946,7 +946,7 @@ sql(
 )
 sql(
     "json_elements",
-    "SELECT vec_id, CAST(pos AS INT) AS pos, x FROM (SELECT vec_id, posexplode(from_json(to_json(transform(embedding, e -> CAST(e * 100 AS INT))), 'array<int>')) AS (pos, x) FROM embeddings)",
+    "SELECT vec_id, CAST(pos AS INT) AS pos, x FROM (SELECT vec_id, posexplode(from_json(to_json(transform(embedding, e -> CAST(e * CAST(100 AS FLOAT) AS INT))), 'array<int>')) AS (pos, x) FROM embeddings)",
     "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS pos, CAST(trunc(unnest(embedding) * 100) AS INT) AS x FROM embeddings",
 )
 sql(

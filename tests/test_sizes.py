@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tarn.operators import ann, crossmodal, knn
+from tarn.operators import ann, bm25, crossmodal, knn
 
 
 @pytest.fixture
@@ -78,3 +78,42 @@ def test_lists_and_codes_send_only_the_best(spark):
     ):
         assert sorted((r.query_id, r.vec_id) for r in found.collect()) == rows
         assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine"])
+def test_sparse_rank_shuffles_no_pairs(spark, monkeypatch, metric):
+    monkeypatch.setattr(bm25, "CELLS", 100)  # so that the queries come in blocks
+    rng = np.random.default_rng(6)
+    rows = [(i, {int(c): float(rng.integers(-2, 4)) for c in rng.choice(40, 6, replace=False)}) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, v map<int,double>")
+    found = bm25.sparse_rank(docs, docs.filter("doc_id < 30").withColumnRenamed("doc_id", "query_id"), 5, metric)
+    assert "Join" not in _plan(found)
+    want = []
+    length = [sum(x * x for x in v.values()) ** 0.5 for _, v in rows]
+    for q, a in rows[:30]:
+        scored = []
+        for i, b in rows:
+            dot = sum(a[c] * b[c] for c in a if c in b)
+            if a.keys() & b.keys() and (metric == "ip" or length[i] * length[q]):
+                scored.append((-round(dot / (length[i] * length[q]), 6) if metric == "cosine" else -dot, i))
+        want += [(q, i, n + 1) for n, (_, i) in enumerate(sorted(scored)[:5])]
+    assert sorted((r.query_id, r.doc_id, r["rank"]) for r in found.collect()) == sorted(want)
+
+
+def test_rank_shuffles_no_postings(spark, monkeypatch):
+    docs = [(i, " ".join(["common"] * (i % 4) + [f"w{i % 7}", f"w{i % 3}"])) for i in range(60)] + [(99, None), (98, "")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).cache()
+    asked = spark.createDataFrame([(1, "common w1 w1"), (2, "w2"), (3, "none"), (4, None)], "item_id long, text string")
+    whole = bm25.rank(docs, asked, 5)
+    assert "Join" not in _plan(whole) and "Generate" not in _plan(whole)
+    monkeypatch.setattr(bm25, "CELLS", 5)  # a query a block
+    assert sorted(map(tuple, bm25.rank(docs, asked, 5).collect())) == sorted(map(tuple, whole.collect()))
+    assert {r.item_id for r in whole.collect()} == {1, 2}
+
+
+def test_halves_go_away_from_zero():
+    assert bm25.away(np.array([0.0078125, -0.0078125, 0.25, -0.0]), 6).tolist() == [0.007813, -0.007813, 0.25, 0.0]

@@ -1,10 +1,13 @@
 """Memory and shuffles that don't grow with the product of rows and queries, and the same results by them."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tarn.operators import ann, bm25, crossmodal, knn
+from tarn.plans import catalog
 
 
 @pytest.fixture
@@ -117,3 +120,18 @@ def test_rank_shuffles_no_postings(spark, monkeypatch):
 
 def test_halves_go_away_from_zero():
     assert bm25.away(np.array([0.0078125, -0.0078125, 0.25, -0.0]), 6).tolist() == [0.007813, -0.007813, 0.25, 0.0]
+
+
+def test_bayes_leaves_the_lines_where_they_are(spark, small):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(catalog.QUERIES["ml_bayes"](spark, small))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    # the join nearest to the result is the one with all lines
+    assert re.search(r"\w+Join", plan)[0] == "BroadcastHashJoin"
+
+
+def test_the_tree_takes_no_python_worker(spark, small):
+    assert "ExistingRDD" not in _plan(catalog._tree(spark, small))

@@ -26,11 +26,16 @@ ALGORITHMS = {
     "bayes": lambda o: C.NaiveBayes(**o),
 }
 UNSUPERVISED = ("kmeans", "pca")
+#: Rows that a task of a tree model holds, about; tree models keep their rows in memory at about 280 bytes each.
+TREE_ROWS = 1_000_000
 
 
 def create_model(algorithm: str, df: DataFrame, features: list[str], target: str | None = None, **options) -> PipelineModel:
     """Fits a model on ``features`` (columns of numbers or vectors)."""
     rows = df.select(*features, *([F.col(target).cast("double").alias("label")] if target else [])).dropna()
+    if algorithm.startswith("xgboost"):
+        parts = -(-rows.count() // TREE_ROWS)
+        rows = rows.repartition(parts) if parts > rows.rdd.getNumPartitions() else rows
     stage = ALGORITHMS[algorithm](options)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), stage]).fit(rows)
 

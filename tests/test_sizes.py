@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tarn.operators import ann, bm25, crossmodal, knn
+from tarn.operators import ann, bm25, crossmodal, knn, ml
 from tarn.plans import catalog
 
 
@@ -135,3 +135,14 @@ def test_bayes_leaves_the_lines_where_they_are(spark, small):
 
 def test_the_tree_takes_no_python_worker(spark, small):
     assert "ExistingRDD" not in _plan(catalog._tree(spark, small))
+
+
+def test_trees_hold_bounded_rows_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(ml, "TREE_ROWS", 50)
+    seen = []
+    fit = ml.Pipeline.fit
+    monkeypatch.setattr(ml.Pipeline, "fit", lambda self, rows: seen.append(rows.rdd.glom().map(len).collect()) or fit(self, rows))
+    df = spark.range(200).selectExpr("id", "id % 7 AS x", "CAST(id % 7 > 3 AS INT) AS y").coalesce(1)
+    model = ml.create_model("xgboost_classification", df, ["x"], "y", maxIter=2)
+    assert max(seen[0]) <= 60 and sum(seen[0]) == 200
+    assert ml.predict_by(model, df, "y").filter("prediction <> label").count() == 0
